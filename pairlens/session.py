@@ -2,8 +2,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     # Hot keys: joins split the oversized side at run time, also when that costs one more shuffle.
@@ -39,3 +41,29 @@ def local_session(cores: int | None = None, app: str = "pairlens-local", **overr
     }
     defaults.update(overrides)
     return build_session(app, f"local[{cores}]", **defaults)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the cluster's checkpoint folder.
+
+    Only a local master may fall back to a temporary folder; executors elsewhere could not read it.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    folder = tempfile.mkdtemp(prefix="pairlens-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def materialise(frame: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table once and read it back.
+
+    It cuts the lineage, survives the loss of executors, and gives Spark measured sizes and column
+    pruning for what follows.
+    """
+    path = f"{shared_folder(frame.sparkSession)}/pairlens/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.parquet(path)
