@@ -59,7 +59,7 @@ SELECT 1000000000000 + o_orderkey AS sent_id,
                            || CAST(c_nationkey * 7 + 3 + o_orderkey % 4 AS STRING) || ' Ltd</ORG> ' ELSE '' END ||
                  'last month .' END AS text,
        o_totalprice / 500000 AS score,
-       o_orderkey % 3 <> 1 AS in_s,
+       o_orderkey % 4 <> 1 AS in_s,
        o_orderkey % 7 = 0 AS passive
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey
 """
@@ -86,6 +86,81 @@ SELECT 'affiliation2' AS rel_type, 'Customer ' || CAST(c_custkey AS STRING) AS e
 FROM {customer} WHERE c_custkey % 3 = 1
 """
 
+# Text records and lines in the formats the readers take, one per row of a table.
+ORDER_FACTS = """
+SELECT o_orderkey, 'Customer ' || CAST(c_custkey AS STRING) AS e1,
+       'Firm ' || CAST(c_nationkey * 7 + o_orderkey % 3 AS STRING) || ' Inc.' AS e2,
+       o_totalprice / 500000 AS score, o_orderkey % 7 = 0 AS passive,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'founded' ELSE 'is the chairman of' END AS bet,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'founder2' ELSE 'affiliation2' END AS rel_type
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey
+"""
+SYSTEM_RECORDS = f"""
+SELECT 'instance: ' || e1 || CHR(9) || e2 || ' score:' || CAST(score AS STRING) || CHR(10) ||
+       'sentence: Today ' || e1 || ' ' || bet || ' ' || e2 || CHR(10) ||
+       CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'pattern_bef: Today' || CHR(10) END ||
+       'pattern_bet: ' || bet || CHR(10) ||
+       'passive voice: ' || CASE WHEN passive THEN 'True' ELSE 'False' END AS value
+FROM ({ORDER_FACTS})
+"""
+CLASSIFIED_RECORDS = f"""
+SELECT 'instance: ' || e1 || CHR(9) || e2 || CHR(10) ||
+       'sentence: <PER>' || e1 || '</PER> ' || bet || ' <ORG>' || e2 || '</ORG> today .' || CHR(10) ||
+       'rel_type: ' || rel_type AS value
+FROM ({ORDER_FACTS})
+"""
+POSITIVE_RECORDS = f"""
+SELECT rel_type || '_positive.txt' AS file_name,
+       'instance : ' || e1 || CHR(9) || e2 || CHR(9) || CAST(score AS STRING) || CHR(10) ||
+       'sentence : <PER>' || e1 || '</PER> ' || bet || ' <ORG>' || e2 || '</ORG> today .' || CHR(10) ||
+       'bef_words: ' || CHR(10) || 'bet_words: ' || bet || CHR(10) || 'aft_words: ' || CHR(10) ||
+       'passive voice: ' || CASE WHEN passive THEN 'True' ELSE 'False' END AS value
+FROM ({ORDER_FACTS})
+"""
+TRAINING_LINES = f"""
+SELECT 'id:' || CAST(o_orderkey AS STRING) || CHR(9) || rel_type || CHR(9) || e1 || CHR(9) || e2 || CHR(9) ||
+       '<PER>' || e1 || '</PER> ' || bet || ' <ORG>' || e2 || '</ORG> today .' AS value
+FROM ({ORDER_FACTS})
+UNION ALL SELECT '# order ' || CAST(o_orderkey AS STRING) AS value FROM {{orders}} WHERE o_orderkey % 10 = 0
+UNION ALL SELECT '' AS value FROM {{orders}} WHERE o_orderkey % 10 = 1
+"""
+FEATURE_LINES = """
+SELECT CAST(p_partkey AS STRING) || CHR(9) || p_type || CHR(9) || p_name || '  ' || p_brand || ' ' AS value FROM {part}
+"""
+SHINGLE_RECORDS = """
+SELECT 'e1: ' || p_brand || CHR(10) || 'e2: ' || p_type || CHR(10) || 'sentence: ' || p_name || CHR(10) ||
+       'shingles: ' || p_name || '  ' || CAST(p_size AS STRING) || '_SIZE' AS value
+FROM {part}
+"""
+COMMENTED_LINES = """
+SELECT CASE WHEN o_orderkey % 10 = 0 THEN '# ' || CAST(o_orderkey AS STRING)
+            WHEN o_orderkey % 10 = 1 THEN '' ELSE ' order ' || CAST(o_orderkey AS STRING) || ' ' END AS value
+FROM {orders}
+"""
+NTRIPLE_LINES = """
+SELECT '<http://dbpedia.org/resource/Supplier_' || CAST(s_suppkey AS STRING) || '_(firm)> <location> ' ||
+       '<http://dbpedia.org/resource/NATION_' || CAST(s_nationkey AS STRING) || ',_City_' || CAST(s_suppkey % 5 AS STRING)
+       || '> .' AS value
+FROM {supplier}
+UNION ALL SELECT 'broken line ' || CAST(s_suppkey AS STRING) AS value FROM {supplier} WHERE s_suppkey % 9 = 0
+"""
+YAGO_LINES = """
+SELECT '<en/Supplier_' || CAST(s_suppkey AS STRING) || '_(firm)>' || CHR(9) || 'isLocatedIn' || CHR(9) ||
+       '<NATION_' || CAST(s_nationkey AS STRING) || '.,_City_' || CAST(s_suppkey % 5 AS STRING) || '>' AS value
+FROM {supplier}
+"""
+FREEBASE_LINES = """
+SELECT 'Supplier ' || CAST(s_suppkey AS STRING) || CHR(9) || 'place_founded' || CHR(9) ||
+       ' NATION ' || CAST(s_nationkey AS STRING) AS value
+FROM {supplier}
+UNION ALL SELECT '# supplier ' || CAST(s_suppkey AS STRING) AS value FROM {supplier} WHERE s_suppkey % 4 = 0
+"""
+MANUAL_LINES = """
+SELECT 'Supplier ' || CAST(s_suppkey AS STRING) || CHR(9) || 'Town ' || CAST(s_suppkey % 3 AS STRING) AS value
+FROM {supplier} WHERE s_suppkey % 2 = 0
+UNION ALL SELECT '# none' AS value FROM {supplier} WHERE s_suppkey % 4 = 0
+"""
+
 # Labelled and unlabelled texts for similarity classification: whole documents.
 PASSAGES = """
 SELECT d.doc_id AS rel_id, d.text AS text, 'q' || CAST(quality AS STRING) || 't' || CAST(toxic AS STRING) AS rel_type
@@ -98,12 +173,21 @@ SENTENCES = f"SELECT * FROM ({PLACE_SENTENCES}) UNION ALL SELECT * FROM ({PEOPLE
 RELATIONS_IN_USE = [
     "has-installations", "founder", "founder2", "owns", "affiliation", "affiliation2", "studied", "studied2",
 ]
+SPREAD = ["lineitem", "orders", "documents"]
 TABLES = ["lineitem", "supplier", "orders", "customer", "documents", "labels", "nation", "benchmark", "part"]
 
 
-def run(spark: SparkSession, sf_dir: str, sql: str, **extra: DataFrame) -> DataFrame:
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql}
-    return spark.sql(sql, **tables, **extra)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; a file too small to occupy the cores is spread over them, larger ones stay as split."""
+    frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in SPREAD and frame.rdd.getNumPartitions() < cores:
+        frame = frame.repartition(cores)
+    return frame
+
+
+def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql})
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
