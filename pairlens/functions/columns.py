@@ -2,11 +2,31 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the expression built for given plain arguments.
+
+    A nested array expression takes a second of driver time to build and holds no data, so the plans of
+    one driver share it.
+    """
+    kept: dict = {}
+
+    @wraps(build)
+    def wrapper(*args):
+        key = (id(SparkContext._gateway), *args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return wrapper
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once and use it many times inside ``body``.
 

@@ -88,7 +88,7 @@ def band_chunks(signature: Column, n_sigs: int, n_bands: int) -> Column:
     """The bands of a signature, each sorted, so a band matches as a multiset."""
     rows = rows_per_band(n_sigs, n_bands)
     starts = F.sequence(F.lit(1), F.lit(n_sigs), F.lit(rows)) if n_bands > 1 else F.array(F.lit(1))
-    return F.transform(starts, lambda i: F.array_sort(F.slice(signature, i, F.lit(rows))))
+    return F.transform(starts, lambda i: F.sort_array(F.slice(signature, i, F.lit(rows))))
 
 
 def band_keys(signature: Column, n_sigs: int, n_bands: int) -> Column:

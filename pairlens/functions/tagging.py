@@ -129,7 +129,7 @@ def tag_with_lexicon(rows: DataFrame, key: str, tokens: str, lexicon: DataFrame,
             F.coalesce("lex_lemma", "rule.lemma").alias("lemma"),
         ).alias("t"),
     )
-    grouped = built.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("ts"))
+    grouped = built.groupBy(key).agg(F.sort_array(F.collect_list(one)).alias("ts"))
     grouped = grouped.select(key, F.transform("ts", lambda x: x["t"]).alias(out))
     empty = F.array().cast(TAGGED)
     return rows.join(grouped, key, "left").withColumn(out, F.coalesce(out, empty))

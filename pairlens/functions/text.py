@@ -71,7 +71,7 @@ def tokenize(text: Column) -> Column:
             .otherwise(_apply_rules(raw, [n for n in every if n not in QUOTE_RULES]))
         )
 
-    return let(text, lambda raw: F.filter(F.split(spaced(raw), r"\s+"), lambda t: t != ""))
+    return let(text, lambda raw: F.regexp_extract_all(spaced(raw), F.lit(r"\S+"), F.lit(0)))
 
 
 def token_bigrams(tokens: Column) -> Column:
@@ -155,7 +155,7 @@ def locate_entities(entities: Column, tokens: Column) -> Column:
             ),
         )
 
-    return let(F.array_sort(F.flatten(F.transform(entities, occurrences))), first_per_position)
+    return let(F.sort_array(F.flatten(F.transform(entities, occurrences))), first_per_position)
 
 
 def is_relational(tokens: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.functions import text as tx
-from pairlens.functions.columns import first_n, last_n, let
+from pairlens.functions.columns import built_once, first_n, last_n, let
 
 # Fixed values.
 MAX_TOKENS_AWAY = 6
@@ -55,8 +55,10 @@ def with_contexts(pair: Column, tokens: Column, window: int) -> Column:
     )
 
 
-def mentions_of(text: Column, window: int = EVALUATION_WINDOW, types: Iterable[tuple[str, str]] | None = None) -> Column:
-    """Array of mentions of one tagged sentence."""
+@built_once
+def mentions_of(text_col: str, window: int = EVALUATION_WINDOW, types: tuple[tuple[str, str], ...] | None = None) -> Column:
+    """Array of mentions of the tagged sentence in column ``text_col``."""
+    text = F.col(text_col)
 
     def per_sentence(tokens: Column) -> Column:
         return let(
@@ -73,6 +75,10 @@ def mentions_of(text: Column, window: int = EVALUATION_WINDOW, types: Iterable[t
     return let(tx.tokenize(tx.strip_tags(text)), per_sentence)
 
 
+def as_key(types: Iterable[tuple[str, str]] | None) -> tuple[tuple[str, str], ...] | None:
+    return None if types is None else tuple(sorted(set(types)))
+
+
 def extract_mentions(
     sentences: DataFrame,
     window: int = EVALUATION_WINDOW,
@@ -81,7 +87,7 @@ def extract_mentions(
 ) -> DataFrame:
     """All columns of ``sentences`` plus one row per mention."""
     rows = sentences.filter(tx.has_two_entities(F.col(text_col)))
-    rows = rows.select("*", F.explode(mentions_of(F.col(text_col), window, types)).alias("m"))
+    rows = rows.select("*", F.explode(mentions_of(text_col, window, as_key(types))).alias("m"))
     return rows.select(*sentences.columns, "m.e1", "m.e1_type", "m.e2", "m.e2_type", "m.bef", "m.bet", "m.aft", "m.gap")
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.functions import text as tx
-from pairlens.functions.columns import let
-from pairlens.operators.mentions import MAX_TOKENS_AWAY, MIN_TOKENS_AWAY, mentions_of
+from pairlens.functions.columns import built_once, let
+from pairlens.operators.mentions import MAX_TOKENS_AWAY, MIN_TOKENS_AWAY, as_key, mentions_of
 
 # Fixed value.
 PMI_THRESHOLD = 0.65
@@ -62,8 +62,9 @@ def _phrase_between_last(text: Column, first: Column, second: Column) -> Column:
     return let(tag_of(second), between)
 
 
-def near_pairs(text: Column) -> Column:
-    """Ordered pairs of tagged entities 1..6 positions apart, once per sentence."""
+@built_once
+def near_pairs(text_col: str) -> Column:
+    """Ordered pairs of tagged entities 1..6 positions apart, once per sentence in ``text_col``."""
 
     def pair_up(spans: Column) -> Column:
         # Positions grow by at least one per entity, so only the next six can be near.
@@ -83,13 +84,13 @@ def near_pairs(text: Column) -> Column:
         )
         return F.array_distinct(combos)
 
-    return let(tagged_positions(text), pair_up)
+    return let(tagged_positions(F.col(text_col)), pair_up)
 
 
 def proximity_hits(sentences: DataFrame, text_col: str = "text") -> DataFrame:
     """One row per (sentence, ordered near pair) with the phrase between their last tags."""
     text = F.col(text_col)
-    rows = sentences.filter(tx.has_two_entities(text)).select("*", F.explode(near_pairs(text)).alias("p"))
+    rows = sentences.filter(tx.has_two_entities(text)).select("*", F.explode(near_pairs(text_col)).alias("p"))
     first = F.struct(F.col("p.e1").alias("s"), F.col("p.e1_type").alias("ty"))
     second = F.struct(F.col("p.e2").alias("s"), F.col("p.e2_type").alias("ty"))
     return rows.select(
@@ -106,7 +107,7 @@ def flag_near_mentions(sentences: DataFrame, window: int, types=None, text_col:
 
     def flag(found: Column) -> Column:
         flagged = let(
-            near_pairs(text),
+            near_pairs(text_col),
             lambda near: F.transform(
                 found,
                 lambda m: m.withField(
@@ -124,7 +125,7 @@ def flag_near_mentions(sentences: DataFrame, window: int, types=None, text_col:
         return F.when(F.size(found) > 0, flagged)
 
     rows = sentences.filter(tx.has_two_entities(text))
-    rows = rows.select("*", F.explode(let(mentions_of(text, window, types), flag)).alias("m"))
+    rows = rows.select("*", F.explode(let(mentions_of(text_col, window, as_key(types)), flag)).alias("m"))
     return rows.select(*sentences.columns, "m.*")
 
 

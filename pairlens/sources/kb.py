@@ -128,4 +128,4 @@ def load_kb(spark: SparkSession, base_dir: str, rel_types: Iterable[str]) -> Dat
 
 def kb_multimap(kb: DataFrame) -> DataFrame:
     """e1 -> set of e2, for export; joins use the pairs themselves."""
-    return kb.groupBy("rel_type", "e1").agg(F.array_sort(F.collect_set("e2")).alias("objects"))
+    return kb.groupBy("rel_type", "e1").agg(F.sort_array(F.collect_set("e2")).alias("objects"))

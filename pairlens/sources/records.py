@@ -36,7 +36,7 @@ def _parse_output(records: DataFrame) -> DataFrame:
         {
             "e1": F.trim(F.get(names, F.lit(0))),
             "e2": F.trim(F.get(names, F.lit(1))),
-            "score": F.expr("try_cast(regexp_extract(value, '(?m)^instance.*score:\\\\s*([-+0-9.eE]+)', 1) AS double)"),
+            "score": F.regexp_extract(record, r"(?m)^instance.*score:\s*([-+0-9.eE]+)", 1).try_cast("double"),
             "bef": field(record, "pattern_bef"),
             "bet": field(record, "pattern_bet"),
             "aft": field(record, "pattern_aft"),

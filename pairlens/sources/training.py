@@ -15,7 +15,7 @@ def parse_training(lines: DataFrame) -> DataFrame:
     f = F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), "\t")
     rows = lines.filter(is_content(F.col("value"))).select(f.alias("f")).filter(F.size("f") == 5)
     return rows.select(
-        F.expr("try_cast(split(f[0], ':')[1] AS bigint)").alias("rel_id"),
+        F.get(F.split(F.get("f", F.lit(0)), ":"), F.lit(1)).try_cast("bigint").alias("rel_id"),
         *[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(["rel_type", "e1", "e2", "sentence"], 1)],
     ).filter(F.col("rel_id").isNotNull())
 
@@ -29,7 +29,7 @@ def parse_features(lines: DataFrame) -> DataFrame:
     f = F.split("value", "\t")
     rows = lines.select(f.alias("f")).filter(F.size("f") == 3)
     return rows.select(
-        F.expr("try_cast(f[0] AS bigint)").alias("rel_id"),
+        F.get("f", F.lit(0)).try_cast("bigint").alias("rel_id"),
         F.get("f", F.lit(1)).alias("rel_type"),
         drop_empty(F.split(F.trim(F.get("f", F.lit(2))), " ")).alias("shingles"),
     ).filter(F.col("rel_id").isNotNull())

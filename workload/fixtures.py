@@ -105,21 +105,21 @@ FROM ({ORDER_FACTS})
 """
 CLASSIFIED_RECORDS = f"""
 SELECT 'instance: ' || e1 || CHR(9) || e2 || CHR(10) ||
-       'sentence: <PER>' || e1 || '</PER> ' || bet || ' <ORG>' || e2 || '</ORG> today .' || CHR(10) ||
+       'sentence: <PER>' || e1 || '</PER> ' || bet || ' <ORG>' || e2 || '</ORG> last month .' || CHR(10) ||
        'rel_type: ' || rel_type AS value
 FROM ({ORDER_FACTS})
 """
 POSITIVE_RECORDS = f"""
 SELECT rel_type || '_positive.txt' AS file_name,
        'instance : ' || e1 || CHR(9) || e2 || CHR(9) || CAST(score AS STRING) || CHR(10) ||
-       'sentence : <PER>' || e1 || '</PER> ' || bet || ' <ORG>' || e2 || '</ORG> today .' || CHR(10) ||
+       'sentence : <PER>' || e1 || '</PER> ' || bet || ' <ORG>' || e2 || '</ORG> last month .' || CHR(10) ||
        'bef_words: ' || CHR(10) || 'bet_words: ' || bet || CHR(10) || 'aft_words: ' || CHR(10) ||
        'passive voice: ' || CASE WHEN passive THEN 'True' ELSE 'False' END AS value
 FROM ({ORDER_FACTS})
 """
 TRAINING_LINES = f"""
 SELECT 'id:' || CAST(o_orderkey AS STRING) || CHR(9) || rel_type || CHR(9) || e1 || CHR(9) || e2 || CHR(9) ||
-       '<PER>' || e1 || '</PER> ' || bet || ' <ORG>' || e2 || '</ORG> today .' AS value
+       '<PER>' || e1 || '</PER> ' || bet || ' <ORG>' || e2 || '</ORG> last month .' AS value
 FROM ({ORDER_FACTS})
 UNION ALL SELECT '# order ' || CAST(o_orderkey AS STRING) AS value FROM {{orders}} WHERE o_orderkey % 10 = 0
 UNION ALL SELECT '' AS value FROM {{orders}} WHERE o_orderkey % 10 = 1

@@ -325,7 +325,7 @@ oracle(
        GROUP BY rel_type""",
     "typed",
 )
-TAGGED_ORDER = "'<PER>' || e1 || '</PER> ' || bet || ' <ORG>' || e2 || '</ORG> today .'"
+TAGGED_ORDER = "'<PER>' || e1 || '</PER> ' || bet || ' <ORG>' || e2 || '</ORG> last month .'"
 oracle("read_training", f"SELECT o_orderkey AS rel_id, rel_type, e1, e2, {TAGGED_ORDER} AS sentence FROM orderfacts", "orderfacts")
 oracle("read_features", "SELECT p_partkey AS rel_id, p_type AS rel_type, replace(p_name, ' ', '|') || '|' || p_brand AS shingles FROM part")
 oracle("read_shingle_records", "SELECT p_brand AS e1, p_type AS e2, p_name AS sentence, replace(p_name, ' ', '|') || '|' || p_size || '_SIZE' AS shingles FROM part")
@@ -355,7 +355,7 @@ oracle(
 oracle("distinct_mentions", f"SELECT {MENTION}, count(*) AS n FROM typed GROUP BY e1, e1_type, e2, e2_type, typed.bef, typed.bet, typed.aft", "typed")
 oracle("adjacent_entities", "SELECT s AS e1, e2, count(*) AS n FROM (SELECT s, lead(s) OVER (PARTITION BY rid ORDER BY p) AS e2 FROM pos) WHERE e2 IS NOT NULL GROUP BY s, e2", "pos")
 oracle("order_positions", "SELECT string_agg(p::BIGINT::VARCHAR, ' ' ORDER BY p) AS positions FROM pos GROUP BY rid", "pos")
-oracle("known_pair_locations", "SELECT o_orderkey AS rel_id, '' AS bef, bet, 'today .' AS aft FROM orderfacts", "orderfacts")
+oracle("known_pair_locations", "SELECT o_orderkey AS rel_id, '' AS bef, bet, 'last month .' AS aft FROM orderfacts", "orderfacts")
 oracle(
     "token_bigrams",
     f"""SELECT bigram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS bigram
@@ -431,11 +431,11 @@ oracle(
 # -- features
 oracle(
     "tag_with_lexicon",
-    """SELECT p_partkey, string_agg(w || '/' || CASE WHEN i = n THEN 'NNP' ELSE tag END, ' ' ORDER BY i) AS tagged
-       FROM (SELECT *, CASE WHEN kind THEN 'NNP' WHEN w LIKE '%ing' THEN 'VBG' WHEN w LIKE '%ed' THEN 'VBN'
+    """SELECT p_partkey, string_agg(w || '/' || CASE WHEN w IN (SELECT lower(p_type) FROM part) THEN 'NNP' ELSE tag END, ' ' ORDER BY i) AS tagged
+       FROM (SELECT *, CASE WHEN w LIKE '%ing' THEN 'VBG' WHEN w LIKE '%ed' THEN 'VBN'
                             WHEN regexp_matches(w, '(ous|ful|ive|able|ible|ical|ish|less|large)$') THEN 'JJ'
                             WHEN regexp_matches(w, '[^s]s$') THEN 'NNS' ELSE 'NN' END AS tag
-             FROM (SELECT p_partkey, t[i] AS w, i, len(t) AS n, false AS kind
+             FROM (SELECT p_partkey, t[i] AS w, i
                    FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i
                          FROM (SELECT p_partkey, string_split(p_name || ' ' || lower(p_type), ' ') AS t FROM part))))
        GROUP BY p_partkey""",

@@ -132,7 +132,7 @@ def kb_multimap(spark, sf):
 
 @query
 def relation_catalogue(spark, sf):
-    rows = fx.mentions(spark, sf).join(F.broadcast(fx.catalogue(spark)), ["e1_type", "e2_type"])
+    rows = fx.mentions(spark, sf).drop("rel_type").join(F.broadcast(fx.catalogue(spark)), ["e1_type", "e2_type"])
     return rows.groupBy("rel_type").agg(
         F.count(F.lit(1)).alias("mentions"),
         F.max(big(F.size("unigrams"))).alias("unigrams"),
