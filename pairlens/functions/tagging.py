@@ -47,27 +47,21 @@ VERB_FORMS = [
 ]
 
 
-def _listed(word: Column, pairs: list[tuple[str, str]]) -> Column:
-    """Nested choice over a short constant list, grouped by result so each branch is one set lookup."""
-    out = F.lit(None).cast("string")
-    by_result: dict[str, list[str]] = {}
-    for key, result in pairs:
-        by_result.setdefault(result, []).append(key)
-    for result, keys in by_result.items():
-        out = F.when(word.isin(keys), result).otherwise(out)
-    return out
+def _word_list() -> Column:
+    """Constant map word -> (tag, lemma); one lookup serves both."""
+    entries = [(w, tag, w) for tag, words in CLOSED_CLASS.items() for w in words.split()] + VERB_FORMS
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "\\'") + "'"
+
+    pairs = [f"{quoted(w)}, named_struct('tag', {quoted(t)}, 'lemma', {quoted(m)})" for w, t, m in entries]
+    return F.expr(f"map({', '.join(pairs)})")
 
 
 def tag_token(token: Column) -> Column:
     """Built-in tag and lemma of one token."""
 
     def build(low: Column) -> Column:
-        closed = _listed(low, [(w, tag) for tag, words in CLOSED_CLASS.items() for w in words.split()])
-        verb_tag = _listed(low, [(form, tag) for form, tag, _ in VERB_FORMS])
-        verb_lemma = _listed(low, [(form, lemma) for form, _, lemma in VERB_FORMS])
-        tag = (
-            F.coalesce(closed, verb_tag)
-        )
         open_tag = (
             F.when(~token.rlike(r"[A-Za-z]"), F.when(token.rlike(r"[0-9]"), "CD").otherwise(token))
             .when(token == "'s", "POS")
@@ -83,20 +77,23 @@ def tag_token(token: Column) -> Column:
         def lemma(tg: Column) -> Column:
             stem = F.regexp_replace(low, r"(?:ed|ing)$", "")
             undoubled = F.regexp_replace(stem, r"(b|d|g|m|n|p|r|t)\1$", "$1")
-            verb = F.when(undoubled != stem, undoubled).when(stem.rlike(r"(?:at|iz|as|us|c|g|v|u)$"), F.concat(stem, F.lit("e"))).otherwise(stem)
+            verb = F.when(undoubled != stem, undoubled).when(stem.rlike(r"(?:at|iz|as|us|c|g|v|u|[^aeo]ir)$"), F.concat(stem, F.lit("e"))).otherwise(stem)
             noun = F.when(low.rlike("ies$"), F.regexp_replace(low, "ies$", "y")).when(
                 low.rlike("(?:ss|x|ch|sh)es$"), F.regexp_replace(low, "es$", "")
             ).otherwise(F.regexp_replace(low, "s$", ""))
-            return (
-                F.when(verb_lemma.isNotNull(), verb_lemma)
-                .when(tg.isin("VBN", "VBG"), verb)
-                .when(tg == "NNS", noun)
-                .otherwise(low)
+            return F.when(tg.isin("VBN", "VBG"), verb).when(tg == "NNS", noun).otherwise(low)
+
+        def unlisted() -> Column:
+            return let(
+                open_tag,
+                lambda tg: F.struct(token.alias("tok"), tg.alias("tag"), lemma(tg).alias("lemma")),
             )
 
         return let(
-            F.coalesce(tag, open_tag),
-            lambda tg: F.struct(token.alias("tok"), tg.alias("tag"), lemma(tg).alias("lemma")),
+            F.try_element_at(_word_list(), low),
+            lambda hit: F.when(
+                hit.isNotNull(), F.struct(token.alias("tok"), hit["tag"].alias("tag"), hit["lemma"].alias("lemma"))
+            ).otherwise(unlisted()),
         )
 
     return let(F.lower(token), build)

@@ -29,10 +29,10 @@ def last_writers(rows: DataFrame, keys: Iterable[str] = ("band", "key")) -> Data
     return rows.groupBy(*keys).agg(F.max("rel_id").alias("rel_id"))
 
 
-def with_bag(features: DataFrame, col: str = "shingles") -> DataFrame:
-    """Adds ``bag``, a 128-bit key of the shingle bag; copies share it."""
-    return features.withColumn(
-        "bag", F.struct(F.xxhash64(col).alias("h1"), F.xxhash64(F.lit(1), F.col(col)).alias("h2"))
+def with_bag(rows: DataFrame, *cols: str) -> DataFrame:
+    """Adds ``bag``, a 128-bit key of the given columns; copies share it."""
+    return rows.withColumn(
+        "bag", F.struct(F.xxhash64(*cols).alias("h1"), F.xxhash64(F.lit(1), *cols).alias("h2"))
     )
 
 

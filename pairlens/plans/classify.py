@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.functions import minhash as mh
+from pairlens.functions.columns import built_once, let
 from pairlens.functions.shingles import drop_empty, mention_shingles
 from pairlens.functions.tagging import tag_tokens
 from pairlens.operators import neighbours as nb
@@ -21,10 +22,26 @@ NO_LABEL = "None"
 Tagger = Callable[[Column], Column] | None
 
 
+@built_once
+def _features_of(tagger: Tagger) -> Column:
+    """Shingles from the columns e1_type, e2_type, bef, bet and aft; the contexts are tagged in one go."""
+    n_bef, n_bet = F.size("bef"), F.size("bet")
+
+    def assemble(tagged: Column) -> Column:
+        return mention_shingles(
+            F.col("e1_type"),
+            F.col("e2_type"),
+            F.slice(tagged, F.lit(1), n_bef),
+            F.slice(tagged, n_bef + 1, n_bet),
+            F.slice(tagged, n_bef + n_bet + 1, F.size("aft")),
+        )
+
+    return let(tag_tokens(F.concat("bef", "bet", "aft"), tagger), assemble)
+
+
 def mention_features(mentions: DataFrame, tagger: Tagger = None) -> DataFrame:
     """Adds ``shingles`` to mentions."""
-    tagged = [tag_tokens(F.col(c), tagger) for c in ("bef", "bet", "aft")]
-    return mentions.withColumn("shingles", mention_shingles(F.col("e1_type"), F.col("e2_type"), *tagged))
+    return mentions.withColumn("shingles", _features_of(tagger))
 
 
 def training_features(training: DataFrame, tagger: Tagger = None) -> tuple[DataFrame, DataFrame]:
@@ -33,14 +50,15 @@ def training_features(training: DataFrame, tagger: Tagger = None) -> tuple[DataF
     The first occurrence of the pair within the distance limit is used, e1 in front; a row without
     one, or whose names are not tagged in the sentence, goes to the second frame.
     """
-    found = F.get(known_pair_contexts(F.col("sentence"), F.col("e1"), F.col("e2")), F.lit(0))
-    rows = training.select(
-        "*", found.alias("m"), _type_of("e1").alias("e1_type"), _type_of("e2").alias("e2_type")
-    )
-    usable = F.col("m").isNotNull() & (F.col("e1_type") != "") & (F.col("e2_type") != "")
-    good = rows.filter(usable).select("rel_id", "rel_type", "e1_type", "e2_type", "m.bef", "m.bet", "m.aft")
+    contexts = known_pair_contexts(F.col("sentence"), F.col("e1"), F.col("e2"))
+    rows = training.select("*", _type_of("e1").alias("e1_type"), _type_of("e2").alias("e2_type"))
+    typed = (F.col("e1_type") != "") & (F.col("e2_type") != "")
+    # An explode of at most one element drops rows without an occurrence; a filter on the computed
+    # column would be pushed below it and work out the contexts twice.
+    good = rows.filter(typed).select("*", F.explode(F.slice(contexts, F.lit(1), F.lit(1))).alias("m"))
+    good = good.select("rel_id", "rel_type", "e1_type", "e2_type", "m.bef", "m.bet", "m.aft")
     features = mention_features(good, tagger).select("rel_id", "rel_type", "shingles")
-    return features, rows.filter(~usable).select(*training.columns)
+    return features, rows.filter(~typed | (F.size(contexts) == 0)).select(*training.columns)
 
 
 def _type_of(name: str) -> Column:
@@ -89,15 +107,10 @@ def label_bags(bags: DataFrame, index: LshIndex, k: int) -> DataFrame:
     return nb.majority(nb.vote_counts(nb.top_k_neighbours(scored, k)))
 
 
-def classify_features(features: DataFrame, index: LshIndex, k: int = DEFAULT_K) -> DataFrame:
-    """Adds ``rel_type`` and ``votes`` to rows with ``shingles``; rows without a candidate get ``None``.
-
-    Copies of a bag are signed and looked up once, then the label is joined back to all of them.
-    """
-    bagged = nb.with_bag(features.withColumn("shingles", drop_empty(F.col("shingles"))))
-    bags = materialise(nb.distinct_bags(bagged, index.n_sigs), "bags")
-    labels = label_bags(bags, index, k)
-    return bagged.drop("shingles").join(labels, "bag", "left").drop("bag").withColumns(
+def join_labels(keyed: DataFrame, bags: DataFrame, index: LshIndex, k: int) -> DataFrame:
+    """``rel_type`` and ``votes`` for every row by its ``bag``; rows without a candidate get ``None``."""
+    labels = label_bags(materialise(bags, "bags"), index, k)
+    return keyed.join(labels, "bag", "left").drop("bag").withColumns(
         {
             "rel_type": F.coalesce("rel_type", F.lit(NO_LABEL)),
             "votes": F.coalesce("votes", F.lit(0)).cast("bigint"),
@@ -105,10 +118,26 @@ def classify_features(features: DataFrame, index: LshIndex, k: int = DEFAULT_K)
     )
 
 
+def classify_features(features: DataFrame, index: LshIndex, k: int = DEFAULT_K) -> DataFrame:
+    """Labels rows with ``shingles``.
+
+    Copies of a bag are signed and looked up once, then the label is joined back to all of them.
+    """
+    bagged = nb.with_bag(features.withColumn("shingles", drop_empty(F.col("shingles"))), "shingles")
+    return join_labels(bagged.drop("shingles"), nb.distinct_bags(bagged, index.n_sigs), index, k)
+
+
 def classify_mentions(
     sentences: DataFrame, index: LshIndex, k: int = DEFAULT_K, tagger: Tagger = None, text_col: str = "text"
 ) -> DataFrame:
-    """Tagged sentences -> (e1, e2, sentence, rel_type, votes), one row per mention."""
+    """Tagged sentences -> (e1, e2, sentence, rel_type, votes), one row per mention.
+
+    Features depend on the types and contexts alone, so they are made once per distinct context.
+    """
+    context = ["e1_type", "e2_type", "bef", "bet", "aft"]
     found = extract_mentions(sentences.select(text_col), FEATURE_WINDOW, text_col=text_col)
-    features = mention_features(found, tagger).select("e1", "e2", F.col(text_col).alias("sentence"), "shingles")
-    return classify_features(materialise(features, "features"), index, k)
+    keyed = nb.with_bag(found.withColumnRenamed(text_col, "sentence"), *context)
+    keyed = materialise(keyed.select("bag", "e1", "e2", "sentence", *context), "mentions")
+    distinct = keyed.select("bag", *context).dropDuplicates(["bag"])
+    bags = nb.signatures(mention_features(distinct, tagger), index.n_sigs, ["bag"])
+    return join_labels(keyed.drop(*context), bags, index, k)

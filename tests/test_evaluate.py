@@ -137,7 +137,7 @@ def test_knn_against_brute_force(spark):
 
 def test_copies_share_one_lookup(spark):
     bag = spark.createDataFrame([(i, ["a", "b"] if i % 3 else ["c", str(i)]) for i in range(300)], "q long, shingles array<string>")
-    assert nb.distinct_bags(nb.with_bag(bag), 8).count() == 101
+    assert nb.distinct_bags(nb.with_bag(bag, "shingles"), 8).count() == 101
 
 
 def test_sweep_agrees_with_single_runs(spark, sf):

@@ -462,3 +462,91 @@ oracle(
        FROM (""" + source(fx.PASSAGES) + """) q LEFT JOIN winner w ON q.rel_id = w.query_id WHERE q.rel_type IS NULL""",
     "winner",
 )
+
+
+# -- features of the derived sentences: tags of their few words, written out
+BET_WORDS = {
+    "is": ("VBZ", "be"), "based": ("VBN", "base"), "in": ("IN", "in"), "has": ("VBZ", "have"), "was": ("VBD", "be"),
+    "offices": ("NNS", "office"), "headquarters": ("NNS", "headquarter"), "keeps": ("NNS", "keep"),
+    "head": ("NN", "head"), "office": ("NN", "office"), "opened": ("VBN", "open"), "sold": ("VBD", "sell"),
+    "goods": ("NNS", "good"), "to": ("TO", "to"), "ships": ("NNS", "ship"), "a": ("DT", "a"), "very": ("RB", "very"),
+    "large": ("JJ", "large"), "number": ("NN", "number"), "of": ("IN", "of"), "boxes": ("NNS", "box"),
+    "founded": ("VBN", "found"), "by": ("IN", "by"), "graduated": ("VBN", "graduate"), "from": ("IN", "from"),
+    "the": ("DT", "the"), "chairman": ("NN", "chairman"), "works": ("NNS", "work"), "for": ("IN", "for"),
+    "co-founded": ("VBN", "co-found"), "which": ("WDT", "which"), "acquired": ("VBN", "acquire"),
+    "met": ("VBD", "meet"), ",": (",", ","), "and": ("CC", "and"),
+}
+WORD_TABLE = "(VALUES " + values([(quote(w), quote(t), quote(m)) for w, (t, m) in BET_WORDS.items()]) + ") AS t(w, tag, lemma)"
+# One letter per tag class: v(erb), r adverb, p(article), w filler, a(dposition), x other.
+CLASS = """CASE WHEN tag LIKE 'V%' THEN 'v' WHEN tag LIKE 'RB%' THEN 'r' WHEN tag IN ('TO', 'RP', 'POS') THEN 'p'
+                WHEN tag LIKE 'NN%' OR tag LIKE 'JJ%' OR tag IN ('DT', 'WDT', 'PRP') THEN 'w' WHEN tag = 'IN' THEN 'a' ELSE 'x' END"""
+CTES["bets"] = (
+    ("typed",),
+    "SELECT array_to_string(bet, ' ') AS bet, any_value(bet) AS words, count(*) AS n FROM typed GROUP BY array_to_string(bet, ' ')",
+)
+CTES["bettags"] = (
+    ("bets",),
+    f"""SELECT bet, any_value(n) AS n, list(w ORDER BY i) AS w, list(tag ORDER BY i) AS tag, list(lemma ORDER BY i) AS lemma,
+               string_agg({CLASS}, '' ORDER BY i) AS classes
+        FROM (SELECT bet, n, i, words[i] AS word FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM bets))
+        JOIN {WORD_TABLE} ON word = w GROUP BY bet""",
+)
+# A phrase is v[vrp]*[wr]*[ap]*; the letter after it is used up.  Marks: kept letters in upper case.
+CTES["phrases"] = (
+    ("bettags",),
+    r"""SELECT *, list_filter(range(1, len(classes) + 1), lambda i: regexp_matches(marked[i], '[A-Z]')) AS kept
+        FROM (SELECT *, string_split(array_to_string(list_transform(
+                 regexp_extract_all(classes, 'v[vrp]*[wr]*[ap]*.?|.'),
+                 lambda p: CASE WHEN p NOT LIKE 'v%' THEN p
+                                ELSE upper(regexp_extract(p, '^v[vrp]*[wr]*[ap]*')) ||
+                                     substr(p, length(regexp_extract(p, '^v[vrp]*[wr]*[ap]*')) + 1) END), ''), '') AS marked
+              FROM bettags)""",
+)
+PHRASE = "list_transform(kept, lambda i: {})"
+oracle(
+    "relation_phrase",
+    f"SELECT bet, array_to_string({PHRASE.format('''w[i] || '/' || tag[i] || '/' || lemma[i]''')}, ' ') AS phrase, n FROM phrases",
+    "phrases",
+)
+PASSIVE = """len(kept) >= 2 AND w[kept[-1]] = 'by' AND CASE WHEN len(kept) = 2 THEN tag[kept[-2]] IN ('VBN', 'VBD')
+             ELSE tag[kept[-2]] IN ('VBN', 'VBD') OR (lemma[kept[1]] = 'be' AND tag[kept[2]] IN ('VBN', 'VBD')) END"""
+oracle("passive_voice", f"SELECT bet, coalesce({PASSIVE}, false) AS passive FROM phrases", "phrases")
+oracle(
+    "phrase_shingles",
+    f"""SELECT bet, CASE WHEN len(kept) = 0 THEN '' ELSE array_to_string({PHRASE.format('w[i]')}, '_') ||
+                   CASE WHEN coalesce({PASSIVE}, false) THEN '_RVB_PASSIVE ' ELSE '_RVB ' END ||
+                   array_to_string({PHRASE.format('lemma[i]')}, '_') || '_RVB_NORM' END AS shingles FROM phrases""",
+    "phrases",
+)
+
+
+def per_word(name: str, keep: str, form: str) -> None:
+    oracle(
+        name,
+        f"""SELECT bet, array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: {keep}),
+                   lambda i: {form}), ' ') AS shingles FROM bettags""",
+        "bettags",
+    )
+
+
+per_word("verb_shingles", "tag[i] LIKE 'V%' AND lemma[i] NOT IN ('be', 'have')", "w[i] || '_' || tag[i] || '_BET'")
+per_word("preposition_shingles", "tag[i] LIKE 'IN%' OR tag[i] LIKE 'TO%'", "w[i] || '_PREP'")
+per_word("noun_shingles", "tag[i] = 'NN'", "w[i] || '_NN_BET'")
+# In the universal set TO is a particle and numbers of verbs stay apart by phrase.
+oracle(
+    "relation_phrase_universal",
+    r"""SELECT bet, array_to_string(list_transform(list_filter(starts, lambda s: s.k > 0),
+               lambda s: array_to_string(w[s.b:s.b + s.k - 1], ' ')), '|') AS phrases
+        FROM (SELECT bet, w, list_transform(range(1, len(parts) + 1), lambda j: {
+                     'b': 1 + coalesce(list_sum(list_transform(parts[1:j - 1], lambda p: length(p))), 0)::BIGINT,
+                     'k': length(regexp_extract(parts[j], '^v[vrp]*[wr]*[ap]*'))}) AS starts
+              FROM (SELECT bet, w, regexp_extract_all(classes, 'v[vrp]*[wr]*[ap]*.?|.') AS parts FROM bettags))""",
+    "bettags",
+)
+# Two types, two phrase shingles, a verb or a preposition with a noun, and the character 4-grams of BET and AFT.
+oracle(
+    "write_features",
+    """SELECT o_orderkey AS rel_id, rel_type, (2 + 2 + CASE bet WHEN 'founded' THEN 1 ELSE 2 END
+              + length(bet) - 3 + length('last month .') - 3)::BIGINT AS shingles FROM orderfacts""",
+    "orderfacts",
+)

@@ -203,7 +203,7 @@ def located(spark, sf):
 
 @query
 def locate_entities(spark, sf):
-    rows = located(spark, sf).select(F.explode("located").alias("x"))
+    rows = located(spark, sf).select(F.explode_outer("located").alias("x")).filter("x IS NOT NULL")
     return rows.select("x.s", "x.ty", big(F.col("x.pos")).alias("pos"), big(F.col("x.len")).alias("len"))
 
 
@@ -585,14 +585,15 @@ def doc_signatures(spark, sf):
 
 @query
 def hash_family(spark, sf):
-    rows = doc_features(spark, sf).select(mh.shingle_hashes(F.col("shingles")).alias("hashes"))
-    return rows.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("docs"))
+    rows = doc_features(spark, sf).select(F.explode(mh.shingle_hashes(F.col("shingles"))).alias("h"))
+    return rows.groupBy("h").agg(F.count(F.lit(1)).alias("docs"))
 
 
 @query
 def minhash_signature(spark, sf):
+    # A signature is never empty; the outer form keeps Spark from testing for that with a second run of the kernel.
     rows = doc_signatures(spark, sf)
-    return rows.select("rel_id", F.posexplode("sig").alias("position", "value")).select(
+    return rows.select("rel_id", F.posexplode_outer("sig").alias("position", "value")).select(
         "rel_id", big(F.col("position")).alias("position"), big(F.col("value")).alias("value")
     )
 
