@@ -114,7 +114,9 @@ def judged(documents: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def clean(documents: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents that pass, with all their columns, their text reduced to the lines that pass."""
     row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__row")
-    found = _judge(documents.select(row, F.coalesce("text", F.lit("")).alias("text")), ["__row"], rules).filter("kept")
+    found = _judge(documents.select(row, F.coalesce("text", F.lit("")).alias("text")), ["__row"], rules)
+    # A filter on what the rules made would be pushed below them and compute them again; it isn't pushed below a row number.
+    found = found.withColumn("__number", F.monotonically_increasing_id()).filter("kept AND __number >= 0")
     made = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
     return found.select(*[made.get(c, F.col("__row").getField(c)).alias(c) for c in documents.columns])
 

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -381,9 +383,7 @@ def mask(documents: DataFrame, field: Field | None = None) -> DataFrame:
     """All documents with their columns; what was found is replaced in the text. Null text stays null."""
     field = field or default_field()
 
-    def batches(frames):
-        import pandas as pd
-
+    def batches(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tagger = Tagger(field)
         for texts in frames:
             own = texts.fillna("").tolist()
