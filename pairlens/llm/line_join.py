@@ -30,6 +30,9 @@ REMEMBERED = 200_000
 #: Rows under one key beyond which the key is split by blocks of the signature.
 HOT = 2000
 
+#: Bits of the filter that spares lines without a candidate from being shuffled; fixed, so it never grows with the data.
+FILTER_BITS = 1 << 23
+
 #: One of 32 parity bits per byte value.
 PARITY = np.left_shift(np.uint32(1), (np.arange(256, dtype=np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(27))
 
@@ -98,8 +101,8 @@ def occurrences(documents: DataFrame, least: int = LEAST) -> DataFrame:
     return key_and_text(documents).mapInArrow(run, "doc_id long, line_no int, n_bytes int, h1 long, h2 long")
 
 
-def keys(documents: DataFrame, edits: int, least: int) -> DataFrame:
-    """(key, h1, indexed): a row for every key a line is indexed under or looks up."""
+def keys(documents: DataFrame, edits: int, least: int, probes: bool = True) -> DataFrame:
+    """(key, h1, indexed): a row for every key a line is indexed under or, with ``probes``, looks up."""
     schema = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("indexed", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +126,7 @@ def keys(documents: DataFrame, edits: int, least: int) -> DataFrame:
                 plan = plans.get(size)
                 if plan is None:
                     own = {(size, i, s, e) for i, (s, e) in enumerate(segments(size, edits + 1))}
-                    places = probe_places(size, edits)
+                    places = probe_places(size, edits) if probes else []
                     plan = [(s, e, other * 64 + i, (other, i, s, e) in own) for other, i, s, e in dict.fromkeys([*sorted(own), *places])]
                     if len(plans) > 20_000:
                         plans.clear()
@@ -148,7 +151,7 @@ def candidates(documents: DataFrame, edits: int = EDITS, least: int = LEAST) ->
     made = keys(documents, edits, least)
     blocks = 2 * edits + 1
     heavy = materialise(
-        made.filter("indexed").groupBy("key").count().filter(F.col("count") > HOT).select(F.col("key").alias("heavy")), "line-hot-keys"
+        keys(documents, edits, least, probes=False).groupBy("key").count().filter(F.col("count") > HOT).select(F.col("key").alias("heavy")), "line-hot-keys"
     )
     if not heavy.isEmpty():
         marked = made.join(heavy, made["key"] == heavy["heavy"], "left")
@@ -223,18 +226,42 @@ def _padded(lines: list[bytes], before: int, width: int, fill: int) -> np.ndarra
     return np.ascontiguousarray(table.T)
 
 
+def name_filter(names: DataFrame) -> np.ndarray:
+    """A bit for every name (h1), by its hashed half: 64-bit words, as many as the filter has whatever the number of names.
+
+    More names than bits leave it full, which costs the saving and no result, since an exact join follows.
+    """
+    bit = F.call_function("shiftrightunsigned", F.col("h1"), F.lit(32)).bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = names.select(F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bits"))
+    found = np.zeros(FILTER_BITS // 64, np.int64)
+    for row in words.groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():  # at most FILTER_BITS / 64 rows
+        found[row["word"]] = row["bits"]
+    return found.view(np.uint64)
+
+
+def may_hold(bits: np.ndarray, h1: np.ndarray) -> np.ndarray:
+    bit = h1.view(np.uint64) >> np.uint64(32) & np.uint64(FILTER_BITS - 1)
+    return (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def links(documents: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(a1, a2, b1, b2): every unordered pair of different lines within ``edits``, by their 128-bit names."""
     pairs = materialise(candidates(documents, edits, least), "line-candidates")
     needed = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
+    needed = materialise(needed, "line-needed")
+    bits = name_filter(needed)
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("line", pa.binary())])
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in in_batches(batches):
             found = list(dict.fromkeys(_long_lines(texts, least)))
-            if found:
-                h1, h2 = identify(found)
-                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(found, pa.binary())], schema=schema)
+            if not found:
+                continue
+            h1, h2 = identify(found)
+            may = np.flatnonzero(may_hold(bits, h1))
+            if len(may):
+                lines = pa.array([found[i] for i in may], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(h1[may]), pa.array(h2[may]), lines], schema=schema)
 
     lines = key_and_text(documents).mapInArrow(texts_of, "h1 long, h2 long, line binary").join(needed, "h1", "left_semi")
     lines = materialise(lines.dropDuplicates(["h1", "h2"]), "line-texts")
