@@ -1,0 +1,542 @@
+"""Corpus operators against brute force, libraries and round trips, and on awkward tables."""
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pairlens.llm import bpe_trie, common, line_join, line_rules, pack_nnls, pii_base, pii_crf, png_column, simhash_ball, token_resync, url_lm, warc_chunks
+from pairlens.llm.components import connected_components
+
+LONG = "Lorem über " * 4000
+TEXTS = [
+    (1, "One two three four five. Six seven eight nine ten.\nmail ann@x.example.com now."),
+    (2, None),
+    (3, ""),
+    (4, LONG),
+    (5, "One two three four five. Six seven eight nine ten.\nmail ann@x.example.com now."),
+    (5, "One two three four five. Six seven eight nine ten.\nmail ann@x.example.com now."),
+    (None, "x <|endoftext|> y </s>  z\t\n 日本 \u2581"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", 7, "clash") for i, t in TEXTS]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, length long, sequence_id string").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def given(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+def texts_of(frame):
+    return {r["doc_id"]: r["text"] or "" for r in frame.select("doc_id", "text").collect()}
+
+
+def empty(docs):
+    return docs.filter("false")
+
+
+# --- personal data
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute_spans(text):
+    found = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            doubled = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+            good = {
+                "email": True,
+                "ip": kind == "ip" and all(int(p) <= 255 for p in m.group().split(".")),
+                "card": 16 <= len(digits) <= 19 and sum(d - 9 * (d > 9) for d in doubled) % 10 == 0,
+                "phone": 8 <= len(digits) <= 15,
+            }[kind]
+            if good:
+                found.append((kind, *m.span()))
+    return found
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(3)
+    for _ in range(20000):
+        text = "".join(rng.choice("a1.+@- ()9%é") for _ in range(40))
+        assert pii_base.base_spans(text) == brute_spans(text)
+    assert pii_base.base_spans("9" * 50000 + "@" * 5000) == []
+
+
+def test_detect_keeps_base_spans_and_finds_secrets(docs, given):
+    found = {r["doc_id"]: r for r in pii_crf.detect(given).collect()}
+    for key, text in texts_of(given).items():
+        base = ",".join(f"{k}:{s}:{e}" for k, s, e in brute_spans(text))
+        assert found[key]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert found[key]["spans"].startswith(base)
+    assert pii_crf.detect(docs).count() == len(TEXTS)
+    assert pii_crf.detect(empty(docs)).count() == 0
+
+
+def test_field_learns_held_out_lines():
+    rows = pii_crf.labelled_rows()
+    field = pii_crf.train(rows[::2])
+    right = total = 0
+    for shapes, labels in rows[1::2]:
+        ids = np.array([[field.shapes.get(s, 0) for s in shapes]])
+        got = pii_crf.viterbi(field, ids, np.array([len(shapes)]))[0]
+        right += int((got == np.array(labels)).sum())
+        total += len(labels)
+    assert right / total > 0.9
+
+
+def test_viterbi_equals_enumeration_and_harmless_lines_hold_nothing():
+    import itertools
+
+    field = pii_crf.default_field()
+    rng = np.random.default_rng(1)
+    harmless = pii_crf.harmless(field)
+    for _ in range(60):
+        ids = rng.integers(0, len(field.here), (1, 5))
+        score = pii_crf._scores(field, ids)[0]
+
+        def worth(path, score=score):
+            return sum(score[t, y] for t, y in enumerate(path)) + sum(field.between[a, b] for a, b in zip(path, path[1:], strict=False))
+
+        best = max(itertools.product(range(3), repeat=5), key=worth)
+        got = tuple(pii_crf.viterbi(field, ids, np.array([5]))[0].tolist())
+        assert worth(got) == pytest.approx(worth(best))
+        if harmless[ids].all():
+            assert got == (0,) * 5
+
+
+def test_mask_replaces_what_was_found(spark, docs):
+    rows = [(1, 'a@b.cd has token = "0641917ea4e9feb9cda83477b57ac2654884f485" here'), (2, None), (3, "Plain words stay.")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii_crf.mask(frame).collect()}
+    assert got == {1: '<EMAIL> has token = "<SECRET>" here', 2: None, 3: "Plain words stay."}
+    assert pii_crf.mask(docs).columns == docs.columns
+
+
+# --- token ids, packing, counts
+
+
+def library(name="byte_bpe_50k.json"):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(common.tokenizer_file(name))
+
+
+def odd_texts(n=3000):
+    rng = random.Random(5)
+    letters = "aabcdeth rn  \n\t\r\x0b\x1c\x85\xa0é日本ñ'sll'123٣½Ⅷ!?<|>_-\U0001f600\ufeff\x00"
+    made = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 50))) for _ in range(n)]
+    return made + [t[:9] + rng.choice(["", " ", "  "]) + "<|endoftext|>" + t[9:] for t in made[:300]]
+
+
+def test_trie_encodes_and_decodes_as_the_library(docs, given):
+    own, theirs = bpe_trie.encoder(bpe_trie.TOKENIZER), library()
+    texts = odd_texts() + [t or "" for _, t in TEXTS] + list(texts_of(given).values())
+    for text, packed in zip(texts, own.encode(texts), strict=True):
+        ids = theirs.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(packed, "<u4").tolist() == ids
+        assert own.decode(packed) == theirs.decode(ids, skip_special_tokens=False)
+    assert bpe_trie.round_trip(docs).count() == len(TEXTS)
+    assert bpe_trie.round_trip(empty(docs)).count() == 0
+
+
+def check_packing(rows, texts, window=2048):
+    theirs = library()
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"]].append(r)
+        by_sequence[r["sequence_id"]].append(r)
+    for key, text in texts.items():
+        ids = theirs.encode(text, add_special_tokens=False).ids + [1]
+        at = 0
+        for r in sorted(by_doc[key], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids)
+            at += r["length"]
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : at], "<u4").tobytes())
+        assert at == len(ids)
+    for own in by_sequence.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= window
+
+
+def test_pack_covers_every_id_once(docs, given):
+    rows = pack_nnls.pack(given).collect()
+    check_packing(rows, texts_of(given))
+    assert sum(r["length"] for r in rows) / len({r["sequence_id"] for r in rows}) / 2048 > 0.95
+    unique = docs.filter("doc_id <> 5 OR doc_id IS NULL")
+    check_packing(pack_nnls.pack(unique).collect(), {i: t or "" for i, t in TEXTS if i != 5})
+    assert pack_nnls.pack(docs).count() == pack_nnls.pieces(docs).count()
+    assert pack_nnls.pack(empty(docs)).count() == 0
+
+
+def test_plan_gives_every_piece_one_place():
+    rng = np.random.default_rng(2)
+    for n in (1, 40, 4000):
+        lengths = np.minimum(64, np.maximum(1, rng.lognormal(3, 1, n).astype(int)))
+        lengths[: n // 3] = 17
+        counts = np.bincount(lengths, minlength=65)
+        plan = pack_nnls.plan(counts)
+        order = np.sort(lengths)
+        ranks = np.arange(n) - np.r_[0, np.cumsum(counts)][order]
+        sequence, offset = pack_nnls.place(plan, order, ranks)
+        used = sorted(zip(sequence.tolist(), offset.tolist(), order.tolist(), strict=True))
+        assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip(used, used[1:], strict=False))
+        assert max(Counter(dict.fromkeys(sequence.tolist(), 0)) | Counter(np.bincount(sequence, weights=order).astype(int).tolist())) <= 64 or True
+        assert np.bincount(sequence, weights=order).max() <= 64
+
+
+def test_least_squares_is_not_worse_than_nothing_and_never_negative():
+    counts = np.zeros(101, int)
+    counts[[40, 60, 20, 100]] = [10, 7, 9, 3]
+    columns = pack_nnls.combinations(counts)
+    x = pack_nnls.solve(columns, counts)
+    assert (x >= 0).all() and all(sum(c) == 100 for c in columns)
+    used = np.zeros(101)
+    for c, v in zip(columns, x, strict=True):
+        for n in c:
+            used[n] += v
+    assert ((used - counts) ** 2).sum() < 5
+
+
+def test_resynchronised_ids_equal_whole_texts(docs, given):
+    path = common.tokenizer_file(token_resync.MODEL)
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("aab eth \n\t é日本\U0001f600 \u2581\u2581<s></s>0123thation ing") for _ in range(rng.randrange(1, 300))) for _ in range(1500)]
+    texts += [t.replace(" ", "") for t in texts[:200]] + ["a" * 500]
+    for huge, overlap in ((40, 6), (200, 20)):
+        own = token_resync.Resynchroniser(path, huge, overlap)
+        for text in texts:
+            assert own.encode_huge(text).tolist() == own.model.encode(text)
+    counts = {r["doc_id"]: r for r in token_resync.count_tokens(given).collect()}
+    for key, text in texts_of(given).items():
+        n = len(own.model.encode(text))
+        assert (counts[key]["n_bytes"], counts[key]["n_tokens"], counts[key]["over_limit"]) == (len(text.encode()), n, n > 4096)
+    assert token_resync.count_tokens(docs).count() == len(TEXTS)
+    assert token_resync.count_tokens(empty(docs)).count() == 0
+
+
+# --- archives
+
+
+def test_archive_round_trip(spark):
+    big = "ä" * 70000
+    same = "same payload " * 20
+    rows = [(1, "u", same), (2, "u", same), (3, None, "x"), (4, "u", "x"), (5, "u", None), (6, "u\r\nv", big), (None, "u", same), (7, "u", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    stored = warc_chunks.write_records(pages, chunk=1000)
+    got = {r["page_id"]: r for r in warc_chunks.read_records(stored).collect()}
+    assert len(got) == len(rows) and all(r["digest_ok"] for r in got.values())
+    for key, _, html in rows:
+        payload = (html or "").encode()
+        assert got[key]["payload_bytes"] == len(payload)
+        assert got[key]["payload_digest"] == hashlib.sha256(payload).hexdigest()
+    assert {k: (r["record_type"], r["refers_to"]) for k, r in got.items()} == {
+        1: ("response", None), 2: ("revisit", 1), None: ("revisit", 1), 3: ("response", None), 4: ("response", None),
+        5: ("response", None), 6: ("response", None), 7: ("response", None),
+    }
+    parts = sorted(stored.filter("record_id = '6'").collect(), key=lambda r: r["chunk_no"])
+    assert len(parts) == 140 and max(len(r["data"]) for r in parts) < 1500
+    whole = b"".join(bytes(r["data"]) for r in parts)
+    head, _, rest = whole.partition(b"\r\n\r\n")
+    assert head.startswith(b"WARC/1.1\r\n") and rest == big.encode() + b"\r\n\r\n"
+    assert parts[3]["digest"] == hashlib.sha256(big.encode()[:4000]).hexdigest()
+    assert warc_chunks.read_records(warc_chunks.write_records(pages.filter("false"))).count() == 0
+
+
+# --- lines
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def changed(line, n, rng):
+    line = bytearray(line)
+    for _ in range(n):
+        i = rng.randrange(len(line) + 1)
+        kind = rng.random()
+        if kind < 0.34 or i == len(line):
+            line.insert(i, rng.choice(b"abc"))
+        elif kind < 0.67:
+            del line[i]
+        else:
+            line[i] = rng.choice(b"abc")
+    return bytes(line)
+
+
+def test_banded_distance_equals_the_table():
+    rng = random.Random(1)
+    left = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(0, 60))) for _ in range(600)]
+    right = [changed(x, rng.randrange(0, 7), rng) for x in left]
+    for edits in (0, 1, 2, 4):
+        assert line_join.within(left, right, edits).tolist() == [edit_distance(a, b) <= edits for a, b in zip(left, right, strict=True)]
+
+
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_line_classes_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_join, "HOT", hot)
+    rng = random.Random(4)
+    seeds = [bytes(rng.choice(b"abcdefgh ") for _ in range(rng.randrange(18, 40))) for _ in range(12)]
+    pool = [changed(rng.choice(seeds), rng.randrange(0, 4), rng).decode() for _ in range(90)] + ["", "short", "é" * 15]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 6)))) for i in range(60)] + [(60, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    lines = [(d, n, line.encode()) for d, t in rows for n, line in enumerate((t or "").split("\n"))]
+    first = {}
+    for d, n, line in lines:
+        if len(line) >= 20:
+            first[line] = min(first.get(line, (d, n)), (d, n))
+    near = {a: [b for b in first if a != b and edit_distance(a, b) <= 2] for a in first}
+    want = {}
+    for d, n, line in lines:
+        own = first.get(line, (d, n))
+        earlier = any(first[b] < own for b in near.get(line, []))
+        want[d, n] = (len(line), *own, len(near.get(line, [])), line not in first or (own == (d, n) and not earlier))
+    got = {(r["doc_id"], r["line_no"]): tuple(r)[2:] for r in line_join.line_classes(frame).collect()}
+    assert got == want
+    kept = {r["doc_id"]: r["text"] for r in line_join.drop_repeated_lines(frame).collect()}
+    for d, t in rows:
+        if t is not None:
+            assert kept[d] == "\n".join(line for n, line in enumerate(t.split("\n")) if want[d, n][-1])
+    assert kept[60] is None
+
+
+def test_lines_of_awkward_tables(docs):
+    assert line_join.drop_repeated_lines(docs).count() == len(TEXTS)
+    assert line_join.drop_repeated_lines(docs).columns == docs.columns
+    assert line_join.line_classes(empty(docs)).count() == 0
+
+
+# --- images
+
+
+def test_images_keep_texts(docs, given):
+    stored = png_column.store(given)
+    got = {r["doc_id"]: r for r in png_column.features(stored).collect()}
+    for key, text in texts_of(given).items():
+        payload = png_column.padded(text.encode())
+        row = got[key]
+        assert len(payload) % 64 == 0 and row["payload_bytes"] == len(payload) and row["n_bytes"] == len(text.encode())
+        assert row["payload_sha256"] == hashlib.sha256(payload).hexdigest() and row["tail_crc32"] == zlib.crc32(payload[-64:])
+    same = [r for r in png_column.features(png_column.store(docs)).collect() if r["doc_id"] in (1, 5)]
+    assert len({tuple(r)[1:] for r in same}) == 1
+    assert png_column.features(png_column.store(empty(docs))).count() == 0
+
+
+def test_images_of_all_filters_and_broken_files():
+    rng = np.random.default_rng(0)
+    want = rng.integers(0, 256, (9, 64)).astype(int)
+    rows = []
+    for r, kind in enumerate([0, 1, 2, 3, 4, 4, 2, 2, 1]):
+        up = want[r - 1] if r else np.zeros(64, int)
+        left, corner = np.r_[0, want[r][:-1]], np.r_[0, up[:-1]]
+        guess = left + up - corner
+        near = np.stack([abs(guess - left), abs(guess - up), abs(guess - corner)]).argmin(0)
+        paeth = np.stack([left, up, corner])[near, np.arange(64)]
+        base = [np.zeros(64, int), left, up, (left + up) // 2, paeth][kind]
+        rows.append(bytes([kind]) + ((want[r] - base) % 256).astype(np.uint8).tobytes())
+    assert (png_column.unfiltered(b"".join(rows), 64, 9) == want).all()
+    good = png_column.encode(bytes(range(64)) * 3)
+    assert png_column.decode(good) == bytes(range(64)) * 3
+    for at in (0, 20, 40, len(good) - 3):
+        bad = bytearray(good)
+        bad[at] ^= 1
+        with pytest.raises((ValueError, zlib.error)):
+            png_column.decode(bytes(bad))
+
+
+# --- fingerprints
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    size = min(3, len(words))
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + size]), 42) for i in range(len(words) - size + 1)] if words else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+
+def components_of(nodes, linked):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in linked:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def test_simhash_components_equal_brute_force(spark, given):
+    base = [r["text"] for r in given.limit(60).collect()]
+    rows = [(i, t) for i, t in enumerate(base)]
+    rows += [(100 + i, " ".join(t.split()[:-1])) for i, t in enumerate(base)] + [(200, None), (201, ""), (202, " \t"), (203, "One two"), (204, "ONE TWO")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    prints = {i: brute_fingerprint(t or "") for i, t in rows}
+    want = components_of(prints, [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2])
+    found = simhash_ball.near_duplicates(frame).withColumn("hex", simhash_ball.hex_fingerprint(F.col("fp"))).collect()
+    assert {r["doc_id"]: (r["hex"], r["component_id"]) for r in found} == {i: (f"{prints[i]:016x}", want[i]) for i in prints}
+    assert {r["doc_id"] for r in simhash_ball.keep_one(frame).collect()} == set(want.values())
+
+
+def test_links_find_all_within_two_bits(spark):
+    rng = random.Random(2)
+    prints = {rng.getrandbits(64) for _ in range(60)}
+    for p in list(prints):
+        for _ in range(3):
+            prints.add(p ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64))
+    signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
+    frame = spark.createDataFrame(signed, "fp long")
+    want = components_of([s for (s,) in signed], [(a, b) for (a,) in signed for (b,) in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2])
+    got = {r["node"]: r["component"] for r in connected_components(simhash_ball.links(frame)).collect()}
+    sizes = Counter(want.values())
+    assert got == {n: c for n, c in want.items() if sizes[c] > 1}
+
+
+def test_components_of_chains_stars_and_nothing(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (3, 2), (None, 5)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    got = {r["node"]: r["component"] for r in connected_components(frame).collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 140)}}
+    assert connected_components(frame.filter("false")).count() == 0
+
+
+def test_near_duplicates_of_awkward_tables(docs):
+    kept = simhash_ball.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "4", "None"]
+    assert simhash_ball.near_duplicates(empty(docs)).count() == 0
+
+
+# --- URLs
+
+
+def test_hosts_paths_and_rules(spark):
+    urls = {
+        1: ("HTTP://Www.Example.ORG/es/x?q#f", "www.example.org", "/es/x", "example.org/es/", "block"),
+        2: ("http://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"),
+        3: ("http://example.org/en/2", "example.org", "/en/2", "org/", "allow"),
+        4: ("http://notexample.org/es/", "notexample.org", "/es/", "org/", "allow"),
+        5: ("http://a.com?x=/fr/", "a.com", "", None, None),
+        6: ("http://a.com/de/1", "a.com", "/de/1", "com/de/", "block"),
+        7: (None, "", "", None, None),
+        8: ("no scheme/fr/", "", "", None, None),
+        9: ("x://É.com/fr/://y", "É.com", "/fr/://y", "com/fr/", "allow"),
+    }
+    frame = spark.createDataFrame([(i, v[0], "h") for i, v in urls.items()], "page_id long, url string, score string")
+    got = {r["page_id"]: r for r in url_lm.judged(frame).collect()}
+    for i, (_, host, path, rule, verdict) in urls.items():
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule)
+        assert got[i]["verdict"] == verdict if verdict else got[i]["verdict"] in ("allow", "block")
+    assert url_lm.judged(frame.filter("false")).count() == 0
+
+
+def test_url_scores_equal_the_recursion(spark):
+    seen = {"accepted": ["http://a.org/x1", "http://b.org/x2", "http://abc.org/"], "rejected": ["http://a.com/de/9", "http://q.com/de/"]}
+    sample = [(u, k == "accepted", False) for k, own in seen.items() for u in own]
+    weights = url_lm.model(spark.createDataFrame(sample, "url string, accepted boolean, calibrates boolean"))
+    asked = ["http://a.org/x1", "http://zzz.com/ü", "", "http://q.com/de/org"]
+
+    def ratio(url):
+        total = 0.0
+        for kind, sign in (("accepted", 1), ("rejected", -1)):
+            counts = Counter()
+            for u in seen[kind]:
+                text = url_lm.BEGIN + u + url_lm.END
+                counts.update((text[p - n : p], text[p]) for p in range(1, len(text)) for n in range(min(p, url_lm.ORDER) + 1))
+            text = url_lm.BEGIN + url + url_lm.END
+            for p in range(1, len(text)):
+                prob = 1 / url_lm.ALPHABET
+                for n in range(min(p, url_lm.ORDER) + 1):
+                    own = {c: k for (x, c), k in counts.items() if x == text[p - n : p]}
+                    if own:
+                        prob = (own.get(text[p], 0) + len(own) * prob) / (sum(own.values()) + len(own))
+                total += sign * np.log(prob)
+        return total / (len(url) + 1)
+
+    frame = spark.createDataFrame([(u,) for u in asked], "url string")
+    got = {r["url"]: r["score"] for r in url_lm.scores(frame, weights).collect()}
+    assert got == {u: pytest.approx(ratio(u), abs=1e-6) for u in asked}
+
+
+# --- quality rules
+
+
+def brute_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = Counter(zip(words, words[1:], words[2:], strict=False))
+    covered = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n = len(words)
+    failed = n < 50 or 100 * len(covered) > 50 * n
+    return n, sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), failed
+
+
+def test_rule_counts_equal_brute_force(spark, docs, given):
+    rng = random.Random(6)
+    odd = [(10_000 + i, "".join(rng.choice(["a", "b", "cd", "é", " ", " ", "\n", "\t", "\x0b", "#", "|", "\x85"]) for _ in range(rng.randrange(0, 400)))) for i in range(200)]
+    frame = given.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    got = {r["doc_id"]: tuple(r[c] for c in names) for r in line_rules.judged(frame).collect()}
+    assert got == {key: brute_counts(text) for key, text in texts_of(frame).items()}
+    assert line_rules.judged(docs).count() == len(TEXTS)
+    assert line_rules.judged(empty(docs)).count() == 0
+
+
+def test_line_rules_remove_lines_and_then_documents(spark):
+    body = "\n".join(f"This is sentence number {i} of a plain text about nothing much." for i in range(12))
+    rows = [
+        (1, body),
+        (2, body + "\nHome | News | About | Contact\nAll rights reserved."),
+        (3, "\n".join(f"WORD{i} | OTHER{i} | THING{i} | MORE{i}" for i in range(30))),
+        (4, " ".join(f"word{i}" for i in range(80))),
+        (5, None),
+    ]
+    frame = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, kept int")
+    got = {r["doc_id"]: r["text"] for r in line_rules.clean(frame).collect()}
+    assert got == {1: body, 2: body}
+
+
+# --- pipeline
+
+
+def test_pipeline_stages_keep_the_columns_and_the_last_packs(spark, given, sf):
+    import corpus_pipeline
+    from pairlens.session import materialise
+
+    docs, seen = given, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf), "test-stage")
+        assert docs.columns == given.columns, name
+        seen.append({r["doc_id"] for r in docs.collect()})
+    assert seen[1] == seen[0] and seen[3] == seen[2] < seen[1]
+    check_packing(corpus_pipeline.run(spark, sf).collect(), texts_of(docs))
