@@ -201,7 +201,6 @@ def test_plan_gives_every_piece_one_place():
         sequence, offset = pack_nnls.place(plan, order, ranks)
         used = sorted(zip(sequence.tolist(), offset.tolist(), order.tolist(), strict=True))
         assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip(used, used[1:], strict=False))
-        assert max(Counter(dict.fromkeys(sequence.tolist(), 0)) | Counter(np.bincount(sequence, weights=order).astype(int).tolist())) <= 64 or True
         assert np.bincount(sequence, weights=order).max() <= 64
 
 
@@ -513,7 +512,7 @@ def test_rule_counts_equal_brute_force(spark, docs, given):
 
 
 def test_line_rules_remove_lines_and_then_documents(spark):
-    body = "\n".join(f"This is sentence number {i} of a plain text about nothing much." for i in range(12))
+    body = "\n".join(f"Sentence{i} says{i} what{i} nobody{i} has{i} ever{i} asked{i} for{i}." for i in range(12))
     rows = [
         (1, body),
         (2, body + "\nHome | News | About | Contact\nAll rights reserved."),
