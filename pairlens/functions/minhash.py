@@ -33,8 +33,9 @@ def family(n_sigs: int) -> list[tuple[int, int]]:
 
 
 def shingle_hashes(shingles: Column) -> Column:
-    """Distinct 32-bit hashes of the bag; empty strings are no shingles."""
-    kept = F.array_distinct(F.filter(shingles, lambda s: s != ""))
+    """Distinct 32-bit hashes of the bag; empty strings are no shingles, and a null bag is an empty one."""
+    bag = F.coalesce(shingles, F.array().cast("array<string>"))
+    kept = F.array_distinct(F.filter(bag, lambda s: s != ""))
     return F.transform(kept, lambda s: F.conv(F.substr(F.md5(s.cast("binary")), F.lit(1), F.lit(8)), 16, 10).cast("bigint"))
 
 

@@ -10,6 +10,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairlens.functions import minhash as mh
 
@@ -19,6 +20,17 @@ def signatures(features: DataFrame, n_sigs: int, keep: Iterable[str] = ("rel_id"
     return mh.with_signature(hashed, n_sigs).drop("hashes")
 
 
+def one_per_id(signed: DataFrame) -> DataFrame:
+    """One row per ``rel_id``: of rows that repeat an id the largest by label and signature stays, on every run the same."""
+    kept = signed.groupBy("rel_id").agg(F.max(F.struct("rel_type", "sig")).alias("row"))
+    return kept.select("rel_id", "row.rel_type", "row.sig")
+
+
+def repeated_ids(features: DataFrame) -> DataFrame:
+    """(rel_id, n) of ids that several labelled rows carry; an index keeps one row of each."""
+    return features.groupBy("rel_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
 def band_rows(signed: DataFrame, n_sigs: int, n_bands: int, keep: Iterable[str]) -> DataFrame:
     exploded = signed.select(*keep, F.explode(mh.band_keys(F.col("sig"), n_sigs, n_bands)).alias("b"))
     return exploded.select(*keep, "b.band", "b.key")
@@ -30,9 +42,15 @@ def last_writers(rows: DataFrame, keys: Iterable[str] = ("band", "key")) -> Data
 
 
 def with_bag(rows: DataFrame, *cols: str) -> DataFrame:
-    """Adds ``bag``, a 128-bit key of the given columns; copies share it."""
+    """Adds ``bag``, a 128-bit key of the given columns; copies share it.
+
+    A hash over several arrays runs on from one into the next, so their sizes are hashed too: the borders between the
+    columns are part of the key.
+    """
+    arrays = [c for c in cols if isinstance(rows.schema[c].dataType, T.ArrayType)]
+    parts = [*cols, *[F.size(c) for c in arrays]]
     return rows.withColumn(
-        "bag", F.struct(F.xxhash64(*cols).alias("h1"), F.xxhash64(F.lit(1), *cols).alias("h2"))
+        "bag", F.struct(F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *parts).alias("h2"))
     )
 
 

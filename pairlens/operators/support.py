@@ -149,11 +149,11 @@ def exact_phrase_verdicts(triples: DataFrame, counts: DataFrame, catalogue: Data
     """Verdict ``supported`` for each distinct (rel_type, e1, e2, bet); other columns of ``triples`` stay.
 
     The share is over all hits of the pair; below the threshold a BET that equals a relational word
-    still passes, but only when the pair has hits.
+    still passes, but only when the pair has hits.  A triple whose relation the catalogue doesn't have is not supported.
     """
     kinds = F.broadcast(catalogue.select("rel_type", "e1_type", "e2_type", "unigrams", "bigrams"))
     word = F.trim(F.col("bet"))
-    asked = triples.join(kinds, "rel_type").withColumns(
+    asked = triples.join(kinds, "rel_type", "left").withColumns(
         {
             "own_phrase": F.array_join(tx.tokenize(F.col("bet")), " "),
             "listed": F.array_contains("unigrams", word) | F.array_contains("bigrams", word),

@@ -95,7 +95,7 @@ class LshIndex:
 def build_lsh_index(features: DataFrame, n_sigs: int = DEFAULT_SIGS, n_bands: int = DEFAULT_BANDS) -> LshIndex:
     """Index (rel_id, rel_type, shingles) rows; signatures are stored once and the buckets read from them."""
     mh.rows_per_band(n_sigs, n_bands)
-    labelled = materialise(nb.signatures(features, n_sigs), "labelled")
+    labelled = materialise(nb.one_per_id(nb.signatures(features, n_sigs)), "labelled")
     buckets = nb.last_writers(nb.band_rows(labelled, n_sigs, n_bands, ["rel_id"]))
     return LshIndex(labelled, buckets, n_sigs, n_bands)
 

@@ -113,7 +113,7 @@ def with_missed(ledger: DataFrame, subtract: bool = True) -> DataFrame:
 
 
 def region_sizes(catalogue: DataFrame, ledger: DataFrame, subtract: bool = True) -> DataFrame:
-    """One row per relation with the size of every region.
+    """One row per relation of the catalogue, and of any other that has facts, with the size of every region.
 
     s, a, b and not_found count facts; c and d count distinct mentions; the rest count pairs.
     """
@@ -134,8 +134,9 @@ def region_sizes(catalogue: DataFrame, ledger: DataFrame, subtract: bool = True)
         F.count_if((F.col("a") > 0) | (F.col("b") > 0) | F.col("region").isNotNull()).alias("g_pairs"),
     )
     names = [c for c in sizes.columns if c != "rel_type"]
-    # Twelve relations on the left: the join only adds those without any row.
-    joined = catalogue.select("rel_type").join(sizes, "rel_type", "left")
+    # Twelve relations on the left: the join adds those without any row.
+    declared = catalogue.select("rel_type", F.lit(True).alias("declared"))
+    joined = declared.join(sizes, "rel_type", "full").filter("declared OR s > 0")
     return joined.select("rel_type", *[F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in names])
 
 

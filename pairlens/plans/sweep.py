@@ -167,7 +167,7 @@ def parameter_sweep(
     """
     settings, _ = split_grid(sigs, bands)
     most = max(s for s, _ in settings)
-    labelled = materialise(nb.signatures(training_features, most), "sweep-labelled")
+    labelled = materialise(nb.one_per_id(nb.signatures(training_features, most)), "sweep-labelled")
     bagged = materialise(nb.with_bag(query_features, "shingles"), "sweep-queries")
     bags = materialise(nb.distinct_bags(bagged, most), "sweep-bags")
     facts = bagged.select("bag", "e1", "e2", "bet", "sentence").distinct().groupBy("bag", "e1", "e2", "bet").agg(

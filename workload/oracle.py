@@ -300,7 +300,7 @@ KB_ROWS = {
     "read_kb_ntriples": """SELECT 'Supplier ' || s_suppkey AS e1, unnest(['NATION ' || s_nationkey, 'City ' || s_suppkey % 5]) AS e2
                            FROM supplier""",
     "read_kb_freebase": "SELECT 'Supplier ' || s_suppkey AS e1, 'NATION ' || s_nationkey AS e2 FROM supplier",
-    "read_kb_manual": "SELECT 'Supplier ' || s_suppkey AS e1, 'Town ' || s_suppkey % 3 AS e2 FROM supplier WHERE s_suppkey % 2 = 0",
+    "read_kb_manual": "SELECT 'Supplier ' || s_suppkey AS e1, 'Town ' || s_suppkey % 3 AS e2 FROM supplier",
 }
 KB_ROWS["read_kb_yago"] = KB_ROWS["read_kb_ntriples"]
 for kb_name, kb_sql in KB_ROWS.items():
