@@ -5,6 +5,8 @@ brute force or exact round trips.
 """
 from __future__ import annotations
 
+from pairlens.llm import line_rules, url_lm
+
 ORACLE: dict[str, str] = {}
 
 ORACLE["op4_warc_chunks"] = """
@@ -42,3 +44,133 @@ SELECT doc_id, line_no::INTEGER AS line_no, s.n_bytes::INTEGER AS n_bytes,
        c.line IS NULL OR (c.first.d = doc_id AND c.first.l = line_no AND (earliest IS NULL OR c.first < earliest)) AS kept
 FROM sized s LEFT JOIN classes c ON s.line = c.line LEFT JOIN links k ON s.line = k.line
 """
+
+# Words, windows and lines as rows; every document is numbered, so rows that repeat an id stay apart.
+_RULES = line_rules.Rules()
+ORACLE["op10_line_rules"] = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), worded AS (
+  SELECT rid, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM docs
+), windows AS (
+  SELECT rid, unnest(range(1, len(words) - 1)) AS pos, unnest([words[i:i + 2] for i in range(1, len(words) - 1)]) AS held FROM worded
+), counted AS (
+  SELECT rid, pos, count(*) OVER (PARTITION BY rid, held) AS n FROM windows
+), covered AS (
+  SELECT rid, count(DISTINCT word_at) AS n_repeat_words
+  FROM (SELECT rid, unnest([pos, pos + 1, pos + 2]) AS word_at FROM counted WHERE n > 1) GROUP BY rid
+), lines AS (
+  SELECT rid, unnest(range(len(own))) AS line_no, unnest(own) AS line FROM (SELECT rid, string_split(text, chr(10)) AS own FROM docs)
+), sized AS (
+  SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS has_word, length(replace(line, ' ', '')) AS chars,
+         length(line) - length(replace(line, ' ', '')) + 1 AS n_words,
+         length(line) - length(regexp_replace(line, '[{line_rules.SEPARATORS}]', '', 'g')) AS n_separators,
+         length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         right(rtrim(rtrim(right(line, {line_rules.TAIL}), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                     '{line_rules.CLOSING.replace("'", "''")}'), 1) AS last
+  FROM lines
+), tested AS (
+  SELECT *, NOT has_word OR NOT (
+      n_separators >= {_RULES.separators} AND n_words <= 5 * n_separators
+      OR n_words >= {_RULES.long_line} AND (last = '' OR NOT contains('{line_rules.ENDINGS}', last))
+      OR {" OR ".join(f"contains(lower(line), '{phrase}')" for phrase in line_rules.BOILERPLATE)}
+      OR n_words >= {_RULES.shout_words} AND NOT regexp_matches(line, '\p{{Ll}}') AND regexp_matches(line, '\p{{Lu}}')
+      OR n_symbols > {_RULES.symbol_share}::DOUBLE * chars) AS passes
+  FROM sized
+), judged AS (
+  SELECT rid, (count(*) FILTER (has_word) - count(DISTINCT line) FILTER (has_word))::BIGINT AS n_dup_lines,
+         length(replace(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (passes), ''), ' ', '')) AS left_chars
+  FROM tested GROUP BY rid
+), every AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, n_dup_lines,
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, length(replace(text, ' ', '')) AS text_chars, left_chars
+  FROM docs JOIN worded USING (rid) JOIN judged USING (rid) LEFT JOIN covered USING (rid)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < {_RULES.min_words} OR 100 * n_repeat_words > {_RULES.repeat_percent} * n_words AS base_failed,
+       NOT (n_words < {_RULES.min_words} OR 100 * n_repeat_words > {_RULES.repeat_percent} * n_words)
+         AND text_chars - left_chars <= {_RULES.lost_share}::DOUBLE * text_chars AS kept
+FROM every
+"""
+
+# Every character of every URL by the recursion itself: each longer context that the counts know mixes its own share in.
+_UPPER, _LOWER = url_lm.UPPER, url_lm.LOWER
+
+
+def _rule_sql() -> str:
+    """Name of the longest rule that fits, the rules being tried from the longest on."""
+    tried = sorted(url_lm.RULES, key=lambda r: -len(r.name))
+    cases = [
+        f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.name}'" for r in tried
+    ]
+    return "CASE " + " ".join(cases) + " END"
+
+
+def _mixed_sql(kind: str, n: int) -> str:
+    low = f"p{n - 1}_{kind}"
+    weight = f"(c.all_{kind} + c.kinds_{kind})"
+    return f"CASE WHEN {weight} > 0 THEN (coalesce(s.n_{kind}, 0) + c.kinds_{kind} * {low}) / {weight} ELSE {low} END AS p{n}_{kind}"
+
+
+def _level_sql(n: int) -> str:
+    """Probabilities with contexts of up to n - 1 characters."""
+    part = f"CASE WHEN pos >= {n} THEN substring(marked, pos - {n - 1}, {n}) END"
+    context = f"CASE WHEN pos >= {n} THEN substring(marked, pos - {n - 1}, {n - 1}) END"
+    return f"""level{n} AS (
+  SELECT l.*, {_mixed_sql("a", n)}, {_mixed_sql("r", n)}
+  FROM level{n - 1} l LEFT JOIN contexts c ON c.context = {context} LEFT JOIN counted s ON s.part = {part}
+)"""
+
+
+ORACLE["op9_url_lm"] = rf"""
+WITH cut AS (
+  SELECT page_id, coalesce(url, '') AS url, CASE WHEN strpos(url, '://') > 0 THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), hosts AS (
+  SELECT page_id, url, rest, regexp_extract(rest, '^([^/?#]*)', 1) AS raw FROM cut
+), parted AS (
+  SELECT page_id, url, translate(raw, '{_UPPER}', '{_LOWER}') AS host,
+         regexp_extract(substring(rest, length(raw) + 1), '^([^?#]*)', 1) AS path
+  FROM hosts
+), ruled AS (
+  SELECT *, {_rule_sql()} AS rule FROM parted
+), named AS (
+  SELECT *, CASE {" ".join(f"WHEN rule = '{r.name}' THEN '{r.verdict}'" for r in url_lm.RULES)} END AS rule_verdict FROM ruled
+), known AS (
+  SELECT DISTINCT url, rule_verdict = 'allow' AS accepted FROM named WHERE rule IS NOT NULL AND length(url) <= {url_lm.LONGEST}
+), sample AS (
+  SELECT url, accepted, right(md5(url), 1) < '{url_lm.CALIBRATE}' AS calibrates FROM known
+  QUALIFY row_number() OVER (PARTITION BY accepted ORDER BY md5(url), url) <= {url_lm.SAMPLE}
+), marked AS (
+  SELECT url, chr(2) || url || chr(3) AS marked FROM (SELECT url FROM sample UNION SELECT url FROM named)
+), places AS (
+  SELECT url, marked, unnest(range(2, length(marked) + 1)) AS pos FROM marked
+), parts AS (
+  SELECT accepted, substring(marked, pos - n + 1, n) AS part
+  FROM sample JOIN places USING (url) JOIN range(1, {url_lm.ORDER + 2}) sizes(n) ON pos >= n WHERE NOT calibrates
+), counted AS (
+  SELECT part, count(*) FILTER (accepted)::DOUBLE AS n_a, count(*) FILTER (NOT accepted)::DOUBLE AS n_r FROM parts GROUP BY part
+), contexts AS (
+  SELECT left(part, length(part) - 1) AS context, sum(n_a) AS all_a, sum(n_r) AS all_r,
+         count(*) FILTER (n_a > 0)::DOUBLE AS kinds_a, count(*) FILTER (n_r > 0)::DOUBLE AS kinds_r
+  FROM counted GROUP BY context
+), level0 AS (
+  SELECT *, 1.0::DOUBLE / {url_lm.ALPHABET} AS p0_a, 1.0::DOUBLE / {url_lm.ALPHABET} AS p0_r FROM places
+), {", ".join(_level_sql(n) for n in range(1, url_lm.ORDER + 2))}, scored AS (
+  SELECT url, round(sum(ln(p{url_lm.ORDER + 1}_a) - ln(p{url_lm.ORDER + 1}_r)) / count(*), 9) AS score FROM level{url_lm.ORDER + 1} GROUP BY url
+), steps AS (
+  SELECT floor(score / {url_lm.STEP}::DOUBLE) AS step, count(*) FILTER (accepted) AS a, count(*) FILTER (NOT accepted) AS r
+  FROM sample JOIN scored USING (url) WHERE calibrates GROUP BY step
+), gains AS (
+  SELECT step, sum(a) OVER () AS every_a, sum(r) OVER () AS every_r,
+         sum(a) OVER (ORDER BY step DESC) AS above, coalesce(sum(r) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+  FROM steps
+), best AS (
+  SELECT step * {url_lm.STEP}::DOUBLE AS threshold FROM gains WHERE every_a > 0 AND every_r > 0
+  ORDER BY round(above::DOUBLE / every_a + below::DOUBLE / every_r, 9) DESC, step LIMIT 1
+)
+SELECT page_id, host, path, rule,
+       coalesce(rule_verdict, CASE WHEN score >= coalesce((SELECT threshold FROM best), 0) THEN 'allow' ELSE 'block' END) AS verdict
+FROM named JOIN scored USING (url)
+"""
