@@ -33,7 +33,7 @@ def run(frame) -> None:
 
 def index_rate(spark) -> tuple[float, int]:
     """Signatures and buckets (200 signatures, 25 bands) over stored features."""
-    features, _ = cl.training_features(tr.parse_training(fx.run(spark, SF_DIR, fx.TRAINING_LINES)))
+    features, _ = cl.training_features(tr.parse_training(fx.run(spark, SF_DIR, fx.LABELLED_LINES)))
     stored = materialise(features, "bench-features")
     rows = stored.count()
     start = time.time()

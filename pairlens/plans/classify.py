@@ -130,7 +130,13 @@ def classify_features(features: DataFrame, index: LshIndex, k: int = DEFAULT_K)
 def classify_mentions(
     sentences: DataFrame, index: LshIndex, k: int = DEFAULT_K, tagger: Tagger = None, text_col: str = "text"
 ) -> DataFrame:
-    """Tagged sentences -> (e1, e2, sentence, rel_type, votes), one row per mention.
+    """Tagged sentences -> (e1, e2, sentence, rel_type, votes), one row per mention."""
+    keyed, features = context_features(sentences, tagger, text_col)
+    return join_labels(keyed, nb.signatures(features, index.n_sigs, ["bag"]), index, k)
+
+
+def context_features(sentences: DataFrame, tagger: Tagger = None, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Mentions (bag, e1, e2, sentence) and the features (bag, shingles) of their contexts.
 
     Features depend on the types and contexts alone, so they are made once per distinct context.
     """
@@ -139,5 +145,4 @@ def classify_mentions(
     keyed = nb.with_bag(found.withColumnRenamed(text_col, "sentence"), *context)
     keyed = materialise(keyed.select("bag", "e1", "e2", "sentence", *context), "mentions")
     distinct = keyed.select("bag", *context).dropDuplicates(["bag"])
-    bags = nb.signatures(mention_features(distinct, tagger), index.n_sigs, ["bag"])
-    return join_labels(keyed.drop(*context), bags, index, k)
+    return keyed.drop(*context), mention_features(distinct, tagger).select("bag", "shingles")

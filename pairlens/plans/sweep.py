@@ -15,6 +15,7 @@ from pairlens.operators import neighbours as nb
 from pairlens.operators import support as sp
 from pairlens.plans import evaluate as ev
 from pairlens.session import materialise
+from pairlens.sources.records import facts_of_classified
 
 # The grid.
 SIGS = [100, 200, 300, 400, 500, 600]
@@ -83,14 +84,22 @@ def sweep_metrics(
 ) -> DataFrame:
     """P, R and F1 per (sigs, bands, k, rel_type).
 
-    ``mentions(bag, e1, e2, bet, n_facts)`` are the classified facts, copies merged.  What the corpus and
-    the knowledge base say about a pair does not depend on the setting: the totals of c and d are counted
-    once, and each setting subtracts the pairs it found.
+    ``mentions(bags, e1, e2, bet, n_facts)`` are the classified facts, copies merged.  Facts whose bags get the
+    same labels in all settings are merged before they are counted per setting.  What the corpus and the
+    knowledge base say about a pair does not depend on the setting: the totals of c and d are counted once,
+    and each setting subtracts the pairs it found.
     """
     setting = [*SETTING, "k"]
-    facts = mentions.join(labels.select(*setting, "bag", "rel_type"), "bag").groupBy(
-        *setting, *ev.TRIPLE_KEY
-    ).agg(F.sum("n_facts").alias("n_facts"))
+    vectors = materialise(label_vectors(mentions.select("bags").distinct(), labels), "sweep-vectors")
+    merged = mentions.join(vectors.select("bags", "vector"), "bags").groupBy("vector", "e1", "e2", "bet").agg(
+        F.sum("n_facts").alias("n_facts")
+    )
+    each = merged.join(vectors.select("vector", "answers").dropDuplicates(["vector"]), "vector").select(
+        "e1", "e2", "bet", "n_facts", F.explode("answers").alias("answer")
+    )
+    facts = each.select("answer.*", "e1", "e2", "bet", "n_facts").groupBy(*setting, *ev.TRIPLE_KEY).agg(
+        F.sum("n_facts").alias("n_facts")
+    )
     facts = materialise(facts, "sweep-facts")
     triples = facts.select(*ev.TRIPLE_KEY).distinct()
     verdicts = sp.exact_phrase_verdicts(triples, stats.phrases, catalogue).select(*ev.TRIPLE_KEY, "supported")
@@ -118,6 +127,26 @@ def sweep_metrics(
     return ev.evaluation_metrics(sizes).select(*setting, "rel_type", "s", "a", "b", "c_pairs", "d_pairs", "precision", "recall", "f1")
 
 
+def label_vectors(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bags, answers, vector): the distinct (sigs, bands, k, rel_type) that the bags of a group get, and a 128-bit key of them."""
+    named = groups.select("bags", F.explode("bags").alias("bag")).join(labels, "bag")
+    answer = F.struct(*SETTING, "k", "rel_type")
+    every = named.groupBy("bags").agg(F.sort_array(F.collect_set(answer)).alias("answers"))
+    parts = [F.size("answers"), F.col("answers")]
+    return every.withColumn("vector", F.struct(F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *parts).alias("h2")))
+
+
+def facts_by_bags(mentions: DataFrame) -> DataFrame:
+    """(bags, e1, e2, bet, n_facts): the facts that labelling the mentions (bag, e1, e2, sentence) states.
+
+    A sentence states a pair's relation once for each place where the pair stands, whichever of its mentions has the
+    label.  So a fact depends on the labels of all bags that its pair has in its sentence; most have one.
+    """
+    pairs = mentions.groupBy("e1", "e2", "sentence").agg(F.sort_array(F.collect_set("bag")).alias("bags"))
+    facts = facts_of_classified(pairs).select("bags", "e1", "e2", "sentence", "bet").distinct()
+    return facts.groupBy("bags", "e1", "e2", "bet").agg(F.count(F.lit(1)).alias("n_facts"))
+
+
 def stats_with_kb(pairs: DataFrame, kb: DataFrame) -> DataFrame:
     """Per pair of the corpus or the knowledge base: is it known, and would it be in c or d if nobody found it."""
     zero = F.lit(0).cast("bigint")
@@ -152,7 +181,8 @@ def macro_average(results: DataFrame) -> DataFrame:
 
 def parameter_sweep(
     training_features: DataFrame,
-    query_features: DataFrame,
+    mentions: DataFrame,
+    features: DataFrame,
     kb: DataFrame,
     stats: ev.CorpusStatistics,
     catalogue: DataFrame,
@@ -162,16 +192,12 @@ def parameter_sweep(
 ) -> DataFrame:
     """Results table of every usable setting.
 
-    ``training_features(rel_id, rel_type, shingles)``; ``query_features(e1, e2, sentence, bet, shingles)``
-    with one row per classified fact.
+    ``training_features(rel_id, rel_type, shingles)``; ``mentions(bag, e1, e2, sentence)`` and ``features(bag, shingles)``
+    as ``classify.context_features`` gives them.  Every setting counts what a single run with it evaluates.
     """
     settings, _ = split_grid(sigs, bands)
     most = max(s for s, _ in settings)
     labelled = materialise(nb.one_per_id(nb.signatures(training_features, most)), "sweep-labelled")
-    bagged = materialise(nb.with_bag(query_features, "shingles"), "sweep-queries")
-    bags = materialise(nb.distinct_bags(bagged, most), "sweep-bags")
-    facts = bagged.select("bag", "e1", "e2", "bet", "sentence").distinct().groupBy("bag", "e1", "e2", "bet").agg(
-        F.count(F.lit(1)).alias("n_facts")
-    )
+    bags = materialise(nb.signatures(features, most, ["bag"]), "sweep-bags")
     labels = sweep_labels(labelled, bags, settings, neighbours)
-    return sweep_metrics(labels, facts, kb, stats, catalogue)
+    return sweep_metrics(labels, facts_by_bags(mentions), kb, stats, catalogue)

@@ -1,6 +1,7 @@
 """The evaluation and the classifier against plain Python on small inputs, and invariants on the derived ones."""
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from pairlens.operators import neighbours as nb
@@ -141,24 +142,28 @@ def test_copies_share_one_lookup(spark):
 
 
 def test_sweep_agrees_with_single_runs(spark, sf):
-    cat, kb = fx.catalogue(spark), fx.kb(spark, sf)
-    sentences = fx.sentences(spark, sf)
-    stats = ev.corpus_statistics(sentences, cat, fx.types())
     from pairlens.session import materialise
     from pairlens.sources import training as tr
 
-    features, bad = cl.training_features(tr.parse_training(fx.run(spark, sf, fx.TRAINING_LINES)))
+    cat, kb = fx.catalogue(spark), fx.kb(spark, sf)
+    extra = "Once <PER>Customer 1</PER> founded <ORG>Firm 7 Inc.</ORG> and Customer 1 left Firm 7 Inc. soon ."
+    sentences = materialise(fx.sentences(spark, sf).select("sent_id", "text").union(spark.createDataFrame([(-1, extra)], "sent_id long, text string")), "s")
+    stats = ev.corpus_statistics(sentences, cat, fx.types())
+    features, bad = cl.training_features(tr.parse_training(fx.run(spark, sf, fx.LABELLED_LINES)))
     features = materialise(features, "f")
-    assert bad.count() == 0
-    swept = sw.parameter_sweep(features, bs.query_features(sentences), kb, stats, cat, [40, 80], [20], [1, 5])
-    got = {(r.sigs, r.k, r.rel_type): (r.s, r.a, r.b, r.c_pairs, r.d_pairs) for r in swept.collect()}
-    assert {s for s, _, _ in got} == {40, 80}
-    index = cl.build_lsh_index(features, 80, 20)
-    rows = materialise(cl.classify_mentions(sentences, index, 5), "c")
-    named = rows.filter("rel_type <> 'None'").select("rel_type", "e1", "e2", "sentence").distinct()
-    facts = named.withColumns({"bet": F.lit("")})
-    counted = {r.rel_type: r.n for r in facts.groupBy("rel_type").agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert counted == {rel: v[0] for (s, k, rel), v in got.items() if (s, k) == (80, 5)}
+    assert bad.count() == 0 and features.select("shingles").distinct().count() > 300
+    names = ["rel_type", "s", "a", "b", "c_pairs", "d_pairs", "precision", "recall", "f1"]
+    swept = sw.parameter_sweep(features, *cl.context_features(sentences), kb, stats, cat, [40, 80], [20, 40], [1, 5]).collect()
+    assert len({(r.sigs, r.bands, r.k, r.s, r.rel_type) for r in swept}) > 20
+    for sigs, bands, k in ((40, 20, 1), (80, 20, 5), (80, 40, 5)):
+        rows = materialise(cl.classify_mentions(sentences, cl.build_lsh_index(features, sigs, bands), k), "c")
+        done = bs.evaluate_classified(rows, kb, stats, cat)
+        want = done.metrics.select("rel_type", "s", "a", "b", "precision", "recall", "f1").filter("s > 0")
+        want = want.join(done.sizes.select("rel_type", "c_pairs", "d_pairs"), "rel_type")
+        want = sorted(tuple(r) for r in want.select(*names).collect())
+        got = sorted(tuple(r[n] for n in names) for r in swept if (r.sigs, r.bands, r.k) == (sigs, bands, k))
+        assert len(got) >= 4 and [g[:6] for g in got] == [w[:6] for w in want]
+        assert [g[6:] for g in got] == [pytest.approx(w[6:]) for w in want]
 
 
 def test_grid():

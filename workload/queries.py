@@ -558,8 +558,14 @@ def entity_type_shingles(spark, sf):
 @query
 def char_4grams(spark, sf):
     docs = fx.table(spark, sf, "documents")
-    rows = docs.select("doc_id", F.explode(sh.char_ngrams(F.col("text"), "BET")).alias("gram"))
-    return rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+    def marked(grams: Column) -> Column:
+        every = F.transform(grams, lambda g: F.struct(g.alias("gram"), F.lit(False).alias("once")))
+        return F.concat(every, F.transform(F.array_distinct(grams), lambda g: F.struct(g.alias("gram"), F.lit(True).alias("once"))))
+
+    # A document's distinct grams are marked in its row, so both counts are one aggregate and no pair is shuffled.
+    rows = docs.select(F.explode(let(sh.char_ngrams(F.col("text"), "BET"), marked)).alias("g"))
+    return rows.groupBy("g.gram").agg(F.count_if(~F.col("g.once")).alias("n"), F.count_if("g.once").alias("docs"))
 
 
 @query
@@ -687,9 +693,8 @@ def classify_features(spark, sf):
 
 
 def trained(spark, sf):
-    """Index over the order sentences; the labels are the relations they were written for."""
-    lines = tr.parse_training(fx.run(spark, sf, fx.TRAINING_LINES))
-    features, _ = cl.training_features(lines)
+    """Index over sentences of all orders and order lines, labelled by their phrase, one label in eleven wrong."""
+    features, _ = cl.training_features(tr.parse_training(fx.run(spark, sf, fx.LABELLED_LINES)))
     return cl.build_lsh_index(features)
 
 
@@ -733,10 +738,9 @@ def write_features(spark, sf):
 
 
 def swept(spark, sf):
-    lines = tr.parse_training(fx.run(spark, sf, fx.TRAINING_LINES))
-    features, _ = cl.training_features(lines)
+    features, _ = cl.training_features(tr.parse_training(fx.run(spark, sf, fx.LABELLED_LINES)))
     return sw.parameter_sweep(
-        features, bs.query_features(fx.sentences(spark, sf)), fx.kb(spark, sf), stats(spark, sf), fx.catalogue(spark)
+        features, *cl.context_features(fx.sentences(spark, sf)), fx.kb(spark, sf), stats(spark, sf), fx.catalogue(spark)
     )
 
 
