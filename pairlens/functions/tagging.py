@@ -45,11 +45,32 @@ VERB_FORMS = [
     ("born", "VBN", "bear"), ("wrote", "VBD", "write"), ("written", "VBN", "write"), ("ran", "VBD", "run"),
     ("grew", "VBD", "grow"), ("found", "VBD", "find"), ("met", "VBD", "meet"), ("became", "VBD", "become"),
 ]
+# Verbs whose third person would pass for a plural.
+THIRD_PERSON_OF = (
+    "own acquire buy sell employ keep work ship make lead hold take give say win leave build write run grow find meet become "
+    "found start open close join marry study teach live move play serve produce publish direct manage control operate "
+    "represent succeed include contain require provide supply need want know think believe call become remain appear "
+    "begin continue create develop design invest merge hire appoint marry attend graduate reside die"
+).split()
+
+
+def third_person(verb: str) -> str:
+    if verb.endswith("y") and verb[-2] not in "aeiou":
+        return verb[:-1] + "ies"
+    return verb + ("es" if verb.endswith(("s", "x", "z", "ch", "sh", "o")) else "s")
+
+
+def word_entries() -> list[tuple[str, str, str]]:
+    """(word, tag, lemma) of the word list; a word stands once."""
+    listed = [(w, tag, w) for tag, words in CLOSED_CLASS.items() for w in words.split()] + VERB_FORMS
+    known = {w for w, _, _ in listed}
+    forms = {third_person(v): v for v in THIRD_PERSON_OF}
+    return listed + [(form, "VBZ", verb) for form, verb in forms.items() if form not in known]
 
 
 def _word_list() -> Column:
     """Constant map word -> (tag, lemma); one lookup serves both."""
-    entries = [(w, tag, w) for tag, words in CLOSED_CLASS.items() for w in words.split()] + VERB_FORMS
+    entries = word_entries()
 
     def quoted(text: str) -> str:
         return "'" + text.replace("'", "\\'") + "'"
@@ -77,7 +98,7 @@ def tag_token(token: Column) -> Column:
         def lemma(tg: Column) -> Column:
             stem = F.regexp_replace(low, r"(?:ed|ing)$", "")
             undoubled = F.regexp_replace(stem, r"(b|d|g|m|n|p|r|t)\1$", "$1")
-            verb = F.when(undoubled != stem, undoubled).when(stem.rlike(r"(?:at|iz|as|us|c|g|v|u|[^aeo]ir)$"), F.concat(stem, F.lit("e"))).otherwise(stem)
+            verb = F.when(low.endswith("ied"), F.regexp_replace(low, "ied$", "y")).when(undoubled != stem, undoubled).when(stem.rlike(r"(?:at|iz|as|us|c|g|v|u|[^aeo]ir)$"), F.concat(stem, F.lit("e"))).otherwise(stem)
             noun = F.when(low.rlike("ies$"), F.regexp_replace(low, "ies$", "y")).when(
                 low.rlike("(?:ss|x|ch|sh)es$"), F.regexp_replace(low, "es$", "")
             ).otherwise(F.regexp_replace(low, "s$", ""))

@@ -119,3 +119,13 @@ def test_lexicon_overrides_rules(spark):
     lexicon = spark.createDataFrame([("zorbed", "VBD", "zorb")], "token string, tag string, lemma string")
     out = {r.id: [(t.tok, t.tag, t.lemma) for t in r.tagged] for r in tg.tag_with_lexicon(rows, "id", "toks", lexicon).collect()}
     assert out[1] == [("Acme", "NNP", "acme"), ("zorbed", "VBD", "zorb"), ("Foo", "NNP", "foo")] and out[2] == []
+
+
+def test_third_persons_and_ied(spark):
+    words = ["owns", "acquires", "Studies", "studied", "buys", "boxes", "reaches", "offices"]
+    frame = spark.createDataFrame([(words,)], "t array<string>").select(tg.tag_tokens(F.col("t")).alias("t"))
+    got = {t.tok: (t.tag, t.lemma) for t in frame.first().t}
+    assert got == {
+        "owns": ("VBZ", "own"), "acquires": ("VBZ", "acquire"), "Studies": ("VBZ", "study"), "studied": ("VBN", "study"),
+        "buys": ("VBZ", "buy"), "boxes": ("NNS", "box"), "reaches": ("NNS", "reach"), "offices": ("NNS", "office"),
+    }

@@ -467,19 +467,19 @@ oracle(
 # -- features of the derived sentences: tags of their few words, written out
 BET_WORDS = {
     "is": ("VBZ", "be"), "based": ("VBN", "base"), "in": ("IN", "in"), "has": ("VBZ", "have"), "was": ("VBD", "be"),
-    "offices": ("NNS", "office"), "headquarters": ("NNS", "headquarter"), "keeps": ("NNS", "keep"),
+    "offices": ("NNS", "office"), "headquarters": ("NNS", "headquarter"), "keeps": ("VBZ", "keep"),
     "head": ("NN", "head"), "office": ("NN", "office"), "opened": ("VBN", "open"), "sold": ("VBD", "sell"),
-    "goods": ("NNS", "good"), "to": ("TO", "to"), "ships": ("NNS", "ship"), "a": ("DT", "a"), "very": ("RB", "very"),
+    "goods": ("NNS", "good"), "to": ("TO", "to"), "ships": ("VBZ", "ship"), "a": ("DT", "a"), "very": ("RB", "very"),
     "large": ("JJ", "large"), "number": ("NN", "number"), "of": ("IN", "of"), "boxes": ("NNS", "box"),
     "founded": ("VBN", "found"), "by": ("IN", "by"), "graduated": ("VBN", "graduate"), "from": ("IN", "from"),
-    "the": ("DT", "the"), "chairman": ("NN", "chairman"), "works": ("NNS", "work"), "for": ("IN", "for"),
+    "the": ("DT", "the"), "chairman": ("NN", "chairman"), "works": ("VBZ", "work"), "for": ("IN", "for"),
     "co-founded": ("VBN", "co-found"), "which": ("WDT", "which"), "acquired": ("VBN", "acquire"),
     "met": ("VBD", "meet"), ",": (",", ","), "and": ("CC", "and"),
 }
 WORD_TABLE = "(VALUES " + values([(quote(w), quote(t), quote(m)) for w, (t, m) in BET_WORDS.items()]) + ") AS t(w, tag, lemma)"
 # One letter per tag class: v(erb), r adverb, p(article), w filler, a(dposition), x other.
-CLASS = """CASE WHEN tag LIKE 'V%' THEN 'v' WHEN tag LIKE 'RB%' THEN 'r' WHEN tag IN ('TO', 'RP', 'POS') THEN 'p'
-                WHEN tag LIKE 'NN%' OR tag LIKE 'JJ%' OR tag IN ('DT', 'WDT', 'PRP') THEN 'w' WHEN tag = 'IN' THEN 'a' ELSE 'x' END"""
+CLASS = """CASE WHEN tag LIKE 'V%' THEN 'v' WHEN tag LIKE 'RB%' OR tag = 'WRB' THEN 'r' WHEN tag IN ('TO', 'RP', 'POS') THEN 'p'
+                WHEN tag LIKE 'NN%' OR tag LIKE 'JJ%' OR tag IN ('DT', 'WDT', 'PRP', 'PRP$', 'WP', 'EX') THEN 'w' WHEN tag = 'IN' THEN 'a' ELSE 'x' END"""
 CTES["bets"] = (
     ("typed",),
     "SELECT array_to_string(bet, ' ') AS bet, any_value(bet) AS words, count(*) AS n FROM typed GROUP BY array_to_string(bet, ' ')",
@@ -550,3 +550,112 @@ oracle(
               + length(bet) - 3 + length('last month .') - 3)::BIGINT AS shingles FROM orderfacts""",
     "orderfacts",
 )
+
+# -- the tag rules as one CASE over words
+LEXICON = "(VALUES " + values([tuple(map(quote, e)) for e in tg.word_entries()]) + ") AS l(word, listed_tag, listed_lemma)"
+VERB_LEMMA = r"""CASE WHEN low LIKE '%ied' THEN regexp_replace(low, 'ied$', 'y')
+       WHEN length(stem) > 1 AND right(stem, 1) = right(left(stem, length(stem) - 1), 1) AND right(stem, 1) IN ('b', 'd', 'g', 'm', 'n', 'p', 'r', 't')
+         THEN left(stem, length(stem) - 1)
+       WHEN regexp_matches(stem, '(at|iz|as|us|c|g|v|u|[^aeo]ir)$') THEN stem || 'e' ELSE stem END"""
+NOUN_LEMMA = r"""CASE WHEN low LIKE '%ies' THEN regexp_replace(low, 'ies$', 'y')
+       WHEN regexp_matches(low, '(ss|x|ch|sh)es$') THEN regexp_replace(low, 'es$', '') ELSE regexp_replace(low, 's$', '') END"""
+
+
+def tags_of(tokens: str) -> str:
+    """(tok, tag, lemma) of the distinct words of a query with a column tok."""
+    return rf"""SELECT tok, coalesce(listed_tag, rule_tag) AS tag,
+       CASE WHEN listed_lemma IS NOT NULL THEN listed_lemma WHEN rule_tag IN ('VBN', 'VBG') THEN {VERB_LEMMA}
+            WHEN rule_tag = 'NNS' THEN {NOUN_LEMMA} ELSE low END AS lemma
+FROM (SELECT tok, lower(tok) AS low, regexp_replace(lower(tok), '(ed|ing)$', '') AS stem,
+             CASE WHEN NOT regexp_matches(tok, '[A-Za-z]') THEN CASE WHEN regexp_matches(tok, '[0-9]') THEN 'CD' ELSE tok END
+                  WHEN tok = chr(39) || 's' THEN 'POS' WHEN regexp_matches(tok, '^[A-Z]') THEN 'NNP'
+                  WHEN lower(tok) LIKE '%ing' THEN 'VBG' WHEN lower(tok) LIKE '%ed' THEN 'VBN' WHEN lower(tok) LIKE '%ly' THEN 'RB'
+                  WHEN regexp_matches(lower(tok), '(ous|ful|ive|able|ible|ical|ish|less|large)$') THEN 'JJ'
+                  WHEN regexp_matches(lower(tok), '[^s]s$') THEN 'NNS' ELSE 'NN' END AS rule_tag
+      FROM (SELECT DISTINCT tok FROM ({tokens}))) LEFT JOIN {LEXICON} ON low = word"""
+
+
+def kept_of(rows: str) -> str:
+    """Rows with a string ``classes``, a letter per token, and ``kept``, the numbers of the tokens in phrases."""
+    return rf"""SELECT *, list_filter(range(1, len(marked) + 1), lambda i: regexp_matches(marked[i], '[A-Z]')) AS kept
+        FROM (SELECT *, string_split(array_to_string(list_transform(
+                 regexp_extract_all(classes, 'v[vrp]*[wr]*[ap]*.?|.'),
+                 lambda p: CASE WHEN p NOT LIKE 'v%' THEN p
+                                ELSE upper(regexp_extract(p, '^v[vrp]*[wr]*[ap]*')) ||
+                                     substr(p, length(regexp_extract(p, '^v[vrp]*[wr]*[ap]*')) + 1) END), ''), '') AS marked
+              FROM ({rows}))"""
+
+
+CTES["doctoks"] = (
+    (),
+    f"""SELECT doc_id, i, t[i] AS tok FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i
+        FROM (SELECT doc_id, {treebank('text')} AS t FROM documents))""",
+)
+CTES["doctags"] = (("doctoks",), tags_of("SELECT tok FROM doctoks"))
+oracle("tag_and_lemmatise", "SELECT tok, tag, lemma, count(*) AS n FROM doctoks JOIN doctags USING (tok) GROUP BY ALL", "doctoks", "doctags")
+CTES["docphrases"] = (
+    ("doctoks", "doctags"),
+    kept_of(f"""SELECT doc_id, list(tok ORDER BY i) AS w, string_agg({CLASS}, '' ORDER BY i) AS classes
+                FROM doctoks JOIN doctags USING (tok) GROUP BY doc_id"""),
+)
+oracle(
+    "relation_phrase_raw",
+    """SELECT doc_id, coalesce(len(kept), 0)::BIGINT AS phrase_tokens,
+              md5(coalesce(array_to_string(list_transform(kept, lambda i: w[i]), ' '), '')) AS phrase_md5
+       FROM documents LEFT JOIN docphrases USING (doc_id)""",
+    "docphrases",
+)
+# Contexts of all mentions, their sides tagged word by word, and their bags in the order of the kinds.
+SIDES = ("bef", "bet", "aft")
+CTES["contexts"] = (
+    ("men",),
+    """SELECT row_number() OVER () AS cid, * FROM (
+         SELECT e1_type, e2_type, bef3 AS bef, bet, aft3 AS aft, count(*) AS n FROM men GROUP BY ALL)""",
+)
+CTES["sidetoks"] = (
+    ("contexts",),
+    " UNION ALL ".join(
+        f"SELECT cid, '{s}' AS side, i, {s}[i] AS tok FROM (SELECT *, unnest(range(1, len({s}) + 1)) AS i FROM contexts)" for s in SIDES
+    ),
+)
+CTES["sidetags"] = (("sidetoks",), tags_of("SELECT tok FROM sidetoks"))
+CTES["sides"] = (
+    ("sidetoks", "sidetags"),
+    kept_of(f"""SELECT cid, side, list(tok ORDER BY i) AS w, list(tag ORDER BY i) AS tag, list(lemma ORDER BY i) AS lemma,
+                       string_agg({CLASS}, '' ORDER BY i) AS classes
+                FROM sidetoks JOIN sidetags USING (tok) GROUP BY cid, side"""),
+)
+PICKED = "list_transform(list_filter(range(1, len(w) + 1), lambda i: {}), lambda i: {})"
+CTES["sidebags"] = (
+    ("sides",),
+    f"""SELECT cid, side,
+          CASE WHEN side <> 'bet' OR len(kept) = 0 THEN [] ELSE
+            [array_to_string({PHRASE.format('w[i]')}, '_') || CASE WHEN coalesce({PASSIVE}, false) THEN '_RVB_PASSIVE' ELSE '_RVB' END,
+             array_to_string({PHRASE.format('lemma[i]')}, '_') || '_RVB_NORM'] END AS phrase,
+          {PICKED.format("tag[i] IN ('VB', 'VBD', 'VBN', 'VBP', 'VBZ', 'VBG') AND lemma[i] NOT IN ('be', 'have')", "w[i] || '_' || tag[i] || '_' || upper(side)")} AS verbs,
+          {PICKED.format("tag[i] LIKE 'IN%' OR tag[i] LIKE 'TO%'", "w[i] || '_PREP'")} AS preps,
+          {PICKED.format("tag[i] = 'NN'", "w[i] || '_NN_BET'")} AS nouns,
+          list_transform(range(1, length(array_to_string(w, ' ')) - 2),
+                         lambda i: replace(substring(array_to_string(w, ' '), i, 4), ' ', '_') || '_' || upper(side)) AS grams
+        FROM sides""",
+)
+
+
+def _side(kind: str, side: str) -> str:
+    return f"coalesce({side}s.{kind}, [])"
+
+
+CTES["bags"] = (
+    ("contexts", "sidebags"),
+    "SELECT c.*, list_concat([e1_type || '_ENTITY1', e2_type || '_ENTITY2'], "
+    + ", ".join(
+        [_side("phrase", "bet"), *[_side("verbs", s) for s in SIDES], _side("preps", "bet"), _side("nouns", "bet"), *[_side("grams", s) for s in SIDES]]
+    )
+    + ") AS shingles FROM contexts c "
+    + " ".join(f"LEFT JOIN sidebags {s}s ON {s}s.cid = c.cid AND {s}s.side = '{s}'" for s in SIDES),
+)
+oracle(
+    "assemble_shingles",
+    f"SELECT e1_type, e2_type, {BAGGED}, array_to_string(shingles, ' ') AS shingles, n FROM bags",
+    "bags",
+)

@@ -498,7 +498,7 @@ def tagged_text(col: Column) -> Column:
 def tag_and_lemmatise(spark, sf):
     docs = fx.table(spark, sf, "documents")
     rows = docs.select(F.explode(tg.tag_tokens(tx.tokenize(F.col("text")))).alias("t"))
-    return rows.groupBy("t.tag").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("t.tok", "t.tag", "t.lemma").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -526,7 +526,8 @@ def relation_phrase_universal(spark, sf):
 def relation_phrase_raw(spark, sf):
     docs = fx.table(spark, sf, "documents")
     phrase = ph.relation_phrase(tg.tag_tokens(tx.tokenize(F.col("text"))))
-    return docs.select("doc_id", big(F.size(phrase)).alias("phrase_tokens"))
+    words = let(phrase, lambda p: F.struct(big(F.size(p)).alias("n"), F.md5(joined(F.transform(p, lambda t: t["tok"]))).alias("text")))
+    return docs.select("doc_id", words.alias("p")).select("doc_id", F.col("p.n").alias("phrase_tokens"), F.col("p.text").alias("phrase_md5"))
 
 
 @query
