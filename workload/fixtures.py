@@ -125,12 +125,11 @@ UNION ALL SELECT '# order ' || CAST(o_orderkey AS STRING) AS value FROM {{orders
 UNION ALL SELECT '' AS value FROM {{orders}} WHERE o_orderkey % 10 = 1
 """
 # Labelled sentences with the phrases of the derived corpus in varied surroundings; a share has the label of another phrase.
-LABELLED_LINES = """
-SELECT 'id:' || CAST(id AS STRING) || CHR(9) || CASE WHEN id % 11 = 3 THEN other ELSE rel_type END || CHR(9) || e1 || CHR(9) || e2 ||
-       CHR(9) || CASE WHEN v % 4 = 0 THEN '' WHEN v % 4 = 1 THEN 'Today ' WHEN v % 4 = 2 THEN 'In ' || place || ' ' ELSE 'Report : ' END ||
-       '<' || t1 || '>' || e1 || '</' || t1 || '> ' || bet || ' <' || t2 || '>' || e2 || '</' || t2 || '> ' ||
+LABELLED_ROWS = """
+SELECT id, CASE WHEN id % 11 = 3 THEN other ELSE rel_type END AS rel_type, t1, e1, bet, t2, e2,
+       CASE WHEN v % 4 = 0 THEN '' WHEN v % 4 = 1 THEN 'Today ' WHEN v % 4 = 2 THEN 'In ' || place || ' ' ELSE 'Report : ' END AS bef,
        CASE WHEN v % 5 = 0 THEN 'last month .' WHEN v % 5 = 1 THEN 'this year .' WHEN v % 5 = 2 THEN 'in ' || year || ' .'
-            WHEN v % 5 = 3 THEN 'since ' || year || ' .' ELSE 'before ' || place || ' did so .' END AS value
+            WHEN v % 5 = 3 THEN 'since ' || year || ' .' ELSE 'before ' || place || ' did so .' END AS aft
 FROM (
   SELECT o_orderkey AS id, 'PER' AS t1, 'Customer ' || CAST(c_custkey AS STRING) AS e1,
          'ORG' AS t2, 'Firm ' || CAST(c_nationkey * 7 + o_orderkey % 3 AS STRING) || ' Inc.' AS e2,
@@ -141,7 +140,7 @@ FROM (
          o_custkey % 97 AS v, CAST(1990 + o_custkey % 13 AS STRING) AS year, n_name AS place
   FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
   UNION ALL
-  SELECT 1000000000000 + l_orderkey * 10 + l_linenumber AS id, 'ORG' AS t1, 'Supplier ' || CAST(s_suppkey AS STRING) AS e1,
+  SELECT ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS id, 'ORG' AS t1, 'Supplier ' || CAST(s_suppkey AS STRING) AS e1,
          'LOC' AS t2, 'NATION_' || CAST(s_nationkey AS STRING) AS e2,
          CASE WHEN l_partkey % 6 = 0 THEN 'is based in' WHEN l_partkey % 6 = 1 THEN 'headquarters'
               WHEN l_partkey % 6 = 2 THEN 'has offices in' WHEN l_partkey % 6 = 3 THEN 'sold goods to'
@@ -152,6 +151,11 @@ FROM (
   FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey
 )
 """
+LABELLED_LINES = f"""
+SELECT 'id:' || CAST(id AS STRING) || CHR(9) || rel_type || CHR(9) || e1 || CHR(9) || e2 || CHR(9) || bef ||
+       '<' || t1 || '>' || e1 || '</' || t1 || '> ' || bet || ' <' || t2 || '>' || e2 || '</' || t2 || '> ' || aft AS value
+FROM ({LABELLED_ROWS})
+"""
 FEATURE_LINES = """
 SELECT CAST(p_partkey AS STRING) || CHR(9) || p_type || CHR(9) || p_name || '  ' || p_brand || ' ' AS value FROM {part}
 """

@@ -5,6 +5,8 @@ from joins of numbered spans, support from grouped joins, signatures from unnest
 """
 from __future__ import annotations
 
+import re
+
 from pairlens.functions import tagging as tg
 from pairlens.functions import text as tx
 from pairlens.sources.catalogue import KEEP_ORDER_ON_PASSIVE, RELATIONS
@@ -659,3 +661,83 @@ oracle(
     f"SELECT e1_type, e2_type, {BAGGED}, array_to_string(shingles, ' ') AS shingles, n FROM bags",
     "bags",
 )
+
+# -- classification of mentions: labelled contexts, signatures, buckets, neighbours, votes
+CTES["labelledcontexts"] = (
+    (),
+    f"""SELECT -row_number() OVER () AS cid, e1_type, e2_type, bef, bet, aft, max(id) AS rel_id, arg_max(rel_type, id) AS rel_type
+        FROM (SELECT id, rel_type, t1 AS e1_type, t2 AS e2_type, {words("bet")} AS bet,
+                     list_slice({words("bef")}, -3, -1) AS bef, list_slice({words("aft")}, 1, 3) AS aft
+              FROM ({source(fx.LABELLED_ROWS)}))
+        GROUP BY e1_type, e2_type, bef, bet, aft""",
+)
+
+
+def renamed(names: list[str], renames: dict[str, str]) -> None:
+    """Copies of CTEs that read other CTEs in place of some."""
+    renames = {**renames, **{n: f"l{n}" for n in names}}
+
+    def swap(text: str) -> str:
+        return re.sub(rf"\b({'|'.join(renames)})\b(?!\.)", lambda m: renames[m[1]], text)
+
+    for n in names:
+        needs, sql = CTES[n]
+        CTES[renames[n]] = tuple(renames.get(c, c) for c in needs), swap(sql)
+
+
+# Rows that name a column or alias like a CTE stay as they are: only the CTEs listed are read under another name.
+renamed(["sidetoks", "sidetags", "sides", "sidebags", "bags"], {"contexts": "labelledcontexts"})
+M_SIGS, M_BANDS, M_K = 200, 25, 7
+M_ROWS = M_SIGS // M_BANDS
+HASH = "('0x' || substr(md5(s), 1, 8))::BIGINT"
+CTES["mhashes"] = (
+    ("bags", "lbags"),
+    f"""SELECT DISTINCT cid, {HASH} AS h FROM (SELECT cid, unnest(shingles) AS s FROM bags
+        UNION ALL SELECT cid, unnest(shingles) FROM lbags) WHERE s <> ''""",
+)
+CTES["mcoef"] = ((), CTES["coef"][1].replace(f"range(1, {DOC_SIGS + 1})", f"range(1, {M_SIGS + 1})"))
+CTES["msig"] = (
+    ("mhashes", "mcoef"),
+    "SELECT cid, position, min((h * a + b) % 2147483647) AS value FROM mhashes, mcoef GROUP BY cid, position",
+)
+CTES["mchunks"] = (
+    ("msig",),
+    f"SELECT cid, position // {M_ROWS} AS band, list_sort(list(value)) AS chunk FROM msig GROUP BY cid, position // {M_ROWS}",
+)
+CTES["mbuckets"] = (
+    ("mchunks", "lbags"),
+    "SELECT band, chunk, max(rel_id) AS rel_id FROM mchunks JOIN lbags USING (cid) GROUP BY band, chunk",
+)
+CTES["mscored"] = (
+    ("mchunks", "mbuckets", "msig", "lbags"),
+    f"""SELECT c.query_id, c.rel_id, any_value(c.rel_type) AS rel_type, count(*) FILTER (q.value = o.value) / {M_SIGS}.0 AS similarity
+        FROM (SELECT DISTINCT q.cid AS query_id, b.rel_id, l.cid, l.rel_type
+              FROM mchunks q JOIN mbuckets b ON q.band = b.band AND q.chunk = b.chunk JOIN lbags l ON l.rel_id = b.rel_id WHERE q.cid > 0) c
+        JOIN msig q ON q.cid = c.query_id JOIN msig o ON o.cid = c.cid AND o.position = q.position GROUP BY c.query_id, c.rel_id""",
+)
+CTES["mwinner"] = (
+    ("mscored",),
+    f"""SELECT query_id, rel_type, votes FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, round(weight, 9) DESC, rel_type) AS place
+          FROM (SELECT query_id, rel_type, count(*) AS votes, sum(similarity) AS weight
+                FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, rel_id) AS rank FROM mscored)
+                WHERE rank <= {M_K} GROUP BY query_id, rel_type)) WHERE place = 1""",
+)
+CTES["classified"] = (
+    ("men", "contexts", "mwinner"),
+    """SELECT m.e1, m.e2, m.text AS sentence, m.bet, coalesce(w.rel_type, 'None') AS rel_type, coalesce(votes, 0)::BIGINT AS votes
+       FROM men m JOIN contexts c ON m.e1_type = c.e1_type AND m.e2_type = c.e2_type AND m.bef3 = c.bef AND m.bet = c.bet AND m.aft3 = c.aft
+       LEFT JOIN mwinner w ON w.query_id = c.cid""",
+)
+oracle("classify_mentions", "SELECT e1, e2, sentence, rel_type, votes FROM classified", "classified")
+oracle("write_classified", "SELECT e1, e2, sentence, rel_type FROM classified", "classified")
+oracle("write_by_relation", "SELECT rel_type, count(*) AS n FROM classified GROUP BY rel_type", "classified")
+# What the labels state, evaluated as any system's facts are.
+CTES["labelfacts"] = (
+    ("classified",),
+    """SELECT DISTINCT rel_type, e1, e2, NULL::DOUBLE AS score, '' AS bef, array_to_string(bet, ' ') AS bet, '' AS aft, sentence
+       FROM classified WHERE rel_type <> 'None'""",
+)
+renamed(["verdicts", "regions", "missed", "truth", "sizes", "metrics"], {"facts": "labelfacts"})
+oracle("evaluate_classified", f"SELECT rel_type, s, a, b, {ROUNDED} FROM lmetrics", "lmetrics")
+oracle("write_wrong", "SELECT rel_type, e1, e2, sentence, bet FROM lregions WHERE region = 'not_found'", "lregions")
