@@ -8,6 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairlens.session import materialise
+
+#: Number of a row, where rows are told apart by more than their ids.
+ROW = "__row"
 #: A Python batch is cut so that its texts hold about this many characters, however long single texts are.
 BATCH_CHARS = 4_000_000
 
@@ -17,6 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(frame: DataFrame, name: str) -> DataFrame:
+    """The frame with a number for each row (``ROW``), which is the same whenever the row is read again.
+
+    Rows read straight from files are numbered by file and place in it, so nothing is stored; all others are stored with their
+    numbers first, as a plan that runs again may deal them out in another order. The list of files is the reader's own.
+    """
+    if frame._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return materialise(frame.withColumn(ROW, F.monotonically_increasing_id()), name)
+    files = sorted(r[0] for r in frame.select("_metadata.file_path").distinct().collect())
+    places = frame.sparkSession.createDataFrame(list(enumerate(files)), "__file_no long, __file string")
+    found = frame.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__at"))
+    row = (F.shiftleft("__file_no", 36) + F.col("__at")).alias(ROW)
+    return found.join(F.broadcast(places), F.col("__path") == F.col("__file")).select(*frame.columns, row)
+
+
 def key_and_text(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the key as long and the text, null text as empty: other columns never reach an operator."""
     return frame.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import in_batches, key_and_text
+from pairlens.llm.common import ROW, in_batches, key_and_text, numbered
 from pairlens.session import materialise
 
 EDITS = 2
@@ -79,8 +79,15 @@ def _long_lines(texts: list[str], least: int) -> list[bytes]:
 
 
 def occurrences(documents: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, line_no, n_bytes, h1, h2): every line of every document, from 0; h1 and h2 are null for short lines."""
-    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("n_bytes", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+    """(doc_id, line_no, n_bytes, h1, h2): every line of every document, from 0; h1 and h2 are null for short lines.
+
+    Where documents are numbered, doc_id is a struct of it and the number.
+    """
+    held, kind, key = key_and_text(documents), "long", pa.int64()
+    if ROW in documents.columns:
+        held = documents.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), ROW), F.coalesce("text", F.lit("")))
+        kind, key = f"struct<doc_id: long, {ROW}: long>", pa.struct([("doc_id", pa.int64()), (ROW, pa.int64())])
+    schema = pa.schema([("doc_id", key), ("line_no", pa.int32()), ("n_bytes", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in in_batches(batches):
@@ -92,13 +99,13 @@ def occurrences(documents: DataFrame, least: int = LEAST) -> DataFrame:
             if long.any():
                 h1[long], h2[long] = identify([line for line, is_long in zip(lines, long, strict=True) if is_long])
             counts = [len(own) for own in split]
-            ids = pa.array(keys, pa.int64()).take(pa.array(np.repeat(np.arange(len(keys)), counts)))
+            ids = pa.array(keys, key).take(pa.array(np.repeat(np.arange(len(keys)), counts)))
             numbers = np.concatenate([np.arange(c, dtype=np.int32) for c in counts])
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(numbers), pa.array(sizes), pa.array(h1, mask=~long), pa.array(h2, mask=~long)], schema=schema
             )
 
-    return key_and_text(documents).mapInArrow(run, "doc_id long, line_no int, n_bytes int, h1 long, h2 long")
+    return held.mapInArrow(run, f"doc_id {kind}, line_no int, n_bytes int, h1 long, h2 long")
 
 
 def keys(documents: DataFrame, edits: int, least: int, probes: bool = True) -> DataFrame:
@@ -285,6 +292,18 @@ def links(documents: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataF
     return both.mapInArrow(verify, "a1 long, a2 long, b1 long, b2 long")
 
 
+def _linked_classes(linked: DataFrame, classes: DataFrame) -> DataFrame:
+    """(h1, h2, n_links, earliest): how many classes each linked class is linked with, and where the first of them begins."""
+    turned = linked.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2"))
+    other = classes.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("other"))
+    return (
+        linked.unionByName(turned)
+        .join(other, ["b1", "b2"])
+        .groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2"))
+        .agg(F.count(F.lit(1)).alias("n_links"), F.min("other").alias("earliest"))
+    )
+
+
 def line_classes(documents: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """Per line: doc_id, line_no, n_bytes, first_doc_id, first_line_no (where its class, the equal lines, is first met),
     n_links (other classes within ``edits``) and kept.
@@ -298,14 +317,7 @@ def line_classes(documents: DataFrame, edits: int = EDITS, least: int = LEAST) -
     classes = found.filter("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     classes = materialise(classes, "line-classes")
     linked = materialise(links(documents, edits, least), "line-links")
-    turned = linked.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2"))
-    other = classes.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("other"))
-    per_class = (
-        linked.unionByName(turned)
-        .join(other, ["b1", "b2"])
-        .groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2"))
-        .agg(F.count(F.lit(1)).alias("n_links"), F.min("other").alias("earliest"))
-    )
+    per_class = _linked_classes(linked, classes)
     # Lines that occur once and are linked with nothing need no look-up.
     known = classes.join(per_class, ["h1", "h2"], "left").filter("n > 1 OR n_links IS NOT NULL")
     known = known.select("h1", "h2", "first", "n_links", "earliest")
@@ -322,11 +334,26 @@ def line_classes(documents: DataFrame, edits: int = EDITS, least: int = LEAST) -
 
 
 def drop_repeated_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """The documents, all of them and with their columns, without the lines that ``line_classes`` drops."""
-    gone = line_classes(documents, edits, least).filter(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
-    gone = gone.withColumnRenamed("doc_id", "__id")
-    met = documents.join(gone, documents["doc_id"].eqNullSafe(gone["__id"]), "left")
+    """The documents, all of them and with their columns, without the lines that repeat an earlier one as ``line_classes`` has it.
+
+    Every row is a document of its own, whether its id is repeated or null: of rows with one id, the line of the first one stays.
+    """
+    rows = numbered(documents, "line-rows")
+    gone = _repeated(rows, edits, least).groupBy(F.col(ROW).alias("__gone_row")).agg(F.collect_set("line_no").alias("__gone"))
+    met = rows.join(gone, rows[ROW] == gone["__gone_row"], "left")
     lines = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__gone", i))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
     made = {"text": text} | ({"n_chars": F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))} if "n_chars" in documents.columns else {})
-    return met.select(*[made.get(c, documents[c]).alias(c) for c in documents.columns])
+    return met.select(*[made.get(c, rows[c]).alias(c) for c in documents.columns])
+
+
+def _repeated(rows: DataFrame, edits: int, least: int) -> DataFrame:
+    """(row, line_no) of the lines of numbered documents that go; places are ordered by document id, row and line."""
+    found = occurrences(rows, least).filter("h1 IS NOT NULL")
+    found = materialise(found.select(F.struct("doc_id.*", "line_no").alias("place"), "h1", "h2"), "line-occurrences")
+    classes = found.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = materialise(classes, "line-classes")
+    near = _linked_classes(materialise(links(rows, edits, least), "line-links"), classes)
+    known = classes.join(near, ["h1", "h2"], "left").filter("n > 1 OR earliest < first").select("h1", "h2", "first", "earliest")
+    goes = (F.col("place") != F.col("first")) | F.coalesce(F.col("earliest") < F.col("first"), F.lit(False))
+    return found.join(known, ["h1", "h2"]).filter(goes).select(f"place.{ROW}", "place.line_no")

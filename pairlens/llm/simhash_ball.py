@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import key_and_text, map_texts
+from pairlens.llm.common import ROW, key_and_text, map_texts, numbered
 from pairlens.llm.components import connected_components
 from pairlens.session import materialise
 
@@ -106,16 +106,12 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def keep_one(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents without near duplicates: of each component, the document whose id names it stays, with all its columns.
+    """The documents without near duplicates: of each component, the document of the smallest id stays, with all its columns.
 
-    Of rows that repeat such an id one stays. Rows without an id have nothing to be named by and always stay.
+    Every row is a document of its own, whether its id is repeated or null; rows without an id come after the others.
     """
-    found = materialise(near_duplicates(documents, radius).select("doc_id", "component_id"), "simhash-classes")
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = documents.join(gone, documents["doc_id"] == gone["__gone"], "left_anti")
-    again = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__again")).count().filter("count > 1").select("__again")
-    if again.isEmpty():
-        return kept
-    again = materialise(again, "simhash-repeated-ids")
-    same = kept["doc_id"] == again["__again"]
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    rows = numbered(documents, "simhash-rows")
+    found = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), radius).select(F.col("doc_id").alias(ROW), "component_id")
+    named = rows.select(ROW, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW).alias("name"))
+    kept = found.join(named, ROW).groupBy("component_id").agg(F.min("name").alias("name")).select(F.col(f"name.{ROW}").alias(ROW))
+    return rows.join(materialise(kept, "simhash-kept"), ROW, "left_semi").select(*documents.columns)

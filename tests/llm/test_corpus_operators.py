@@ -331,6 +331,28 @@ def test_lines_of_awkward_tables(docs):
     assert line_join.line_classes(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("stored", [False, True])
+def test_rows_of_one_id_or_none_are_documents_of_their_own(spark, tmp_path, stored):
+    x, y, z, p = ("line %s of text that is long enough" % (c * 9) for c in "xyzp")
+    rows = [(None, f"{x}\n{y}"), (None, f"{p}\n{x}"), (3, f"{z}\n{y}"), (3, f"other words {'q' * 30}\n{z}"), (4, x)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    if stored:
+        frame.write.parquet(str(tmp_path / "rows"))
+        frame = spark.read.parquet(str(tmp_path / "rows"))
+        assert [r[common.ROW] for r in common.numbered(frame, "rows").collect()] == list(range(5))
+    kept = [(r["doc_id"], r["text"]) for r in line_join.drop_repeated_lines(frame).collect()]
+    left = Counter(line for _, t in kept for line in t.split("\n") if line)
+    assert len(kept) == 5 and left == Counter([x, y, z, p, f"other words {'q' * 30}"])
+    assert kept.count((4, "")) == 1 and sorted(t for i, t in kept if i is None) in ([p, f"{x}\n{y}"], sorted([f"{p}\n{x}", y]))
+
+
+def test_near_duplicate_removal_keeps_different_texts_of_one_id(spark):
+    one, two, three = ("%s one two three four five six %s" % (c, c * 5) for c in "abc")
+    rows = [(5, one), (5, two), (2, two), (None, three), (None, one), (7, three)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((r["doc_id"], r["text"]) for r in simhash_ball.keep_one(frame).collect()) == [(2, two), (5, one), (7, three)]
+
+
 # --- images
 
 
