@@ -35,7 +35,7 @@ def op3_token_resync(spark, sf):
 @query
 def op4_warc_chunks(spark, sf):
     read = warc_chunks.read_records(warc_chunks.write_records(table(spark, sf, "pages")))
-    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc_chunks.intact(read).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query

@@ -262,6 +262,41 @@ def test_archive_round_trip(spark):
     assert warc_chunks.read_records(warc_chunks.write_records(pages.filter("false"))).count() == 0
 
 
+def test_archive_of_repeated_and_null_ids(spark):
+    rng = random.Random(6)
+    big = ["".join(rng.choice("abcä") for _ in range(n)) for n in (5000, 7001, 9000, 3500, 6000)]
+    rows = [(1, big[0]), (1, big[1]), (None, big[2]), (None, big[3]), (2, "small"), (3, big[4]), (3, big[4]), (4, big[4]), (None, None)]
+    pages = spark.createDataFrame([(i, "u", t) for i, t in rows], "page_id long, url string, html string").repartition(3)
+    stored = warc_chunks.write_records(pages, chunk=1000)
+    got = warc_chunks.read_records(stored).collect()
+    want = [(i, len((t or "").encode()), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows]
+    assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in got) == Counter(want)
+    assert all(r["digest_ok"] for r in got) and Counter(r["record_type"] for r in got) == {"response": 8, "revisit": 1}
+    heads = [warc_chunks.parse_header(bytes(r["data"])) for r in stored.filter("chunk_no = 0").collect()]
+    named = {h["warc-record-id"]: h for h in heads}
+    assert len(named) == len(rows) and all(re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", n) for n in named)
+    (again,) = [h for h in heads if h["warc-type"] == "revisit"]
+    first = named[again["warc-refers-to"]]
+    assert (first["x-page-id"], first["warc-payload-digest"]) == ("3", again["warc-payload-digest"])
+
+
+@pytest.mark.parametrize("lost", ["chunk_no = 2", "chunk_no = 0", "last"])
+def test_lost_chunks_are_not_read_over(spark, lost):
+    pages = spark.createDataFrame([(1, "u", "a" * 5500), (2, "u", "b" * 5500)], "page_id long, url string, html string").coalesce(1)
+    stored = warc_chunks.write_records(pages, chunk=1000)
+    with pytest.raises(Exception, match="chunk"):
+        warc_chunks.read_records(stored.filter(f"NOT (record_id = '1' AND {lost})")).collect()
+
+
+def test_archive_query_raises_on_a_wrong_digest(spark):
+    pages = spark.createDataFrame([(1, "u", "a" * 2500)], "page_id long, url string, html string")
+    stored = warc_chunks.write_records(pages, chunk=1000)
+    spoilt = stored.withColumn("data", F.when(F.col("chunk_no") == 1, F.encode(F.lit("x" * 1000), "UTF-8")).otherwise(F.col("data")))
+    assert [r["digest_ok"] for r in warc_chunks.read_records(spoilt).collect()] == [False]
+    with pytest.raises(Exception, match="digest"):
+        warc_chunks.intact(warc_chunks.read_records(spoilt)).select("page_id").collect()
+
+
 # --- lines
 
 
