@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairlens.llm import bpe_trie, common, line_join, line_rules, pack_nnls, pii_base, pii_crf, png_column, simhash_ball, token_resync, url_lm, warc_chunks
+from pairlens.llm import bpe_trie, common, line_join, line_rules, pack_nnls, pii_base, pii_crf, png_column, shingle_copies, simhash_ball, token_resync, url_lm, warc_chunks
 from pairlens.llm.components import connected_components
 
 LONG = "Lorem über " * 4000
@@ -493,6 +493,43 @@ def test_near_duplicates_of_awkward_tables(docs):
     assert simhash_ball.near_duplicates(empty(docs)).count() == 0
 
 
+def brute_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_copies(rows):
+    """Positions of the rows that stay: the smallest (null last, id, position) of each group of similarity 0.8."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
+    sets = [brute_shingles(rows[i][1]) for i in order]
+    n = range(len(order))
+    linked = [(a, b) for a in n for b in n if a < b and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))]
+    return {order[c] for c in components_of(n, linked).values()}
+
+
+@pytest.mark.parametrize("full", [32, 2])
+def test_shingle_copies_equal_brute_force(spark, monkeypatch, full):
+    monkeypatch.setattr(shingle_copies, "FULL", full)
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefgö") for _ in range(6)) for _ in range(500)]
+    rows = []
+    for i in range(40):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(40, 300))]
+        rows.append((i, " ".join(words)))
+        for k in range(4):
+            other = list(words)
+            for _ in range(rng.randrange(1, 1 + len(words) // 25)):
+                other[rng.randrange(len(other))] = rng.choice(vocabulary)
+            rows.append((rng.choice([None, i, 100 + 4 * i + k]), " ".join(other).upper() if k == 0 else "\n".join(other)))
+    rows += [(900, None), (901, " \t"), (None, ""), (902, "One two"), (903, "ONE TWO"), (None, "one two three"), (904, "one two four")]
+    frame = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n_chars long").coalesce(1)
+    kept = shingle_copies.keep_one(frame.repartition(4, "n_chars").sortWithinPartitions("n_chars").coalesce(1).sort("n_chars"))
+    assert kept.columns == frame.columns
+    texts = [r["text"] for r in kept.collect()]
+    want = [rows[i][1] for i in brute_copies(rows)]
+    assert Counter(map(str, texts)) == Counter(map(str, want)) and 40 < len(want) < 150
+
+
 # --- URLs
 
 
