@@ -23,6 +23,8 @@ from pairlens.session import materialise
 
 EDITS = 2
 LEAST = 20
+#: Characters from which a line under LEAST bytes is linked with those within one edit, where short lines are compared.
+SHORT = 10
 #: Pairs verified together hold about this many bytes.
 PAIR_BYTES = 4_000_000
 #: Lines of which a task remembers that their keys are out; only repeats are saved by it.
@@ -78,8 +80,9 @@ def _long_lines(texts: list[str], least: int) -> list[bytes]:
     return [line for text in texts for line in text.encode().split(b"\n") if len(line) >= least]
 
 
-def occurrences(documents: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, line_no, n_bytes, h1, h2): every line of every document, from 0; h1 and h2 are null for short lines.
+def occurrences(documents: DataFrame, least: int = LEAST, short: bool = False) -> DataFrame:
+    """(doc_id, line_no, n_bytes, h1, h2): every line of every document, from 0; h1 and h2 are null for short lines,
+    with ``short`` only for those without a word.
 
     Where documents are numbered, doc_id is a struct of it and the number.
     """
@@ -94,7 +97,7 @@ def occurrences(documents: DataFrame, least: int = LEAST) -> DataFrame:
             split = [t.encode().split(b"\n") for t in texts]
             lines = [line for own in split for line in own]
             sizes = np.fromiter(map(len, lines), np.int32, len(lines))
-            long = sizes >= least
+            long = np.fromiter((bool(line.strip()) or len(line) >= least for line in lines), bool, len(lines)) if short else sizes >= least
             h1, h2 = np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int64)
             if long.any():
                 h1[long], h2[long] = identify([line for line, is_long in zip(lines, long, strict=True) if is_long])
@@ -333,13 +336,67 @@ def line_classes(documents: DataFrame, edits: int = EDITS, least: int = LEAST) -
     )
 
 
-def drop_repeated_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def short_keys(rows: DataFrame, least: int) -> DataFrame:
+    """(h1, h2, is_short, k1, k2, own, cut): keys under which lines of up to ``least`` bytes and a character meet if one edit of a
+    character makes them equal.
+
+    A line with its character i replaced by a gap meets those that differ in it alone (own and cut); a line as it is (own)
+    meets those from which one character was taken out (cut).
+    """
+    schema = pa.schema([(c, pa.int64()) for c in ("h1", "h2")] + [("is_short", pa.bool_())] + [(c, pa.int64()) for c in ("k1", "k2")] + [(c, pa.bool_()) for c in ("own", "cut")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        done: set[bytes] = set()
+        for _, texts in in_batches(batches, 1_000_000):
+            fit = dict.fromkeys(line for text in texts for line in text.split("\n") if SHORT <= len(line) <= least)
+            found = {b: line for line in fit if len(b := line.encode()) < least + 4 and b.strip() and b not in done}
+            if len(done) >= REMEMBERED:
+                done.clear()
+            done.update(found)
+            owners, made, flags = [], [], []
+            for i, (held, line) in enumerate(found.items()):
+                gaps = [(f"{at}:{line[:at]}\n{line[at + 1:]}", True, True) for at in range(len(line))]
+                cuts = [(f"-:{t}", False, True) for t in {line[:at] + line[at + 1 :] for at in range(len(line))} if len(t) >= SHORT]
+                for key, own, cut in [(f"-:{line}", True, False), *gaps, *cuts]:
+                    owners.append(i)
+                    made.append(xxhash.xxh3_128_digest(key.encode()))
+                    flags.append((len(held) < least, own, cut))
+            if made:
+                h1, h2 = identify(list(found))
+                wide = np.frombuffer(b"".join(made), np.int64).reshape(-1, 2)
+                is_short, own, cut = np.array(flags, bool).T
+                at = np.array(owners)
+                columns = (h1[at], h2[at], is_short, wide[:, 0], wide[:, 1], own, cut)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], schema=schema)
+
+    return key_and_text(rows).mapInArrow(run, "h1 long, h2 long, is_short boolean, k1 long, k2 long, own boolean, cut boolean")
+
+
+def _short_links(rows: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """(h1, h2, earliest): where the first line begins, the line itself included, that is within one edit and has a short line on either side.
+
+    Under a key only the first places are held, never pairs, so it takes one row a task however many lines meet there.
+    """
+    made = short_keys(rows, least).distinct().join(classes.select("h1", "h2", "first"), ["h1", "h2"])
+    made = materialise(made, "line-short-keys")
+    sides = {f"{side}_{kind}": F.min(F.when(F.col(side) & F.col(kind), F.col("first"))) for side in ("own", "cut") for kind in ("is_short", "any")}
+    met = made.withColumn("any", F.lit(True)).groupBy("k1", "k2").agg(*[held.alias(name) for name, held in sides.items()], F.count(F.lit(1)).alias("n"))
+    own, cut = (F.when(F.col("is_short"), F.col(f"{side}_any")).otherwise(F.col(f"{side}_is_short")) for side in ("own", "cut"))
+    seen = made.join(met.filter("n > 1"), ["k1", "k2"]).select("h1", "h2", F.when(F.col("own"), cut).alias("x"), F.when(F.col("cut"), own).alias("y"))
+    return seen.groupBy("h1", "h2").agg(F.least(F.min("x"), F.min("y")).alias("earliest"))
+
+
+def drop_repeated_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST, short: bool = False) -> DataFrame:
     """The documents, all of them and with their columns, without the lines that repeat an earlier one as ``line_classes`` has it.
 
     Every row is a document of its own, whether its id is repeated or null: of rows with one id, the line of the first one stays.
+    With ``short`` the lines under ``least`` bytes are compared as well, but for those without a word: equal ones of any length are one
+    line, and from ``SHORT`` characters on they are linked with lines within one edit of a character.
     """
     rows = numbered(documents, "line-rows")
-    gone = _repeated(rows, edits, least).groupBy(F.col(ROW).alias("__gone_row")).agg(F.collect_set("line_no").alias("__gone"))
+    gone = _repeated(rows, edits, least, short).groupBy(F.col(ROW).alias("__gone_row")).agg(F.collect_set("line_no").alias("__gone"))
     met = rows.join(gone, rows[ROW] == gone["__gone_row"], "left")
     lines = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__gone", i))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
@@ -347,13 +404,15 @@ def drop_repeated_lines(documents: DataFrame, edits: int = EDITS, least: int = L
     return met.select(*[made.get(c, rows[c]).alias(c) for c in documents.columns])
 
 
-def _repeated(rows: DataFrame, edits: int, least: int) -> DataFrame:
+def _repeated(rows: DataFrame, edits: int, least: int, short: bool) -> DataFrame:
     """(row, line_no) of the lines of numbered documents that go; places are ordered by document id, row and line."""
-    found = occurrences(rows, least).filter("h1 IS NOT NULL")
+    found = occurrences(rows, least, short).filter("h1 IS NOT NULL")
     found = materialise(found.select(F.struct("doc_id.*", "line_no").alias("place"), "h1", "h2"), "line-occurrences")
     classes = found.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     classes = materialise(classes, "line-classes")
-    near = _linked_classes(materialise(links(rows, edits, least), "line-links"), classes)
+    near = _linked_classes(materialise(links(rows, edits, least), "line-links"), classes).select("h1", "h2", "earliest")
+    if short:
+        near = near.unionByName(_short_links(rows, classes, least)).groupBy("h1", "h2").agg(F.min("earliest").alias("earliest"))
     known = classes.join(near, ["h1", "h2"], "left").filter("n > 1 OR earliest < first").select("h1", "h2", "first", "earliest")
     goes = (F.col("place") != F.col("first")) | F.coalesce(F.col("earliest") < F.col("first"), F.lit(False))
     return found.join(known, ["h1", "h2"]).filter(goes).select(f"place.{ROW}", "place.line_no")

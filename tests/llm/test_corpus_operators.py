@@ -381,6 +381,43 @@ def test_rows_of_one_id_or_none_are_documents_of_their_own(spark, tmp_path, stor
     assert kept.count((4, "")) == 1 and sorted(t for i, t in kept if i is None) in ([p, f"{x}\n{y}"], sorted([f"{p}\n{x}", y]))
 
 
+def brute_lines(rows):
+    """Texts without repeated lines: ids in order, null first, then positions; short lines are compared as well."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, i))
+    places = [(rank, n, line) for rank, i in enumerate(order) for n, line in enumerate((rows[i][1] or "").split("\n"))]
+    first = {}
+    for rank, n, line in places:
+        first.setdefault(line, (rank, n))
+
+    def near(a, b):
+        x, y = a.encode(), b.encode()
+        if min(len(x), len(y)) >= 20:
+            return edit_distance(x, y) <= 2
+        return min(len(a), len(b)) >= 10 and edit_distance(a, b) <= 1
+
+    kept = defaultdict(list)
+    for rank, n, line in places:
+        here = (rank, n)
+        if not line.strip(" \t\r\v\f") or (first[line] == here and not any(at < here and o.strip() and near(line, o) for o, at in first.items() if o != line)):
+            kept[order[rank]].append(line)
+    return Counter((i, None if t is None else "\n".join(kept[n])) for n, (i, t) in enumerate(rows))
+
+
+def test_short_lines_equal_brute_force(spark):
+    rng = random.Random(12)
+    seeds = ["".join(rng.choice("abcä日 ") for _ in range(n)) + "x" for n in (1, 3, 8, 9, 10, 11, 13, 15, 17, 18, 19, 20, 22)]
+    pool = list(seeds)
+    for s in seeds:
+        for _ in range(6):
+            at, kind = rng.randrange(len(s)), rng.randrange(3)
+            pool.append(s[:at] + ["", rng.choice("abcä日"), rng.choice("abcä日") + s[at]][kind] + s[at + 1 :])
+    pool += ["", " ", "Les.", "é" * 10, "日" * 7]
+    rows = [(rng.choice([None, n, 5]), "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 5)))) for n in range(70)] + [(71, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = line_join.drop_repeated_lines(frame, short=True)
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == brute_lines(rows)
+
+
 def test_near_duplicate_removal_keeps_different_texts_of_one_id(spark):
     one, two, three = ("%s one two three four five six %s" % (c, c * 5) for c in "abc")
     rows = [(5, one), (5, two), (2, two), (None, three), (None, one), (7, three)]
