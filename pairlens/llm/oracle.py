@@ -5,7 +5,7 @@ brute force or exact round trips.
 """
 from __future__ import annotations
 
-from pairlens.llm import line_rules, url_lm
+from pairlens.llm import chat_events, line_rules, url_lm
 
 ORACLE: dict[str, str] = {}
 
@@ -174,3 +174,89 @@ SELECT page_id, host, path, rule,
        coalesce(rule_verdict, CASE WHEN score >= coalesce((SELECT threshold FROM best), 0) THEN 'allow' ELSE 'block' END) AS verdict
 FROM named JOIN scored USING (url)
 """
+
+# Turns in order; escaping adds a backslash to each control string, marks add their own length.
+_MARKS = " ".join(f"WHEN '{role}' THEN length(text) + {len(opens) + len(closes) + 2}" for role, opens, closes in chat_events.TURNS)
+ORACLE["op11_chat_events"] = rf"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), numbered AS (
+  SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM given
+), escaped AS (
+  SELECT * EXCLUDE (text), text AS plain, regexp_replace(text, '([\[<])(\\*(?:{chat_events.TAILS}))', '\1\\\2', 'g') AS text,
+         regexp_replace(role, '([\[<])(\\*(?:{chat_events.TAILS}))', '\1\\\2', 'g') AS held_role FROM numbered
+), sized AS (
+  SELECT *, CASE role {_MARKS} ELSE length(held_role) + length(text)
+            + {len(chat_events.OTHER_OPEN) + len(chat_events.OTHER_ROLE) + len(chat_events.OTHER_CLOSE) + 4} END AS chars FROM escaped
+), grouped AS (
+  SELECT conv_id, alone, count(*) AS n_turns, string_agg(role || chr(10) || plain || chr(10), '' ORDER BY turn NULLS FIRST, role, plain) AS turns,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN plain END, '' ORDER BY turn NULLS FIRST, role, plain), '') AS loss,
+         sum(chars)::BIGINT AS formatted_chars
+  FROM sized GROUP BY conv_id, alone
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM grouped
+"""
+
+ORACLE["op12_ball_tree"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), totals AS (
+  SELECT count(*) FILTER (len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM docs
+), items AS (
+  SELECT row_number() OVER () AS query, item_id,
+         list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS terms
+  FROM benchmark
+), asked AS (
+  SELECT query, item_id, unnest(terms) AS term FROM items
+), tf AS (
+  SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(terms) AS n, unnest(terms) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), totals
+), scored AS (
+  SELECT query, item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM tf JOIN asked USING (term) JOIN weights USING (term), totals GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+# Every phrase of one to four words, counted; the operator counts only what can be frequent.
+ORACLE["op13_phrase_tries"] = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), cut AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces
+), totals AS (
+  SELECT lang, sum(len(words))::BIGINT AS n FROM cut GROUP BY lang
+), counted AS (
+  SELECT lang, k, words, count(*) AS f FROM (
+    SELECT lang, k, unnest([words[i:i + k - 1] FOR i IN range(1, len(words) - k + 2)]) AS words FROM cut, (SELECT unnest([1, 2, 3, 4]) AS k)
+  ) GROUP BY ALL HAVING count(*) >= 30
+), cuts AS (
+  SELECT c.lang, c.words, c.f AS a, cut_at, l.f AS l, r.f AS r, ((2000000::HUGEINT * c.f) // (l.f + r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut_at FROM counted WHERE k > 1) c
+  JOIN counted l ON l.lang = c.lang AND l.words = c.words[1:c.cut_at] JOIN counted r ON r.lang = c.lang AND r.words = c.words[c.cut_at + 1:]
+), least AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, cut_at) = 1
+), inner_ AS (
+  SELECT DISTINCT lang, f, words[i:i + size - 1] AS words
+  FROM (SELECT *, unnest(range(1, k - size + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS size FROM counted WHERE k > 2))
+), longer AS (
+  SELECT lang, words, max(f) AS longer FROM inner_ GROUP BY lang, words
+), kept AS (
+  SELECT t.* FROM least t LEFT JOIN longer o ON t.lang = o.lang AND t.words = o.words WHERE o.longer IS NULL OR 100::HUGEINT * o.longer < 80::HUGEINT * t.a
+), ranked AS (
+  SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, score FROM kept
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM ranked
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM placed JOIN totals USING (lang) WHERE rank <= 2000
+"""

@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import bpe_trie, line_join, line_rules, pack_nnls, pii_crf, png_column, simhash_ball, token_resync, url_lm, warc_chunks
+from pairlens.llm import ball_tree_search, bpe_trie, chat_events, line_join, line_rules, pack_nnls, phrase_tries, pii_crf, png_column, simhash_ball
+from pairlens.llm import token_resync, url_lm, warc_chunks
 from pairlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +69,21 @@ def op9_url_lm(spark, sf):
 def op10_line_rules(spark, sf):
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return line_rules.judged(table(spark, sf, "documents")).select(*names)
+
+
+@query
+def op11_chat_events(spark, sf):
+    given = table(spark, sf, "conversations")
+    own = spark.createDataFrame([(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(["user", "assistant"])], "conv_id long, turn long, role string, text string")
+    log = chat_events.log_of(given).unionByName(chat_events.log_of(own, part=1))
+    return chat_events.read_back(chat_events.render(chat_events.messages(log)))
+
+
+@query
+def op12_ball_tree(spark, sf):
+    return ball_tree_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op13_phrase_tries(spark, sf):
+    return phrase_tries.collocations(table(spark, sf, "documents"))
