@@ -79,6 +79,22 @@ def _word_list() -> Column:
     return F.expr(f"map({', '.join(pairs)})")
 
 
+def lemma_of(low: Column, tag: Column) -> Column:
+    """Lemma of a small-letter word under a tag: the word list's where it has the word with this tag, else by rule."""
+    hit = F.try_element_at(_word_list(), low)
+    return F.when(hit["tag"] == tag, hit["lemma"]).otherwise(_rule_lemma(low, tag))
+
+
+def _rule_lemma(low: Column, tag: Column) -> Column:
+    stem = F.regexp_replace(low, r"(?:ed|ing)$", "")
+    undoubled = F.regexp_replace(stem, r"(b|d|g|m|n|p|r|t)\1$", "$1")
+    verb = F.when(low.endswith("ied"), F.regexp_replace(low, "ied$", "y")).when(undoubled != stem, undoubled).when(stem.rlike(r"(?:at|iz|as|us|c|g|v|u|[^aeo]ir)$"), F.concat(stem, F.lit("e"))).otherwise(stem)
+    noun = F.when(low.rlike("ies$"), F.regexp_replace(low, "ies$", "y")).when(
+        low.rlike("(?:ss|x|ch|sh)es$"), F.regexp_replace(low, "es$", "")
+    ).otherwise(F.regexp_replace(low, "s$", ""))
+    return F.when(tag.isin("VBN", "VBG"), verb).when(tag == "NNS", noun).otherwise(low)
+
+
 def tag_token(token: Column) -> Column:
     """Built-in tag and lemma of one token."""
 
@@ -95,19 +111,10 @@ def tag_token(token: Column) -> Column:
             .otherwise("NN")
         )
 
-        def lemma(tg: Column) -> Column:
-            stem = F.regexp_replace(low, r"(?:ed|ing)$", "")
-            undoubled = F.regexp_replace(stem, r"(b|d|g|m|n|p|r|t)\1$", "$1")
-            verb = F.when(low.endswith("ied"), F.regexp_replace(low, "ied$", "y")).when(undoubled != stem, undoubled).when(stem.rlike(r"(?:at|iz|as|us|c|g|v|u|[^aeo]ir)$"), F.concat(stem, F.lit("e"))).otherwise(stem)
-            noun = F.when(low.rlike("ies$"), F.regexp_replace(low, "ies$", "y")).when(
-                low.rlike("(?:ss|x|ch|sh)es$"), F.regexp_replace(low, "es$", "")
-            ).otherwise(F.regexp_replace(low, "s$", ""))
-            return F.when(tg.isin("VBN", "VBG"), verb).when(tg == "NNS", noun).otherwise(low)
-
         def unlisted() -> Column:
             return let(
                 open_tag,
-                lambda tg: F.struct(token.alias("tok"), tg.alias("tag"), lemma(tg).alias("lemma")),
+                lambda tg: F.struct(token.alias("tok"), tg.alias("tag"), _rule_lemma(low, tg).alias("lemma")),
             )
 
         return let(

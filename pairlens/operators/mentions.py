@@ -5,13 +5,14 @@ test sits before the explode so dropped pairs never become rows.
 """
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.functions import text as tx
 from pairlens.functions.columns import built_once, first_n, last_n, let
+from pairlens.functions.tagging import tag_tokens
 
 # Fixed values.
 MAX_TOKENS_AWAY = 6
@@ -91,6 +92,35 @@ def extract_mentions(
     return rows.select(*sentences.columns, "m.e1", "m.e1_type", "m.e2", "m.e2_type", "m.bef", "m.bet", "m.aft", "m.gap")
 
 
+def tagged_sentences(sentences: DataFrame, tagger: Callable[[Column], Column], text_col: str = "text") -> DataFrame:
+    """All columns plus ``words``, the tokens of the whole sentence, and ``tagged``, their tags and lemmas."""
+    worded = sentences.select("*", tx.tokenize(tx.strip_tags(F.col(text_col))).alias("words"))
+    return worded.select("*", tag_tokens(F.col("words"), tagger).alias("tagged"))
+
+
+def tagged_mentions(
+    sentences: DataFrame,
+    tagger: Callable[[Column], Column],
+    window: int = FEATURE_WINDOW,
+    types: Iterable[tuple[str, str]] | None = None,
+    text_col: str = "text",
+) -> DataFrame:
+    """Mentions as ``extract_mentions`` finds them, with contexts of tagged tokens.
+
+    The tagger sees whole sentences, names included; contexts are cut from what it gives, by position.
+    """
+    rows = tagged_sentences(sentences.filter(tx.has_two_entities(F.col(text_col))), tagger, text_col)
+
+    def from_located(located: Column) -> Column:
+        pairs = F.filter(neighbour_pairs(located), lambda p: pair_is_valid(p, as_key(types)))
+        cut = F.transform(pairs, lambda p: with_contexts(p, F.col("tagged"), window))
+        return F.filter(cut, lambda m: tx.is_relational(F.transform(m["bet"], lambda t: t["tok"])))
+
+    found = let(tx.locate_entities(tx.distinct_entities(F.col(text_col)), F.col("words")), from_located)
+    rows = rows.select(*sentences.columns, F.explode(found).alias("m"))
+    return rows.select(*sentences.columns, "m.e1", "m.e1_type", "m.e2", "m.e2_type", "m.bef", "m.bet", "m.aft", "m.gap")
+
+
 def distinct_mentions(mentions: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
     """De-duplicated mentions with the number of occurrences ``n``; copies merge before the shuffle."""
     cols = [*keys, "e1_type", "e2_type", "e1", "e2", "bef", "bet", "aft"]
@@ -98,9 +128,9 @@ def distinct_mentions(mentions: DataFrame, keys: Iterable[str] = ()) -> DataFram
 
 
 def known_pair_contexts(
-    text: Column, e1: Column, e2: Column, window: int = FEATURE_WINDOW, forward_only: bool = True
+    text: Column, e1: Column, e2: Column, window: int = FEATURE_WINDOW, forward_only: bool = True, tagged: Column | None = None
 ) -> Column:
-    """Contexts of every occurrence of a *given* pair within the distance limit, in position order.
+    """Contexts of every occurrence of a *given* pair within the distance limit, in position order, cut from ``tagged`` if given.
 
     ``forward_only`` keeps occurrences with e1 in front; otherwise the distance is absolute and a
     reversed occurrence has an empty BET.
@@ -130,7 +160,7 @@ def known_pair_contexts(
 
         return F.transform(
             let(tx.entity_parts(e1), at),
-            lambda p: with_contexts(p, tokens, window).dropFields("e1_type", "e2_type"),
+            lambda p: with_contexts(p, tokens if tagged is None else tagged, window).dropFields("e1_type", "e2_type"),
         )
 
     return let(tx.tokenize(tx.strip_tags(text)), per_sentence)

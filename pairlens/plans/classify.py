@@ -12,7 +12,7 @@ from pairlens.functions.columns import built_once, let
 from pairlens.functions.shingles import drop_empty, mention_shingles
 from pairlens.functions.tagging import tag_tokens
 from pairlens.operators import neighbours as nb
-from pairlens.operators.mentions import FEATURE_WINDOW, extract_mentions, known_pair_contexts
+from pairlens.operators.mentions import FEATURE_WINDOW, extract_mentions, known_pair_contexts, tagged_mentions, tagged_sentences
 from pairlens.session import materialise
 
 # The default run.
@@ -44,20 +44,32 @@ def mention_features(mentions: DataFrame, tagger: Tagger = None) -> DataFrame:
     return mentions.withColumn("shingles", _features_of(tagger))
 
 
-def training_features(training: DataFrame, tagger: Tagger = None) -> tuple[DataFrame, DataFrame]:
+def tagged_features(rows: DataFrame) -> DataFrame:
+    """Adds ``shingles`` to mentions whose contexts are tagged."""
+    parts = [F.col(c) for c in ("e1_type", "e2_type", "bef", "bet", "aft")]
+    return rows.withColumn("shingles", mention_shingles(*parts))
+
+
+def training_features(training: DataFrame, tagger: Tagger = None, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """Features of labelled (rel_id, rel_type, e1, e2, sentence) rows, and the rows that have none.
 
     The first occurrence of the pair within the distance limit is used, e1 in front; a row without
-    one, or whose names are not tagged in the sentence, goes to the second frame.
+    one, or whose names are not tagged in the sentence, goes to the second frame. With ``whole`` the tagger is given
+    sentences instead of contexts.
     """
     contexts = known_pair_contexts(F.col("sentence"), F.col("e1"), F.col("e2"))
     rows = training.select("*", _type_of("e1").alias("e1_type"), _type_of("e2").alias("e2_type"))
     typed = (F.col("e1_type") != "") & (F.col("e2_type") != "")
     # An explode of at most one element drops rows without an occurrence; a filter on the computed
     # column would be pushed below it and work out the contexts twice.
-    good = rows.filter(typed).select("*", F.explode(F.slice(contexts, F.lit(1), F.lit(1))).alias("m"))
+    cut, good = contexts, rows.filter(typed)
+    if whole:
+        good = tagged_sentences(good, tagger, "sentence")
+        cut = known_pair_contexts(F.col("sentence"), F.col("e1"), F.col("e2"), tagged=F.col("tagged"))
+    good = good.select("*", F.explode(F.slice(cut, F.lit(1), F.lit(1))).alias("m"))
     good = good.select("rel_id", "rel_type", "e1_type", "e2_type", "m.bef", "m.bet", "m.aft")
-    features = mention_features(good, tagger).select("rel_id", "rel_type", "shingles")
+    features = tagged_features(good) if whole else mention_features(good, tagger)
+    features = features.select("rel_id", "rel_type", "shingles")
     return features, rows.filter(~typed | (F.size(contexts) == 0)).select(*training.columns)
 
 
@@ -128,21 +140,28 @@ def classify_features(features: DataFrame, index: LshIndex, k: int = DEFAULT_K)
 
 
 def classify_mentions(
-    sentences: DataFrame, index: LshIndex, k: int = DEFAULT_K, tagger: Tagger = None, text_col: str = "text"
+    sentences: DataFrame, index: LshIndex, k: int = DEFAULT_K, tagger: Tagger = None, text_col: str = "text", whole: bool = False
 ) -> DataFrame:
     """Tagged sentences -> (e1, e2, sentence, rel_type, votes), one row per mention."""
-    keyed, features = context_features(sentences, tagger, text_col)
+    keyed, features = context_features(sentences, tagger, text_col, whole)
     return join_labels(keyed, nb.signatures(features, index.n_sigs, ["bag"]), index, k)
 
 
-def context_features(sentences: DataFrame, tagger: Tagger = None, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def context_features(
+    sentences: DataFrame, tagger: Tagger = None, text_col: str = "text", whole: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Mentions (bag, e1, e2, sentence) and the features (bag, shingles) of their contexts.
 
-    Features depend on the types and contexts alone, so they are made once per distinct context.
+    Features depend on the types and contexts alone, so they are made once per distinct context. With ``whole`` the tagger
+    is given whole sentences, and a context is one with its tags.
     """
     context = ["e1_type", "e2_type", "bef", "bet", "aft"]
-    found = extract_mentions(sentences.select(text_col), FEATURE_WINDOW, text_col=text_col)
+    if whole:
+        found = tagged_mentions(sentences.select(text_col), tagger, FEATURE_WINDOW, text_col=text_col)
+    else:
+        found = extract_mentions(sentences.select(text_col), FEATURE_WINDOW, text_col=text_col)
     keyed = nb.with_bag(found.withColumnRenamed(text_col, "sentence"), *context)
     keyed = materialise(keyed.select("bag", "e1", "e2", "sentence", *context), "mentions")
     distinct = keyed.select("bag", *context).dropDuplicates(["bag"])
-    return keyed.drop(*context), mention_features(distinct, tagger).select("bag", "shingles")
+    made = tagged_features(distinct) if whole else mention_features(distinct, tagger)
+    return keyed.drop(*context), made.select("bag", "shingles")

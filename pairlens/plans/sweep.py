@@ -121,8 +121,9 @@ def sweep_metrics(
         F.count_if(F.col("c_pair") & (F.col("b") > 0)).alias("c_found"),
         F.count_if(F.col("d_pair") & (F.col("a") > 0)).alias("d_found"),
     )
-    sizes = sizes.join(F.broadcast(totals_of(catalogue, totals)), "rel_type").withColumns(
-        {"c_pairs": F.col("c_total") - F.col("c_found"), "d_pairs": F.col("d_total") - F.col("d_found")}
+    # A relation outside the catalogue has facts but nothing in the corpus, so its totals are zero.
+    sizes = sizes.join(F.broadcast(totals_of(catalogue, totals)), "rel_type", "left").withColumns(
+        {f"{c}_pairs": F.coalesce(f"{c}_total", F.lit(0)) - F.col(f"{c}_found") for c in ("c", "d")}
     )
     return ev.evaluation_metrics(sizes).select(*setting, "rel_type", "s", "a", "b", "c_pairs", "d_pairs", "precision", "recall", "f1")
 

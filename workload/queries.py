@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pairlens.functions import minhash as mh
 from pairlens.functions import phrases as ph
 from pairlens.functions import shingles as sh
+from pairlens.functions import tagger
 from pairlens.functions import tagging as tg
 from pairlens.functions import text as tx
 from pairlens.functions.columns import let
@@ -779,3 +780,19 @@ def bootstrap_loop(spark, sf):
     first = evaluation(spark, sf)
     done = bs.bootstrap_loop(first, fx.sentences(spark, sf), fx.kb(spark, sf), stats(spark, sf), fx.catalogue(spark))
     return done.metrics.select("rel_type", "s", "a", "b", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query
+def tag_with_model(spark, sf):
+    """Tags of all sentences by the trained model, whole sentences at a time."""
+    worded = fx.sentences(spark, sf).select("sent_id", tx.tokenize(tx.strip_tags(F.col("text"))).alias("words"))
+    tagged = worded.select("sent_id", tg.tag_tokens(F.col("words"), tagger.model_tagger()).alias("t"))
+    return tagged.select("sent_id", F.array_join(F.transform("t", lambda t: F.concat_ws("/", t["tok"], t["tag"], t["lemma"])), " ").alias("tagged"))
+
+
+@query
+def mention_features_whole(spark, sf):
+    """Features of distinct contexts that were cut from sentences tagged as a whole, with the mentions that have them."""
+    keyed, features = cl.context_features(fx.sentences(spark, sf), tagger.model_tagger(), whole=True)
+    counted = keyed.groupBy("bag").agg(F.count(F.lit(1)).alias("mentions"))
+    return features.join(counted, "bag").select("mentions", F.array_join(F.array_sort("shingles"), " ").alias("shingles"))
