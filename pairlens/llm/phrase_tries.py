@@ -39,7 +39,16 @@ TOP = 2000
 STATES = 1_000_000
 VOCABULARY = 2_000_000
 #: Characters of a block.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 4_000_000
+#: Words whose states are advanced together.
+WORDS = 500_000
+#: Candidates that a task sums before it gives them out.
+SUMMED = 1_500_000
+
+#: Bits of a digit, children that a state can have, and children up to which states share rows of the array.
+BITS = 6
+FAN = 1 << BITS
+FEW = 8
 
 UNKNOWN = "und"
 BREAK = b"\xff"
@@ -80,30 +89,42 @@ def blocks(documents: DataFrame) -> DataFrame:
 
 
 def frequent_words(cut: DataFrame, least: int) -> DataFrame:
-    """(id, lang, phrase, f): the frequent words with global numbers from 0 in no order."""
+    """(id, lang, phrase, f): the frequent words, numbered from 0 without gaps, in no order."""
     each = cut.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", "w.words", "w.counts")
     found = each.groupBy("lang", F.col("words").alias("phrase")).agg(F.sum("counts").alias("f")).filter(F.col("f") >= least)
-    return materialise(found.select(F.monotonically_increasing_id().alias("id"), "lang", "phrase", "f"), "phrase-level-1")
-
-
-def encoded(cut: DataFrame, words: DataFrame, most: int = VOCABULARY) -> DataFrame:
-    """(ids): the blocks' texts as 64-bit global numbers of frequent words, -1 for breaks and all other words."""
-    if words.count() <= most:
+    # The number of a row in its partition, and of its partition: stored, so that they stay as they are.
+    at = F.monotonically_increasing_id()
+    stored = materialise(found.select(F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("at"), "lang", "phrase", "f"), "phrase-words")
+    before, offsets = 0, []
+    for row in stored.groupBy("part").count().collect():  # a row for each task of the aggregate
+        offsets.append((row["part"], before))
+        before += row["count"]
+    starts = F.broadcast(stored.sparkSession.createDataFrame(offsets, "part long, start long"))
+    return stored.join(starts, "part").select((F.col("start") + F.col("at")).alias("id"), "lang", "phrase", "f")
+
+
+def number_type(n_words: int) -> str:
+    """How the words of a text are stored: in four bytes as long as their numbers fit."""
+    return "<i4" if n_words < 1 << 31 else "<i8"
+
+
+def encoded(cut: DataFrame, words: DataFrame, n_words: int, most: int = VOCABULARY) -> DataFrame:
+    """(ids): the blocks' texts as global numbers of frequent words, -1 for breaks and all other words."""
+    kind = number_type(n_words)
+    if n_words <= most:
         table = words.select("lang", "phrase", "id").toArrow().combine_chunks()  # at most VOCABULARY words
         known = {lang: table.filter(pc.equal(table["lang"], lang)).combine_chunks() for lang in table["lang"].unique().to_pylist()}
         known = {lang: (own["phrase"].combine_chunks(), own["id"].to_numpy()) for lang, own in known.items()}
 
         def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = []
                 for lang, own, codes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                     names, numbers = known.get(lang, (None, None))
                     found = np.full(len(own.values), -1, np.int64)
                     if names is not None:
                         at = pc.fill_null(pc.index_in(own.values, value_set=names), -1).to_numpy(zero_copy_only=False)
                         found[at >= 0] = numbers[at[at >= 0]]
-                    out.append(_renumbered(codes.as_py(), found))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array([_renumbered(codes.as_py(), found, kind)], pa.binary())], names=["ids"])
 
         return materialise(cut.select("lang", "words", "codes").mapInArrow(looked_up, "ids binary"), "phrase-encoded")
     kept = materialise(cut.select(F.monotonically_increasing_id().alias("block"), "lang", "words", "codes"), "phrase-blocks")
@@ -114,101 +135,113 @@ def encoded(cut: DataFrame, words: DataFrame, most: int = VOCABULARY) -> DataFra
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for n, codes, at, numbers in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                own = np.full(n, -1, np.int64)
-                own[np.array(at or [], np.int64)] = np.array(numbers or [], np.int64)
-                out.append(_renumbered(codes, own))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
+            for n, codes, at, numbers in zip(*batch.columns, strict=True):
+                own = np.full(n.as_py(), -1, np.int64)
+                own[np.array(at.as_py() or [], np.int64)] = np.array(numbers.as_py() or [], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([_renumbered(codes.as_py(), own, kind)], pa.binary())], names=["ids"])
 
     return materialise(met.mapInArrow(joined, "ids binary"), "phrase-encoded")
 
 
-def _renumbered(codes: bytes, numbers: np.ndarray) -> bytes:
-    return np.append(numbers, -1)[np.frombuffer(codes, np.int32)].astype(np.int64).tobytes()
+def _renumbered(codes: bytes, numbers: np.ndarray, kind: str) -> bytes:
+    return np.append(numbers, -1).astype(kind)[np.frombuffer(codes, np.int32)].tobytes()
 
 
 class DoubleArray:
-    """A double-array trie over phrases of one length: a state's child by code c is at base[state] + c if check there names the state.
+    """A double-array trie over phrases of one length: a state's child by digit d is at base[state] + d if check there names the state.
 
-    ``accepts`` gives the row of the phrase that ends in a state, -1 for inner ones.
+    Words are taken as the digits of their place in the trie's alphabet, so no state has more than ``FAN`` children however many
+    words follow a phrase. ``accepts`` gives the row of the phrase that ends in a state, -1 for inner ones.
     """
 
     def __init__(self, phrases: np.ndarray) -> None:
         """``phrases``: rows of global word numbers, all different."""
-        self.alphabet = np.unique(phrases)
+        self.alphabet = np.unique(phrases).astype(np.int64)
+        n, self.depth = phrases.shape
+        self.digits = max(1, -(-(len(self.alphabet) - 1).bit_length() // BITS)) if n else 1
         codes = np.searchsorted(self.alphabet, phrases)
-        n, self.depth = codes.shape
-        size = len(self.alphabet)
+        shifts = BITS * np.arange(self.digits - 1, -1, -1)
+        steps = (codes[:, :, None] >> shifts & (FAN - 1)).reshape(n, self.depth * self.digits)
+        order = np.lexsort(steps.T[::-1])
+        steps = steps[order]
+        self.base, self.check = np.full(1, -1, np.int64), np.full(1, -1, np.int64)
+        state = np.zeros(n, np.int64)  # of each phrase's prefix so far; the root is 0
+        first = np.zeros(n, bool)
+        first[:1] = True
         rng = np.random.default_rng(7)
-        self.base, self.check = np.full(size + 1, -1, np.int64), np.full(size + 1, -1, np.int64)
-        order = np.lexsort(codes.T[::-1])
-        codes = codes[order]
-        state = np.zeros(n, np.int64)  # of each phrase's prefix so far; the root is 0, its children follow it
-        for level in range(self.depth if n else 0):
-            first = np.ones(n, bool)
-            first[1:] = (codes[1:, : level + 1] != codes[:-1, : level + 1]).any(axis=1)
-            parents, own = state[first], codes[first, level]
-            if level == 0:
-                self.base[0] = 1
-                places = own + 1
-            else:
-                places = self._placed(parents, own, size, rng)
+        for level in range(self.depth * self.digits if n else 0):
+            first[1:] |= steps[1:, level] != steps[:-1, level]
+            parents = state[first]
+            places = self._placed(parents, steps[first, level], rng)
             self.check[places] = parents
             state = places[np.cumsum(first) - 1]
         self.accepts = np.full(len(self.base), -1, np.int64)
         self.accepts[state] = order
 
-    def _placed(self, parents: np.ndarray, codes: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
-        """Places for the children of each parent (children of one parent stand together): those with many first, then the rest at once."""
+    def _placed(self, parents: np.ndarray, digits: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Places for the children of each parent (those of one parent stand together), in room added for this level.
+
+        Many children get a row of their own; a few are put where all their places are free, many parents at a time, so that
+        rows overlap; an only child goes to any place that is left.
+        """
         begins = np.flatnonzero(np.append(True, parents[1:] != parents[:-1]))
-        ends = np.append(begins[1:], len(parents))
-        counts = ends - begins
+        counts = np.diff(np.append(begins, len(parents)))
+        owner = np.repeat(np.arange(len(begins)), counts)
+        base = np.full(len(begins), -1, np.int64)
+        rows = np.flatnonzero(counts > FEW)
+        base[rows] = FAN * np.arange(len(rows))
+        shared = FAN * len(rows)
+        few = (counts > 1) & (counts <= FEW)
+        span = 4 * int(counts[few].sum()) + FAN
+        room = max(shared + span + FAN, len(parents) + FAN)
+        taken = np.zeros(room, bool)
+        there = base[owner] >= 0
+        taken[base[owner[there]] + digits[there]] = True
+        open_ = few.copy()
+        while open_.any():
+            mine = np.flatnonzero(open_[owner])
+            tries = shared + rng.integers(0, span, len(begins))
+            spots = tries[owner[mine]] + digits[mine]
+            wanted = np.bincount(spots, minlength=room)
+            clash = np.bincount(owner[mine], weights=taken[spots] | (wanted[spots] > 1), minlength=len(begins)) > 0
+            done = open_ & ~clash
+            base[done] = tries[done]
+            good = done[owner[mine]]
+            taken[spots[good]] = True
+            open_ &= ~done
+        single = counts == 1
+        left = np.flatnonzero(~taken)
+        base[single] = left[: int(single.sum())] - digits[begins[single]]
         old = len(self.base)
-        room = 3 * len(codes) + size + 64
         self.base = np.append(self.base, np.full(room, -1, np.int64))
         self.check = np.append(self.check, np.full(room, -1, np.int64))
-        taken = np.zeros(room, bool)
-        places = np.empty(len(codes), np.int64)
-        for i in np.flatnonzero(counts > 1)[np.argsort(-counts[counts > 1], kind="stable")].tolist():
-            own = codes[begins[i] : ends[i]]
-            span = room - size
-            while True:
-                tries = rng.integers(0, span, 8)
-                good = ~taken[tries[:, None] + own[None, :]].any(axis=1)
-                if good.any():
-                    base = int(tries[np.argmax(good)])
-                    break
-            taken[base + own] = True
-            places[begins[i] : ends[i]] = base + own
-        single = begins[counts == 1]
-        places[single] = np.flatnonzero(~taken)[: len(single)]
-        self.base[parents[begins]] = old + places[begins] - codes[begins]
-        return old + places
+        self.base[parents[begins]] = old + base
+        return old + base[owner] + digits
 
     def advance(self, ids: np.ndarray) -> np.ndarray:
         """For each position the row of the phrase that begins there, -1 if none does: all positions go down together."""
-        at = np.minimum(np.searchsorted(self.alphabet, ids), max(len(self.alphabet) - 1, 0))
-        codes = np.where(self.alphabet[at] == ids, at, -1) if len(self.alphabet) else np.full(len(ids), -1)
         found = np.full(len(ids), -1, np.int64)
+        if not len(self.alphabet):
+            return found
+        at = np.minimum(np.searchsorted(self.alphabet, ids), len(self.alphabet) - 1)
+        codes = np.where(self.alphabet[at] == ids, at, -1)
         where = np.arange(max(0, len(ids) - self.depth + 1))
         state = np.zeros(len(where), np.int64)
         for step in range(self.depth):
             code = codes[where + step]
             there = code >= 0
             where, state, code = where[there], state[there], code[there]
-            base = self.base[state]
-            to = base + code
-            inside = (to >= 0) & (to < len(self.check))
-            good = np.zeros(len(to), bool)
-            good[inside] = self.check[to[inside]] == state[inside]
-            where, state = where[good], to[good]
+            for digit in range(self.digits - 1, -1, -1):
+                to = self.base[state] + (code >> BITS * digit & (FAN - 1))
+                good = self.check[np.clip(to, 0, len(self.check) - 1)] == state
+                good &= (to >= 0) & (to < len(self.check))
+                where, state, code = where[good], to[good], code[good]
         found[where] = self.accepts[state]
         return found
 
 
-def candidates_in(trie: DoubleArray, names: np.ndarray, whole: bool, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(prefix, word, n): names of phrases, the frequent words that follow them in a block, and how often.
+def candidates_in(trie: DoubleArray, n_words: int, whole: bool, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, n): phrases of the trie with the frequent words that follow them, as phrase * n_words + word, and how often.
 
     ``whole``: the trie has all phrases of its length, so what follows must be accepted as well.
     """
@@ -217,19 +250,25 @@ def candidates_in(trie: DoubleArray, names: np.ndarray, whole: bool, ids: np.nda
     safe = (states >= 0) & (last >= 0)
     if whole:
         safe &= np.append(states[1:], -1) >= 0
-    prefix, words = states[safe], last[safe]
-    distinct, codes = np.unique(words, return_inverse=True)
-    keys, inverse = np.unique(prefix * max(len(distinct), 1) + codes, return_inverse=True)
-    counts = np.bincount(inverse, minlength=len(keys)) if len(keys) else np.zeros(0, np.int64)
-    return names[keys // max(len(distinct), 1)], distinct[keys % max(len(distinct), 1)] if len(distinct) else distinct, counts
+    return _summed(states[safe] * n_words + last[safe])
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each stands or what its counts add up to."""
+    distinct, places = np.unique(keys, return_inverse=True)
+    if counts is None:
+        return distinct, np.bincount(places, minlength=len(distinct))
+    sums = np.zeros(len(distinct), np.int64)
+    np.add.at(sums, places, counts)
+    return distinct, sums
 
 
-def _some(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[np.ndarray]:
+def _some(batches: Iterator[pa.RecordBatch], kind: str, most: int = WORDS) -> Iterator[np.ndarray]:
     """The words of some blocks together, about ``most`` at a time."""
     held, size = [], 0
     for batch in batches:
         for ids in batch.column(0):
-            held.append(np.frombuffer(ids.as_py(), np.int64))
+            held.append(np.frombuffer(ids.as_py(), kind))
             size += len(held[-1])
             if size >= most:
                 yield np.concatenate(held)
@@ -238,8 +277,9 @@ def _some(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[
         yield np.concatenate(held)
 
 
-def extended(texts: DataFrame, level: DataFrame, least: int, k: int, most: int = STATES) -> DataFrame:
+def extended(texts: DataFrame, level: DataFrame, least: int, k: int, n_words: int, most: int = STATES) -> DataFrame:
     """(id, prefix, word, f): the frequent phrases of one word more than those of ``level`` (id, words), by prefix and last word."""
+    kind = number_type(n_words)
     shards = max(1, -(-level.count() // max(1, most // 2)))  # shards by hash are uneven; half of the bound leaves room
     schema = pa.schema([("prefix", pa.int64()), ("word", pa.int64()), ("n", pa.int64())])
     counted = None
@@ -250,9 +290,18 @@ def extended(texts: DataFrame, level: DataFrame, least: int, k: int, most: int =
         trie, names, whole = DoubleArray(phrases), table["id"].to_numpy(), shards == 1
 
         def run(batches: Iterator[pa.RecordBatch], trie=trie, names=names, whole=whole) -> Iterator[pa.RecordBatch]:
-            for ids in _some(batches):
-                columns = candidates_in(trie, names, whole, ids)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+            def given(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+                columns = (names[keys // n_words], keys % n_words, counts) if len(keys) else (keys, keys, counts)
+                return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+
+            keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for ids in _some(batches, kind):
+                found, n = candidates_in(trie, n_words, whole, ids)
+                keys, counts = _summed(np.append(keys, found), np.append(counts, n))
+                if len(keys) >= SUMMED:
+                    yield given(keys, counts)
+                    keys, counts = keys[:0], counts[:0]
+            yield given(keys, counts)
 
         part = texts.mapInArrow(run, "prefix long, word long, n long")
         counted = part if counted is None else counted.unionByName(part)
@@ -265,10 +314,11 @@ def levels(documents: DataFrame, least: int = LEAST, longest: int = LONGEST, sta
     cut = materialise(blocks(documents), "phrase-texts")
     totals = cut.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     words = frequent_words(cut, least)
-    texts = encoded(cut, words, vocabulary)
+    n_words = words.count()
+    texts = encoded(cut, words, n_words, vocabulary)
     found = [words.withColumn("words", F.array("id"))]
     for k in range(2, longest + 1):
-        grown = extended(texts, found[-1], least, k, states)
+        grown = extended(texts, found[-1], least, k, max(n_words, 1), states)
         head = found[-1].select(F.col("id").alias("prefix"), "lang", F.col("phrase").alias("head"), F.col("words").alias("before"))
         tail = words.select(F.col("id").alias("word"), F.col("phrase").alias("tail"))
         named = grown.join(head, "prefix").join(tail, "word")
