@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import chain
 
 _GLUED = re.compile(r" (?=\s|\Z)")
 
@@ -42,7 +43,7 @@ class Remembered:
         split = [units(t) for t in texts]
         known = self.known
         firsts = list(dict.fromkeys(own[0] for own in split))
-        missing = list({u for own in split for u in own[1:] if u not in known})
+        missing = [u for u in set(chain.from_iterable(own[1:] for own in split)) if u not in known]
         made = self.encode(firsts + [" " + u for u in missing])
         first = dict(zip(firsts, made, strict=False))
         fresh = dict(zip(missing, made[len(firsts) :], strict=True))

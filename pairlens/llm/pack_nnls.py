@@ -26,7 +26,9 @@ WINDOW = 2048
 END = 1
 #: Lengths from which combinations of three are made: the most frequent ones.
 FREQUENT = 48
+#: Salts of a length at least, and pieces of all lengths for each salt beyond: a length that holds all of them gives groups of this size.
 SALTS = 256
+PIECES = 50_000
 
 
 @lru_cache(maxsize=2)
@@ -41,10 +43,44 @@ def library_ids(tokenizer: str) -> Remembered:
     own.no_truncation()
     own.no_padding()
 
-    def encode(units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in own.encode_batch_fast(units, add_special_tokens=False)]
+    return Remembered(Joined(own).encode)
 
-    return Remembered(encode)
+
+#: Units that are encoded as one text.
+JOINED = 64
+
+
+class Joined:
+    """Ids of units, many units a call: those that begin with a space may be joined, and the bytes of ids tell where each one ends."""
+
+    def __init__(self, own) -> None:
+        self.own = own
+        added = own.get_added_tokens_decoder()
+        names = [own.id_to_token(i) or "" for i in range(own.get_vocab_size())]
+        # A character of a byte-level token stands for a byte.
+        self.sizes = np.array([len(added[i].content.encode()) if i in added else len(n) for i, n in enumerate(names)], np.int64)
+
+    def alone(self, units: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(units, add_special_tokens=False)]
+
+    def encode(self, units: list[str]) -> list[bytes]:
+        out: list = [None] * len(units)
+        fit = [i for i, u in enumerate(units) if len(u) > 1 and u[0] == " " and not u[1].isspace()]
+        groups = [fit[i : i + JOINED] for i in range(0, len(fit), JOINED)]
+        whole = self.own.encode_batch_fast(["".join([units[i] for i in group]) for group in groups], add_special_tokens=False)
+        for group, encoded in zip(groups, whole, strict=True):
+            ids = np.array(encoded.ids, "<u4")
+            ends = np.cumsum([len(units[i].encode()) for i in group])
+            reached = np.cumsum(self.sizes[ids])
+            at = np.searchsorted(reached, ends)
+            if len(reached) and at[-1] < len(reached) and (reached[at] == ends).all():
+                held, places = ids.tobytes(), (4 * (at + 1)).tolist()
+                for i, begin, end in zip(group, [0, *places], places, strict=False):
+                    out[i] = held[begin:end]
+        rest = [i for i, found in enumerate(out) if found is None]
+        for i, found in zip(rest, self.alone([units[i] for i in rest]), strict=True):
+            out[i] = found
+        return out
 
 
 def cuts(total: int, window: int) -> list[tuple[int, int]]:
@@ -189,6 +225,7 @@ def pack(documents: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER,
     Pieces that agree in all columns are interchangeable, so nothing depends on their order.
     """
     found = materialise(pieces(documents, window, tokenizer), "pack-pieces")
+    salts = max(salts, -(-found.count() // PIECES))
     salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).alias("salt")
     groups = materialise(found.groupBy("length", salt).agg(F.count(F.lit(1)).alias("n")), "pack-histogram")
     counts = np.zeros(window + 1, np.int64)
