@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import ROW, numbered
+from pairlens.llm.common import ROW, numbered, only
 
 #: Characters of a streamed delta in a derived log.
 DELTA = 400
@@ -49,8 +49,7 @@ def log_of(conversations: DataFrame, part: int = 0) -> DataFrame:
     several tables need a ``part`` of their own.
     """
     own = ["conv_id", "turn", "role", "text"]
-    clean = all(c in own or not c.startswith("__") for c in conversations.columns)
-    rows = numbered(conversations if clean else conversations.select(*own), "chat-rows").select(*own, ROW)
+    rows = numbered(only(conversations, *own), "chat-rows").select(*own, ROW)
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     deltas = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{DELTA}}}"), F.lit(0))
 

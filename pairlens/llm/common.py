@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,27 @@ def numbered(frame: DataFrame, name: str) -> DataFrame:
     return found.join(F.broadcast(places), F.col("__path") == F.col("__file")).select(*frame.columns, row)
 
 
+def keeps_columns(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For functions from documents to the same columns: columns that begin with ``__``, as the functions' own do, get other names
+    on the way, so none clashes.
+    """
+
+    @wraps(function)
+    def run(documents: DataFrame, *args, **kwargs) -> DataFrame:
+        own = documents.columns
+        if not any(c.startswith("__") for c in own):
+            return function(documents, *args, **kwargs)
+        held = documents.toDF(*[f"own{i}{c}" if c.startswith("__") else c for i, c in enumerate(own)])
+        return function(held, *args, **kwargs).toDF(*own)
+
+    return run
+
+
+def only(frame: DataFrame, *names: str) -> DataFrame:
+    """The named columns of a frame that has others which begin with ``__``; else the frame as it is, so that files stay recognised."""
+    return frame.select(*names) if any(c.startswith("__") for c in frame.columns) else frame
+
+
 def key_and_text(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the key as long and the text, null text as empty: other columns never reach an operator."""
     return frame.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import ROW, in_batches, key_and_text, numbered
+from pairlens.llm.common import ROW, in_batches, keeps_columns, key_and_text, numbered
 from pairlens.session import materialise
 
 EDITS = 2
@@ -112,8 +112,10 @@ def occurrences(documents: DataFrame, least: int = LEAST, short: bool = False) -
 
 
 def keys(documents: DataFrame, edits: int, least: int, probes: bool = True) -> DataFrame:
-    """(key, h1, indexed): a row for every key a line is indexed under or, with ``probes``, looks up."""
-    schema = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("indexed", pa.bool_())])
+    """(key, h1, indexed, longer): a row for every key a line is indexed under or, with ``probes``, looks up; ``longer`` is set where
+    it looks for shorter lines.
+    """
+    schema = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("indexed", pa.bool_()), ("longer", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -125,7 +127,7 @@ def keys(documents: DataFrame, edits: int, least: int, probes: bool = True) -> D
             found = _long_lines(texts, least)
             if not found:
                 continue
-            made, owners, flags = [], [], []
+            made, owners, flags, longer = [], [], [], []
             for line, h in zip(found, identify(found)[0].tolist(), strict=True):
                 if h in done:
                     continue
@@ -143,12 +145,13 @@ def keys(documents: DataFrame, edits: int, least: int, probes: bool = True) -> D
                     plans[size] = plan
                 made += [digest(line[s:e], seed) for s, e, seed, _ in plan]
                 flags += [flag for *_, flag in plan]
+                longer += [seed // 64 < size for _, _, seed, _ in plan]
                 owners += [h] * len(plan)
             if made:
-                arrays = [np.array(made, np.uint64).view(np.int64), np.array(owners, np.int64), np.array(flags, bool)]
+                arrays = [np.array(made, np.uint64).view(np.int64), np.array(owners, np.int64), np.array(flags, bool), np.array(longer, bool)]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], schema=schema)
 
-    return key_and_text(documents).mapInArrow(run, "key long, h1 long, indexed boolean")
+    return key_and_text(documents).mapInArrow(run, "key long, h1 long, indexed boolean, longer boolean")
 
 
 def candidates(documents: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
@@ -167,11 +170,13 @@ def candidates(documents: DataFrame, edits: int = EDITS, least: int = LEAST) ->
         marked = made.join(heavy, made["key"] == heavy["heavy"], "left")
         finer = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.xxhash64("key", i, _block("h1", i, blocks)))
         split = F.when(F.col("heavy").isNull(), F.array("key")).otherwise(finer)
-        made = marked.select(F.explode(split).alias("key"), "h1", "indexed")
+        made = marked.select(F.explode(split).alias("key"), "h1", "indexed", "longer")
     index = made.filter("indexed").select("key", F.col("h1").alias("a"))
-    probes = made.select(F.col("key").alias("probed"), F.col("h1").alias("b"))
+    probes = made.select(F.col("key").alias("probed"), F.col("h1").alias("b"), "longer")
     differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(F.lit(0xFFFFFFFF)))
-    met = index.join(probes, (F.col("key") == F.col("probed")) & (F.col("a") != F.col("b")) & (differ <= 2 * edits))
+    # Of two lines of one length either finds the other, so only the one with the greater name looks.
+    once = (F.col("a") < F.col("b")) | (F.col("longer") & (F.col("a") != F.col("b")))
+    met = index.join(probes, (F.col("key") == F.col("probed")) & once & (differ <= 2 * edits))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -388,6 +393,7 @@ def _short_links(rows: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return seen.groupBy("h1", "h2").agg(F.least(F.min("x"), F.min("y")).alias("earliest"))
 
 
+@keeps_columns
 def drop_repeated_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST, short: bool = False) -> DataFrame:
     """The documents, all of them and with their columns, without the lines that repeat an earlier one as ``line_classes`` has it.
 

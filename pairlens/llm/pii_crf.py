@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import document_columns, key_and_text, map_texts
+from pairlens.llm.common import document_columns, keeps_columns, key_and_text, map_texts
 from pairlens.llm.pii_base import KINDS, base_spans
 
 #: Labels: other, the word that announces a secret, the secret itself.
@@ -379,6 +379,7 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[last:]
 
 
+@keeps_columns
 def mask(documents: DataFrame, field: Field | None = None) -> DataFrame:
     """All documents with their columns; what was found is replaced in the text. Null text stays null."""
     field = field or default_field()

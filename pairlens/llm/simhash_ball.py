@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import ROW, key_and_text, map_texts, numbered
+from pairlens.llm.common import ROW, keeps_columns, key_and_text, map_texts, numbered
 from pairlens.llm.components import connected_components
 from pairlens.session import materialise
 
@@ -105,6 +105,7 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+@keeps_columns
 def keep_one(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The documents without near duplicates: of each component, the document of the smallest id stays, with all its columns.
 

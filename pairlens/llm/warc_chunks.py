@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import ROW, numbered
+from pairlens.llm.common import ROW, numbered, only
 from pairlens.session import materialise
 
 #: Payload bytes in a chunk.
@@ -109,7 +109,7 @@ def write_records(pages: DataFrame, name: str = "warc", chunk: int = CHUNK, shar
     Null html is an empty payload. The list of revisits is stored first: Spark broadcasts it if its measured size allows,
     and else joins it by a shuffle.
     """
-    pages = numbered(pages, f"{name}-rows")
+    pages = numbered(only(pages, "page_id", "url", "html"), f"{name}-rows")
     known = materialise(revisits(pages, shared), f"{name}-revisits")
     rows = pages.select(ROW, F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256))

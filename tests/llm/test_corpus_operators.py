@@ -670,3 +670,47 @@ def test_pipeline_stages_keep_the_columns_and_the_last_packs(spark, given, sf):
         seen.append({r["doc_id"] for r in docs.collect()})
     assert seen[1] == seen[0] and seen[3] == seen[2] < seen[1]
     check_packing(corpus_pipeline.run(spark, sf).collect(), texts_of(docs))
+
+
+# --- clashing names
+
+
+def test_columns_that_clash_with_inner_names_stay(spark):
+    names = ["__row", "__gone", "__path", "__masked", "__gone_row", "__file", "__at"]
+    rows = [(1, "a line of some length here\nmail ann@x.example.com", *"abcdefg"), (2, "a line of some length here\nother text", *"hijklmn"), (2, None, *"opqrstu")]
+    frame = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    for stage in (lambda f: line_join.drop_repeated_lines(f, short=True), shingle_copies.keep_one, pii_crf.mask, simhash_ball.keep_one):
+        got = stage(frame)
+        assert got.columns == frame.columns
+        kept = {tuple(r)[2:] for r in got.collect()}
+        assert kept == {r[2:] for r in rows}
+    pages = frame.selectExpr("doc_id AS page_id", "'http://x.org' AS url", "text AS html", *names)
+    assert warc_chunks.read_records(warc_chunks.write_records(pages)).count() == 3
+
+
+def test_copies_of_a_page_with_slots_equal_brute_force(spark):
+    rng = random.Random(1)
+    slots = sorted(rng.sample(range(400), 39))
+    texts = []
+    for i in range(120):
+        words = [f"w{j}" for j in range(400)]
+        for slot in slots:
+            words[slot] = f"s{slot}{rng.random() < 0.5}"
+        other = list(words)
+        other[rng.randrange(400)] = f"q{i}"
+        texts += [" ".join(words), " ".join(other)]
+    sets = [set(shingle_copies.shingles(t).tolist()) for t in texts]
+    group = list(range(len(texts)))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared):
+                group[max(top(i), top(j))] = min(top(i), top(j))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r["doc_id"] for r in shingle_copies.keep_one(frame).collect()} == {top(i) for i in range(len(texts))}
