@@ -37,7 +37,7 @@ def local_session(cores: int | None = None, app: str = "pairlens-local", **overr
         "spark.driver.memory": "12g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-        # Small files of one row group each still occupy the cores.
+        # Small files are read by all cores where they have several row groups; a row group is never split.
         "spark.sql.files.maxPartitionBytes": "4m",
         "spark.sql.files.openCostInBytes": "64k",
         "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
