@@ -98,6 +98,15 @@ def proximity_hits(sentences: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def _with_near(found: Column, near: Column) -> Column:
+    """Mentions with ``near``: the pair is one of the near pairs of the same sentence."""
+
+    def same(p: Column, m: Column) -> Column:
+        return (p["e1"] == m["e1"]) & (p["e2"] == m["e2"]) & (p["e1_type"] == m["e1_type"]) & (p["e2_type"] == m["e2_type"])
+
+    return F.transform(found, lambda m: m.withField("near", F.exists(near, lambda p: same(p, m))))
+
+
 def flag_near_mentions(sentences: DataFrame, window: int, types=None, text_col: str = "text") -> DataFrame:
     """Mentions with ``near``: the pair is a proximity hit of the same sentence.
 
@@ -106,29 +115,70 @@ def flag_near_mentions(sentences: DataFrame, window: int, types=None, text_col:
     text = F.col(text_col)
 
     def flag(found: Column) -> Column:
-        flagged = let(
-            near_pairs(text_col),
-            lambda near: F.transform(
-                found,
-                lambda m: m.withField(
-                    "near",
-                    F.exists(
-                        near,
-                        lambda p: (p["e1"] == m["e1"])
-                        & (p["e2"] == m["e2"])
-                        & (p["e1_type"] == m["e1_type"])
-                        & (p["e2_type"] == m["e2_type"]),
-                    ),
-                ),
-            ),
-        )
-        return F.when(F.size(found) > 0, flagged)
+        return F.when(F.size(found) > 0, let(near_pairs(text_col), lambda near: _with_near(found, near)))
 
     rows = sentences.filter(tx.has_two_entities(text))
     rows = rows.select("*", F.explode(let(mentions_of(text_col, window, as_key(types)), flag)).alias("m"))
     return rows.select(*sentences.columns, "m.*")
 
 
+@built_once
+def evidence_of(text_col: str, window: int, types: tuple[tuple[str, str], ...] | None) -> Column:
+    """Mentions (``kind`` mention) and near pairs with their phrases (``kind`` hit) of a sentence, in one array.
+
+    A hit comes with an empty phrase, which counts the pair, and once more with the phrase if it has one.
+    """
+    text = F.col(text_col)
+    no_words = F.lit(None).cast("array<string>")
+
+    def mention(m: Column) -> Column:
+        return F.struct(
+            F.lit("mention").alias("kind"), *[m[c].alias(c) for c in (*PAIR, "bef", "bet", "aft")],
+            F.lit(None).cast("string").alias("phrase"), m["near"].alias("near"),
+        )
+
+    def hit(p: Column) -> Column:
+        first = F.struct(p["e1"].alias("s"), p["e1_type"].alias("ty"))
+        second = F.struct(p["e2"].alias("s"), p["e2_type"].alias("ty"))
+        phrases = F.array_compact(F.array(F.lit(""), _phrase_between_last(text, first, second)))
+        return F.transform(
+            phrases,
+            lambda phrase: F.struct(
+                F.lit("hit").alias("kind"), *[p[c].alias(c) for c in PAIR],
+                *[no_words.alias(c) for c in ("bef", "bet", "aft")], phrase.alias("phrase"), F.lit(False).alias("near"),
+            ),
+        )
+
+    def both(found: Column, near: Column) -> Column:
+        return F.concat(F.transform(_with_near(found, near), mention), F.flatten(F.transform(near, hit)))
+
+    return let(near_pairs(text_col), lambda near: let(mentions_of(text_col, window, types), lambda found: both(found, near)))
+
+
+def corpus_evidence(sentences: DataFrame, window: int, types=None, text_col: str = "text") -> DataFrame:
+    """Everything the evaluation counts in a corpus, from one scan and one aggregate.
+
+    Rows of ``kind`` mention are the distinct mentions with ``n`` and ``n_near``; rows of ``kind`` hit are (pair, phrase)
+    with ``n`` hits, the empty phrase being all hits of the pair.  Sentences without two entities, null or empty
+    ones among them, give nothing.
+    """
+    rows = sentences.filter(tx.has_two_entities(F.col(text_col)))
+    rows = rows.select(F.explode(evidence_of(text_col, window, as_key(types))).alias("x")).select("x.*")
+    return rows.groupBy("kind", *PAIR, "bef", "bet", "aft", "phrase").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("near").alias("n_near")
+    )
+
+
+def superset_in(evidence: DataFrame) -> DataFrame:
+    """The distinct mentions of counted evidence, as ``superset_of`` gives them."""
+    return evidence.filter("kind = 'mention'").select(*PAIR, "bef", "bet", "aft", "n", "n_near")
+
+
+def phrases_in(evidence: DataFrame) -> DataFrame:
+    """The phrase counts of counted evidence, as ``phrase_counts`` gives them."""
+    return evidence.filter("kind = 'hit'").select(*PAIR, "phrase", F.col("n").alias("hits"))
+
+
 def superset_of(mentions: DataFrame) -> DataFrame:
     """Distinct mentions with ``n`` occurrences, ``n_near`` of them in a proximity hit."""
     return mentions.groupBy(*PAIR, "bef", "bet", "aft").agg(
@@ -212,6 +262,6 @@ def pair_support(superset: DataFrame, catalogue: DataFrame) -> DataFrame:
     )
 
 
-def well_supported(total: Column, with_word: Column) -> Column:
+def well_supported(total: Column, with_word: Column, threshold: float = PMI_THRESHOLD) -> Column:
     """Share of supporting mentions with a relational word; false without any mention."""
-    return F.coalesce(with_word / F.nullif(total, F.lit(0)) >= PMI_THRESHOLD, F.lit(False))
+    return F.coalesce(with_word / F.nullif(total, F.lit(0)) >= threshold, F.lit(False))

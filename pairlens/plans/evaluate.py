@@ -9,13 +9,16 @@ large share of all facts is one row per map task when it is shuffled.
 """
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairlens.operators import store as st
 from pairlens.operators import support as sp
 from pairlens.operators.mentions import EVALUATION_WINDOW
+from pairlens.session import materialise
 from pairlens.sources.catalogue import KEEP_ORDER_ON_PASSIVE
 
 PAIR_KEY = ["rel_type", "e1", "e2"]
@@ -60,11 +63,20 @@ def triples_of(facts: DataFrame) -> DataFrame:
     return facts.groupBy(*TRIPLE_KEY).agg(F.count(F.lit(1)).alias("n_facts"))
 
 
-def pair_ledger(verdicts: DataFrame, pairs: DataFrame, kb: DataFrame) -> DataFrame:
+def split_by_kb(pairs: DataFrame, kb: DataFrame) -> DataFrame:
+    """Per pair of the corpus or the knowledge base: is it ``known``, and what the corpus says about it."""
+    zero = F.lit(0).cast("bigint")
+    counts = ["keyword_mentions", "total", "with_word"]
+    stated = pairs.select(*PAIR_KEY, F.lit(False).alias("known"), *counts)
+    known = kb.select(*PAIR_KEY, F.lit(True).alias("known"), *[zero.alias(c) for c in counts])
+    return stated.unionByName(known).groupBy(*PAIR_KEY).agg(F.max("known").alias("known"), *[F.sum(c).alias(c) for c in counts])
+
+
+def pair_ledger(verdicts: DataFrame, pairs: DataFrame, kb: DataFrame | None = None) -> DataFrame:
     """Everything known about a pair in one row, from facts, corpus and knowledge base.
 
     A union and one aggregate instead of a chain of joins: hot pairs merge on the map side and each
-    input is read once.
+    input is read once.  Without ``kb``, ``pairs`` are split by it already (``split_by_kb``).
     """
     zero, no = F.lit(0).cast("bigint"), F.lit(False)
     sides = [
@@ -73,16 +85,17 @@ def pair_ledger(verdicts: DataFrame, pairs: DataFrame, kb: DataFrame) -> DataFra
             no.alias("known"), zero.alias("keyword_mentions"), zero.alias("total"), zero.alias("with_word"),
         ),
         pairs.select(
-            *PAIR_KEY, zero.alias("n_facts"), zero.alias("n_supported"), no.alias("known"),
+            *PAIR_KEY, zero.alias("n_facts"), zero.alias("n_supported"), no.alias("known") if kb is not None else "known",
             "keyword_mentions", "total", "with_word",
         ),
-        kb.select(
+    ]
+    if kb is not None:
+        sides.append(kb.select(
             *PAIR_KEY, zero.alias("n_facts"), zero.alias("n_supported"), F.lit(True).alias("known"),
             zero.alias("keyword_mentions"), zero.alias("total"), zero.alias("with_word"),
-        ),
-    ]
+        ))
     sums = ["n_facts", "n_supported", "keyword_mentions", "total", "with_word"]
-    merged = sides[0].unionByName(sides[1]).unionByName(sides[2]).groupBy(*PAIR_KEY).agg(
+    merged = reduce(DataFrame.unionByName, sides).groupBy(*PAIR_KEY).agg(
         F.max("known").alias("known"), *[F.sum(c).alias(c) for c in sums]
     )
     known = F.col("known")
@@ -189,22 +202,64 @@ class CorpusStatistics:
     superset: DataFrame  # distinct mentions of the corpus with n, n_near
     pairs: DataFrame  # per (rel_type, e1, e2) keyword and support counts
     phrases: DataFrame  # hits per (pair, phrase) of the support corpus
+    store: st.Store | None = None  # where what follows from the corpus is kept
+    params: dict = field(default_factory=dict)  # what it depends on
 
 
 def corpus_statistics(
-    corpus: DataFrame, catalogue: DataFrame, types, support_corpus: DataFrame | None = None, text_col: str = "text"
+    corpus: DataFrame, catalogue: DataFrame, types, support_corpus: DataFrame | None = None, text_col: str = "text",
+    store: st.Store | None = None, window: int = EVALUATION_WINDOW,
 ) -> CorpusStatistics:
-    """Aggregates of the corpus; the support corpus defaults to the same one."""
-    mentions = sp.flag_near_mentions(corpus.select(text_col), EVALUATION_WINDOW, types, text_col)
-    superset = sp.superset_of(mentions)
+    """Aggregates of the corpus; the support corpus defaults to the same one.
+
+    Each corpus is read and tokenised once: its counted evidence is written, and both kinds are read from there.
+    With a ``store`` a later run over the same files reads it instead of the corpus.
+    """
+
+    def counted(part: DataFrame) -> tuple[DataFrame, dict]:
+        def build() -> DataFrame:
+            return sp.corpus_evidence(part.select(text_col), window, types, text_col)
+
+        if store is None:
+            return materialise(build(), "evidence"), {}
+        params = store.key(part, window=window, types=sorted(set(types)) if types else None)
+        return st.materialise_superset(part.sparkSession, store.base, params, build), params
+
+    evidence, params = counted(corpus)
+    superset = sp.superset_in(evidence)
     pairs = sp.pair_support(superset, catalogue)
-    backing = corpus if support_corpus is None else support_corpus
     if support_corpus is not None:
-        other = sp.superset_of(sp.flag_near_mentions(backing.select(text_col), EVALUATION_WINDOW, types, text_col))
-        counted = sp.pair_support(other, catalogue).select(*PAIR_KEY, "total", "with_word")
-        pairs = pairs.drop("total", "with_word").join(counted, PAIR_KEY, "left")
-    hits = sp.proximity_hits(backing.select(text_col), text_col).drop(text_col)
-    return CorpusStatistics(superset, pairs, sp.phrase_counts(hits))
+        evidence, backing = counted(support_corpus)
+        support = sp.pair_support(sp.superset_in(evidence), catalogue).select(*PAIR_KEY, "total", "with_word")
+        pairs = pairs.drop("total", "with_word").join(support, PAIR_KEY, "left")
+        params = {**params, "support": backing}
+    if store is not None:
+        # At most twelve relations with their words.
+        params = {**params, "words": sorted(str(r) for r in catalogue.collect())}
+    return CorpusStatistics(superset, pairs, sp.phrases_in(evidence), store, params)
+
+
+def corpus_split(stats: CorpusStatistics, kb: DataFrame) -> DataFrame:
+    """The pairs of the corpus and the knowledge base, stored where the statistics are."""
+    if stats.store is None:
+        return split_by_kb(stats.pairs, kb)
+    return st.materialise_kb_split(
+        kb.sparkSession, stats.store.base, {**stats.params, "kb": stats.store.key(kb)}, lambda: split_by_kb(stats.pairs, kb)
+    ).select(*PAIR_KEY, "known", "keyword_mentions", "total", "with_word")
+
+
+def high_pmi(stats: CorpusStatistics, kb: DataFrame, catalogue: DataFrame, threshold: float = sp.PMI_THRESHOLD) -> DataFrame:
+    """Mentions with a relational word whose pair is outside the knowledge base and supported by the corpus."""
+
+    def build() -> DataFrame:
+        good = corpus_split(stats, kb).filter(~F.col("known") & sp.well_supported(F.col("total"), F.col("with_word"), threshold))
+        stated = sp.with_relations(stats.superset, catalogue).filter("word_in_context")
+        return stated.join(good.select(*PAIR_KEY), PAIR_KEY, "left_semi")
+
+    if stats.store is None:
+        return build()
+    params = {**stats.params, "kb": stats.store.key(kb), "threshold": threshold}
+    return st.materialise_high_pmi(kb.sparkSession, stats.store.base, params, build)
 
 
 @dataclass
@@ -226,6 +281,9 @@ def evaluate(
     """Evaluate scored system facts, or classified facts whose score is null."""
     unique = distinct_facts(facts)
     verdicts = sp.exact_phrase_verdicts(triples_of(unique), stats.phrases, catalogue)
-    ledger = pair_ledger(verdicts, stats.pairs, kb)
+    if stats.store is None:
+        ledger = pair_ledger(verdicts, stats.pairs, kb)
+    else:
+        ledger = pair_ledger(verdicts, corpus_split(stats, kb))
     sizes = region_sizes(catalogue, ledger, subtract)
     return Evaluation(unique, kb, verdicts, ledger, sizes, evaluation_metrics(sizes))

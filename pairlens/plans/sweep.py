@@ -150,14 +150,7 @@ def facts_by_bags(mentions: DataFrame) -> DataFrame:
 
 def stats_with_kb(pairs: DataFrame, kb: DataFrame) -> DataFrame:
     """Per pair of the corpus or the knowledge base: is it known, and would it be in c or d if nobody found it."""
-    zero = F.lit(0).cast("bigint")
-    merged = pairs.select(*ev.PAIR_KEY, F.lit(False).alias("known"), "keyword_mentions", "total", "with_word").unionByName(
-        kb.select(
-            *ev.PAIR_KEY, F.lit(True).alias("known"), zero.alias("keyword_mentions"), zero.alias("total"), zero.alias("with_word")
-        )
-    ).groupBy(*ev.PAIR_KEY).agg(
-        F.max("known").alias("known"), *[F.sum(c).alias(c) for c in ("keyword_mentions", "total", "with_word")]
-    )
+    merged = ev.split_by_kb(pairs, kb)
     stated = F.col("keyword_mentions") > 0
     return merged.select(
         *ev.PAIR_KEY,

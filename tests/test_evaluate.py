@@ -68,6 +68,90 @@ def test_small_evaluation(spark):
     assert (round(m.precision, 6), round(m.recall, 6)) == (0.4, 0.5)
 
 
+def test_corpus_is_read_and_counted_once(spark, tmp_path):
+    """One scan and one aggregate yield what the two separate passes yield; the metrics read no corpus any more."""
+    texts = ["<ORG>A</ORG> is based in <LOC>X</LOC> ."] * 3 + ["<ORG>A</ORG> left <LOC>X</LOC> and <ORG>B</ORG> ."]
+    texts += ["<ORG>A</ORG> and <LOC>X</LOC> .", "no names", "", "<ORG>A</ORG> " + "very " * 5000 + "<LOC>X</LOC>"]
+    spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string").write.parquet(str(tmp_path / "corpus"))
+    sentences = spark.read.parquet(str(tmp_path / "corpus"))
+    types = [("ORG", "LOC")]
+    evidence = sp.corpus_evidence(sentences, 2, types)
+    plan = evidence._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Generate explode") == 1
+    assert plan.count("Exchange") == 1
+
+    def same(left, right):
+        return sorted(map(str, left.collect())) == sorted(map(str, right.select(*left.columns).collect()))
+
+    assert same(sp.superset_in(evidence), sp.superset_of(sp.flag_near_mentions(sentences, 2, types)))
+    assert same(sp.phrases_in(evidence), sp.phrase_counts(sp.proximity_hits(sentences)))
+    assert sp.superset_in(evidence).count() > 1 and sp.phrases_in(evidence).count() > 4
+    cat = relation_catalogue(spark, ["has-installations"])
+    stats = ev.corpus_statistics(sentences, cat, types)
+    read = {f.rsplit("/", 2)[1] for frame in (stats.pairs, stats.phrases) for f in frame.inputFiles()}
+    assert all("corpus" not in name for name in read)
+
+
+def test_store_tells_inputs_and_parameters_apart(spark, tmp_path):
+    from pairlens.operators import store as st
+
+    def rewrite(*texts):
+        corpus(spark, *texts).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "corpus"))
+        return spark.read.parquet(str(tmp_path / "corpus"))
+
+    def never():
+        raise AssertionError("built again")
+
+    cat, types = relation_catalogue(spark, ["has-installations"]), [("ORG", "LOC")]
+    kb_path = str(tmp_path / "kb")
+    spark.createDataFrame([("has-installations", "A", "X")], "rel_type string, e1 string, e2 string").write.parquet(kb_path)
+    kb = spark.read.parquet(kb_path)
+    store = st.Store(str(tmp_path / "store"))
+    texts = ["<ORG>A</ORG> is based in <LOC>X</LOC>", "<ORG>B</ORG> is based in <LOC>Y</LOC>", "<ORG>C</ORG> left <LOC>Z</LOC>"]
+    first = rewrite(*texts)
+    stats = ev.corpus_statistics(first, cat, types, store=store)
+    facts = spark.createDataFrame(
+        [("has-installations", "A", "X", 0.9, "", "is based in", "", "s", False)],
+        "rel_type string, e1 string, e2 string, score double, bef string, bet string, aft string, sentence string, passive boolean",
+    )
+    names = ["s", "a", "b", "c_pairs", "d_pairs", "precision", "recall"]
+    plain = ev.evaluate(facts, kb, ev.corpus_statistics(first, cat, types), cat).metrics.select(*names).collect()
+    kept = ev.evaluate(facts, kb, stats, cat).metrics.select(*names)
+    assert kept.collect() == plain and plain[0].d_pairs == 1
+    assert {r.e1 for r in ev.high_pmi(stats, kb, cat).collect()} == {"B"}
+    # The same parameters are read; a changed file, knowledge base or threshold is not served from what is there.
+    params = store.key(first, window=2, types=types)
+    assert st.materialise_superset(spark, store.base, params, never).count() > 0
+    with pytest.raises(AssertionError):
+        st.materialise_high_pmi(spark, store.base, {**stats.params, "kb": store.key(kb), "threshold": 0.9}, never)
+    second = rewrite(*texts[:1], "<ORG>D</ORG> is based in <LOC>Y</LOC> now")
+    assert store.key(second) != {k: v for k, v in params.items() if k in ("files", "version")}
+    again = ev.corpus_statistics(second, cat, types, store=store)
+    assert {r.e1 for r in again.superset.collect()} == {"A", "D"}
+    # A folder whose manifest is not the one asked for is built again.
+    path = again.superset.inputFiles()[0].split("/superset/")[1].split("/")[0]
+    st.write_manifest(spark, f"{store.base}/superset/{path}", "{}")
+    assert {r.e1 for r in ev.corpus_statistics(second, cat, types, store=store).superset.collect()} == {"A", "D"}
+    with pytest.raises(ValueError):
+        store.key(corpus(spark, "x"))
+
+
+def test_write_by_relation_splits_and_joins(spark, tmp_path):
+    """A dominant relation is spread, a rare one is one file; null and copies stay."""
+    from pairlens.operators import sinks as sk
+
+    rows = spark.range(4000, numPartitions=8).selectExpr(
+        "CASE WHEN id < 3000 THEN 'owns' WHEN id < 3990 THEN 'founder' WHEN id < 3995 THEN 'spouse' END AS rel_type", "'a' AS e1"
+    )
+    sk.write_by_relation(rows, str(tmp_path / "by"), 1000)
+    back = spark.read.parquet(str(tmp_path / "by"))
+    assert {(r.rel_type, r["count"]) for r in back.groupBy("rel_type").count().collect()} == {
+        ("owns", 3000), ("founder", 990), ("spouse", 5), (None, 5)
+    }
+    files = [f for f in back.inputFiles() if "rel_type=spouse" in f]
+    assert len(files) == 1 and len([f for f in back.inputFiles() if "rel_type=owns" in f]) >= 3
+
+
 def test_invariants(spark, sf):
     cat, kb = fx.catalogue(spark), fx.kb(spark, sf)
     stats = ev.corpus_statistics(fx.sentences(spark, sf), cat, fx.types())

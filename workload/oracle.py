@@ -408,6 +408,37 @@ oracle(
        WHERE keyword_mentions > 0 AND total > 0 AND with_word / total >= 0.65""",
     "pairs", "kb",
 )
+oracle(
+    "materialise_superset",
+    " UNION ALL ".join(
+        f"""SELECT {w} AS context_window, e1_type, e2_type, count(*) AS mentions, sum(n)::BIGINT AS n
+            FROM (SELECT e1_type, e2_type, e1, e2, typed.{bef}, bet, typed.{aft}, count(*) AS n FROM typed GROUP BY ALL)
+            GROUP BY e1_type, e2_type"""
+        for w, bef, aft in ((2, "bef", "aft"), (3, "bef3", "aft3"))
+    ),
+    "typed",
+)
+oracle(
+    "materialise_kb_split",
+    " UNION ALL ".join(
+        f"""SELECT '{words_in}' AS words, rel_type, known, count(*) AS pairs, sum(keyword_mentions)::BIGINT AS keyword_mentions
+            FROM (SELECT rel_type, e1, e2, bool_or(known) AS known, sum(keyword_mentions) AS keyword_mentions
+                  FROM (SELECT rel_type, e1, e2, false AS known, keyword_mentions FROM pairs WHERE {keep}
+                        UNION ALL SELECT rel_type, e1, e2, true, 0 FROM kb) GROUP BY rel_type, e1, e2)
+            GROUP BY rel_type, known"""
+        for words_in, keep in (("all", "true"), ("one", "rel_type = 'has-installations'"))
+    ),
+    "pairs", "kb",
+)
+oracle(
+    "materialise_high_pmi",
+    " UNION ALL ".join(
+        f"""SELECT {t}::DOUBLE AS threshold, rel_type, e1, e2, keyword_mentions AS mentions FROM pairs ANTI JOIN kb USING (rel_type, e1, e2)
+            WHERE keyword_mentions > 0 AND total > 0 AND with_word / total >= {t}"""
+        for t in (0.65, 0.9)
+    ),
+    "pairs", "kb",
+)
 oracle(
     "data_checks",
     """SELECT * FROM (VALUES

@@ -1,6 +1,7 @@
 """One query per job of the engine, over the given tables; each has the same result as its SQL in ``oracle``."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,13 +17,15 @@ from pairlens.functions.columns import let
 from pairlens.operators import mentions as mn
 from pairlens.operators import neighbours as nb
 from pairlens.operators import sinks as sk
+from pairlens.operators import store as st
 from pairlens.operators import support as sp
 from pairlens.plans import bootstrap as bs
 from pairlens.plans import checks as ck
 from pairlens.plans import classify as cl
 from pairlens.plans import evaluate as ev
 from pairlens.plans import sweep as sw
-from pairlens.session import materialise
+from pairlens.session import materialise, shared_folder
+from pairlens.sources import catalogue as cat
 from pairlens.sources import corpus as co
 from pairlens.sources import kb as kbs
 from pairlens.sources import records as rc
@@ -313,6 +316,17 @@ def token_bigrams(spark, sf):
 # -- knowledge base and corpus support -------------------------------------------------------------
 
 
+def new_folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/pairlens/{name}-{uuid.uuid4().hex}"
+
+
+def written(name: str, rows: DataFrame, write: Callable[..., None], *more) -> DataFrame:
+    """What a sink wrote into the shared folder."""
+    path = new_folder(rows.sparkSession, name)
+    write(rows, path, *more)
+    return rows.sparkSession.read.parquet(path)
+
+
 def stats(spark, sf):
     return ev.corpus_statistics(fx.sentences(spark, sf), fx.catalogue(spark), fx.types())
 
@@ -452,12 +466,12 @@ def evaluation_metrics(spark, sf):
 
 @query
 def write_positives(spark, sf):
-    return ev.positives(evaluation(spark, sf).fact_regions()).select("rel_type", "e1", "e2", "score", "sentence", "bet")
+    return written("positives", evaluation(spark, sf).fact_regions(), sk.write_positives).select("rel_type", "e1", "e2", "score", "sentence", "bet")
 
 
 @query
 def write_negatives(spark, sf):
-    return ev.negatives(evaluation(spark, sf).fact_regions()).select("rel_type", "e1", "e2", "score", "sentence", "bet")
+    return written("negatives", evaluation(spark, sf).fact_regions(), sk.write_negatives).select("rel_type", "e1", "e2", "score", "sentence", "bet")
 
 
 @query
@@ -478,6 +492,58 @@ def high_pmi(spark, sf):
     return outside.join(good.select("rel_type", "e1", "e2"), ["rel_type", "e1", "e2"], "left_semi")
 
 
+def not_again() -> DataFrame:
+    raise AssertionError("a stored intermediate was built a second time")
+
+
+@query
+def materialise_superset(spark, sf):
+    """Counted evidence stored for two windows; both are read from the store."""
+    corpus, folder = fx.sentences(spark, sf), st.Store(new_folder(spark, "store"), "derived sentences")
+    windows = (mn.EVALUATION_WINDOW, mn.FEATURE_WINDOW)
+    for window in windows:
+        ev.corpus_statistics(corpus, fx.catalogue(spark), fx.types(), store=folder, window=window)
+    out = []
+    for window in windows:
+        params = folder.key(corpus, window=window, types=sorted(set(fx.types())))
+        rows = sp.superset_in(st.materialise_superset(spark, folder.base, params, not_again))
+        per = rows.groupBy("e1_type", "e2_type").agg(F.count(F.lit(1)).alias("mentions"), F.sum("n").alias("n"))
+        out.append(per.select(F.lit(window).alias("context_window"), "*"))
+    return fx.union(*out)
+
+
+@query
+def materialise_kb_split(spark, sf):
+    """Pairs inside and outside the knowledge base, stored for all relations and for one, and read back by evaluations."""
+    corpus, kb, folder = fx.sentences(spark, sf), fx.kb(spark, sf), st.Store(new_folder(spark, "store"), "derived sentences")
+    out = []
+    for name, relations in (("all", fx.RELATIONS_IN_USE), ("one", ["has-installations"])):
+        words = cat.relation_catalogue(spark, relations)
+        found = ev.corpus_statistics(corpus, words, cat.argument_types(relations), store=folder)
+        ev.corpus_split(found, kb)
+        params = {**found.params, "kb": folder.key(kb)}
+        rows = st.materialise_kb_split(spark, folder.base, params, not_again)
+        per = rows.groupBy("rel_type", "known").agg(F.count(F.lit(1)).alias("pairs"), F.sum("keyword_mentions").alias("keyword_mentions"))
+        out.append(per.select(F.lit(name).alias("words"), "*"))
+    return fx.union(*out)
+
+
+@query
+def materialise_high_pmi(spark, sf):
+    """Supported mentions outside the knowledge base, stored for two thresholds."""
+    corpus, kb, folder = fx.sentences(spark, sf), fx.kb(spark, sf), st.Store(new_folder(spark, "store"), "derived sentences")
+    found = ev.corpus_statistics(corpus, fx.catalogue(spark), fx.types(), store=folder)
+    thresholds = (sp.PMI_THRESHOLD, 0.9)
+    for threshold in thresholds:
+        ev.high_pmi(found, kb, fx.catalogue(spark), threshold)
+    out = []
+    for threshold in thresholds:
+        params = {**found.params, "kb": folder.key(kb), "threshold": threshold}
+        rows = sk.inspect_high_pmi(st.materialise_high_pmi(spark, folder.base, params, not_again))
+        out.append(rows.select(F.lit(threshold).alias("threshold"), "*"))
+    return fx.union(*out)
+
+
 @query
 def data_checks(spark, sf):
     return ck.data_checks(evaluation(spark, sf))
@@ -711,12 +777,14 @@ def classify_mentions(spark, sf):
 
 @query
 def write_classified(spark, sf):
-    return classified(spark, sf).select("e1", "e2", "sentence", "rel_type")
+    return written("classified", classified(spark, sf), sk.write_classified).select("e1", "e2", "sentence", "rel_type")
 
 
 @query
 def write_by_relation(spark, sf):
-    return classified(spark, sf).groupBy("rel_type").agg(F.count(F.lit(1)).alias("n"))
+    """Rows of every folder; a rare relation is one file, whatever the tasks that found it."""
+    rows = written("by-relation", classified(spark, sf), sk.write_by_relation)
+    return rows.groupBy("rel_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -730,13 +798,14 @@ def evaluate_classified(spark, sf):
 def write_wrong(spark, sf):
     rows = materialise(classified(spark, sf), "classified")
     done = bs.evaluate_classified(rows, fx.kb(spark, sf), stats(spark, sf), fx.catalogue(spark))
-    return sk.wrong_facts(done.fact_regions())
+    return written("wrong", done.fact_regions(), sk.write_wrong).select("rel_type", "e1", "e2", "sentence", "bet")
 
 
 @query
 def write_features(spark, sf):
     features, _ = cl.training_features(tr.parse_training(fx.run(spark, sf, fx.TRAINING_LINES)))
-    return features.select("rel_id", "rel_type", big(F.size("shingles")).alias("shingles"))
+    rows = written("features", features, sk.write_features)
+    return rows.select("rel_id", "rel_type", big(F.size("shingles")).alias("shingles"))
 
 
 def swept(spark, sf):
