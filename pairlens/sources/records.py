@@ -65,18 +65,27 @@ def read_system_output(spark: SparkSession, path: str, threshold: float, rel_typ
     return orient_on_passive(score_threshold(facts, threshold))
 
 
-def parse_classified_output(records: DataFrame) -> DataFrame:
-    """(e1, e2, sentence, rel_type) of classified records."""
+def _classified_rows(records: DataFrame) -> DataFrame:
     record = F.col("value")
     names = F.split(field(record, "instance"), "\t")
-    parsed = records.select(
+    return records.select(
+        "value",
         F.trim(F.get(names, F.lit(0))).alias("e1"),
         F.trim(F.get(names, F.lit(1))).alias("e2"),
         field(record, "sentence").alias("sentence"),
         F.nullif(field(record, "rel_type"), F.lit("")).alias("rel_type"),
-        F.size(names).alias("n"),
+        F.coalesce(F.size(names) == 2, F.lit(False)).alias("ok"),
     )
-    return parsed.filter("n = 2").drop("n")
+
+
+def parse_classified_output(records: DataFrame) -> DataFrame:
+    """(e1, e2, sentence, rel_type) of classified records."""
+    return _classified_rows(records).filter("ok").drop("value", "ok")
+
+
+def bad_classified_output(records: DataFrame) -> DataFrame:
+    """Records whose instance is not two names."""
+    return _classified_rows(records).filter("NOT ok").select("value")
 
 
 def facts_of_classified(classified: DataFrame) -> DataFrame:
@@ -100,14 +109,24 @@ def read_classified_output(spark: SparkSession, path: str) -> DataFrame:
     return facts_of_classified(parse_classified_output(read_records(spark, path)))
 
 
-def parse_shingle_records(records: DataFrame) -> DataFrame:
-    """(e1, e2, sentence, shingles) of stored query features."""
+def _shingle_rows(records: DataFrame) -> DataFrame:
     record = F.col("value")
     bag = F.filter(F.split(field(record, "shingles"), r"\s+"), lambda s: s != "")
-    return records.select(
-        field(record, "e1").alias("e1"), field(record, "e2").alias("e2"),
+    rows = records.select(
+        "value", field(record, "e1").alias("e1"), field(record, "e2").alias("e2"),
         field(record, "sentence").alias("sentence"), bag.alias("shingles"),
-    ).filter("e1 <> '' AND e2 <> ''")
+    )
+    return rows.withColumn("ok", F.coalesce((F.col("e1") != "") & (F.col("e2") != ""), F.lit(False)))
+
+
+def parse_shingle_records(records: DataFrame) -> DataFrame:
+    """(e1, e2, sentence, shingles) of stored query features."""
+    return _shingle_rows(records).filter("ok").drop("value", "ok")
+
+
+def bad_shingle_records(records: DataFrame) -> DataFrame:
+    """Records without one of the two names."""
+    return _shingle_rows(records).filter("NOT ok").select("value")
 
 
 def read_shingle_records(spark: SparkSession, path: str) -> DataFrame:

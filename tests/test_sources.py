@@ -100,6 +100,27 @@ def test_facts_to_training(spark, tmp_path):
     assert read(True) == [("founder", "A", "s2"), ("owns", "B", "s3")]
 
 
+def test_readers_set_bad_rows_aside(spark):
+    """Every row is good or bad, never both and never neither; null rows are bad where a line without content is no comment."""
+    lines = spark.createDataFrame(
+        [("id:1\towns\tA\tB\ts",), ("id:x\towns\tA\tB\ts",), ("id:2\towns",), ("2\towns\ta b",), ("x\towns\ta",), (None,)], "value string"
+    )
+    assert [r.rel_id for r in training.parse_training(lines).collect()] == [1]
+    assert training.bad_training(lines).count() == 4
+    assert [r.rel_id for r in training.parse_features(lines).collect()] == [2]
+    assert training.bad_features(lines).count() == 5
+    texts = [
+        "instance: A\tB\nsentence: s\nrel_type: owns", "instance: A", "instance: A\tB\t0.5", "e1: A\ne2: B\nshingles: a b", "e1: A", "", None,
+    ]
+    found = spark.createDataFrame([(t, "owns_x.txt") for t in texts], "value string, file_name string")
+    for good, bad in (
+        (records.parse_classified_output, records.bad_classified_output),
+        (records.parse_shingle_records, records.bad_shingle_records),
+        (training.parse_evaluated_facts, training.bad_evaluated_facts),
+    ):
+        assert good(found).count() == 1 and bad(found).count() == len(texts) - 1
+
+
 def test_sinks_reuse_by_parameters(spark, tmp_path):
     calls = []
 

@@ -193,6 +193,22 @@ FROM {supplier}
 UNION ALL SELECT '# none' AS value FROM {supplier} WHERE s_suppkey % 4 = 0
 """
 
+# Lines and records that the readers of their format must set aside.
+BAD_TRAINING_LINES = """
+SELECT 'id:x' || CAST(o_orderkey AS STRING) || CHR(9) || 'owns' || CHR(9) || 'A' || CHR(9) || 'B' || CHR(9) || 's' AS value FROM {orders}
+UNION ALL SELECT 'id:' || CAST(o_orderkey AS STRING) || CHR(9) || 'owns' AS value FROM {orders} WHERE o_orderkey % 3 = 0
+"""
+BAD_FEATURE_LINES = """
+SELECT 'p' || CAST(p_partkey AS STRING) || CHR(9) || p_type || CHR(9) || p_name AS value FROM {part}
+UNION ALL SELECT CAST(p_partkey AS STRING) || CHR(9) || p_name AS value FROM {part}
+"""
+BAD_CLASSIFIED_RECORDS = "SELECT 'instance: ' || p_brand || CHR(10) || 'sentence: ' || p_name AS value FROM {part}"
+BAD_SHINGLE_RECORDS = "SELECT 'e1: ' || p_brand || CHR(10) || 'sentence: ' || p_name || CHR(10) || 'shingles: a b' AS value FROM {part}"
+BAD_POSITIVE_RECORDS = """
+SELECT 'instance: ' || p_brand || CHR(9) || p_type || CHR(10) || 'sentence: ' || p_name AS value, 'owns_positives.txt' AS file_name
+FROM {part}
+"""
+
 # Labelled and unlabelled texts for similarity classification: whole documents.
 PASSAGES = """
 SELECT d.doc_id AS rel_id, d.text AS text, 'q' || CAST(quality AS STRING) || 't' || CAST(toxic AS STRING) AS rel_type

@@ -318,6 +318,11 @@ oracle(
 )
 oracle("symmetric_relation", f"SELECT e1, e2 FROM ({KB_ROWS['read_kb_freebase']}) UNION ALL SELECT e2, e1 FROM ({KB_ROWS['read_kb_freebase']})")
 oracle("quarantined_lines", "SELECT 'broken line ' || s_suppkey AS line FROM supplier WHERE s_suppkey % 9 = 0")
+for reader, broken in (
+    ("training", fx.BAD_TRAINING_LINES), ("features", fx.BAD_FEATURE_LINES), ("classified", fx.BAD_CLASSIFIED_RECORDS),
+    ("shingles", fx.BAD_SHINGLE_RECORDS), ("positives", fx.BAD_POSITIVE_RECORDS),
+):
+    oracle(f"quarantined_{reader}", f"SELECT value FROM ({source(broken)})")
 oracle("normalise_kb_name", "SELECT s_name || '_(id_' || s_suppkey || ')_x' AS raw, s_name || '  x' AS name FROM supplier")
 oracle("kb_multimap", "SELECT rel_type, e1, string_agg(e2, '|' ORDER BY e2) AS objects FROM kb GROUP BY rel_type, e1", "kb")
 oracle(

@@ -172,6 +172,23 @@ def facts_to_training(spark, sf):
     return tr.facts_to_training(facts).select("rel_type", "e1", "e2", "sentence")
 
 
+def quarantine(name: str, good: str, bad: str, set_aside: Callable[[DataFrame], DataFrame]):
+    """What a reader sets aside of good and bad rows."""
+
+    def fn(spark, sf):
+        return set_aside(fx.union(fx.run(spark, sf, good), fx.run(spark, sf, bad))).select("value")
+
+    fn.__name__ = name
+    return query(fn)
+
+
+quarantine("quarantined_training", fx.TRAINING_LINES, fx.BAD_TRAINING_LINES, tr.bad_training)
+quarantine("quarantined_features", fx.FEATURE_LINES, fx.BAD_FEATURE_LINES, tr.bad_features)
+quarantine("quarantined_classified", fx.CLASSIFIED_RECORDS, fx.BAD_CLASSIFIED_RECORDS, rc.bad_classified_output)
+quarantine("quarantined_shingles", fx.SHINGLE_RECORDS, fx.BAD_SHINGLE_RECORDS, rc.bad_shingle_records)
+quarantine("quarantined_positives", fx.POSITIVE_RECORDS, fx.BAD_POSITIVE_RECORDS, tr.bad_evaluated_facts)
+
+
 # -- text to mentions ------------------------------------------------------------------------------
 
 
