@@ -6,8 +6,9 @@ edits before and behind it are shared out. Keys carry length, segment number and
 place meet. Who meets is held against a byte-parity signature within the join, so that lines that merely share a segment
 (a template, a passage) never become pairs, and is then verified by a banded bit-parallel edit distance, many pairs at a time.
 
-Edits are counted on UTF-8 bytes. Lines shorter than ``least`` bytes carry too little evidence: they are linked with nothing
-and always stay. Equal lines are one line of the join, however often they occur.
+Edits are counted on UTF-8 bytes. What a pair is allowed depends on its shorter line: all edits from ``least`` bytes on, one from
+``SHORTEST`` on, none below, as a word of few letters is within an edit of many others. Equal lines are one line of the join,
+however often they occur and whatever their length; lines without a word are compared from ``least`` bytes on only.
 """
 from __future__ import annotations
 
@@ -23,6 +24,8 @@ from pairlens.session import materialise
 
 EDITS = 2
 LEAST = 20
+#: Bytes from which a line under LEAST is linked with those within one edit of a byte.
+SHORTEST = 10
 #: Characters from which a line under LEAST bytes is linked with those within one edit, where short lines are compared.
 SHORT = 10
 #: Pairs verified together hold about this many bytes.
@@ -46,17 +49,25 @@ def segments(size: int, parts: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:], strict=False))
 
 
-def probe_places(size: int, edits: int) -> list[tuple[int, int, int, int]]:
+def allowed(size: int, edits: int, least: int, shortest: int) -> int:
+    """Edits between a line of ``size`` bytes and one that is no shorter."""
+    return edits if size >= least else min(edits, 1) if size >= shortest else 0
+
+
+def probe_places(size: int, edits: int, least: int, shortest: int) -> list[tuple[int, int, int, int]]:
     """(other line's size, segment, start, end): where a line of ``size`` looks for segments of equal or shorter lines.
 
     Segment i of the other line has i segments before it. If it is the first one without an edit, at most i edits lie before
-    it and at most edits - i behind it, which bounds how far it can have moved from either end.
+    it and at most the rest behind it, which bounds how far it can have moved from either end.
     """
     found = []
-    for shorter in range(edits + 1):
-        for i, (at, end) in enumerate(segments(size - shorter, edits + 1)):
-            low = max(0, at - i, at + shorter - (edits - i))
-            high = min(at + i, at + shorter + (edits - i), size - (end - at))
+    for shorter in range(min(edits, size - shortest) + 1):
+        reach = allowed(size - shorter, edits, least, shortest)
+        if shorter > reach:
+            continue
+        for i, (at, end) in enumerate(segments(size - shorter, reach + 1)):
+            low = max(0, at - i, at + shorter - (reach - i))
+            high = min(at + i, at + shorter + (reach - i), size - (end - at))
             found += [(size - shorter, i, s, s + end - at) for s in range(low, high + 1)]
     return found
 
@@ -111,23 +122,23 @@ def occurrences(documents: DataFrame, least: int = LEAST, short: bool = False) -
     return held.mapInArrow(run, f"doc_id {kind}, line_no int, n_bytes int, h1 long, h2 long")
 
 
-def keys(documents: DataFrame, edits: int, least: int, probes: bool = True) -> DataFrame:
-    """(key, h1, indexed, longer): a row for every key a line is indexed under or, with ``probes``, looks up; ``longer`` is set where
-    it looks for shorter lines.
+def keys(documents: DataFrame, edits: int, least: int, shortest: int, probes: bool = True) -> DataFrame:
+    """(key, h1, indexed, reach): a row for every key a line is indexed under or, with ``probes``, looks up; ``reach`` is the number of
+    edits allowed there, negative where it looks for shorter lines.
     """
-    schema = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("indexed", pa.bool_()), ("longer", pa.bool_())])
+    schema = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("indexed", pa.bool_()), ("reach", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         digest = xxhash.xxh3_64_intdigest
         done: set[int] = set()
-        plans: dict[int, list[tuple[int, int, int, bool]]] = {}
+        plans: dict[int, list[tuple[int, int, int, bool, int]]] = {}
         for _, texts in in_batches(batches, 1_000_000):
-            found = _long_lines(texts, least)
+            found = _long_lines(texts, shortest)
             if not found:
                 continue
-            made, owners, flags, longer = [], [], [], []
+            made, owners, flags, reach = [], [], [], []
             for line, h in zip(found, identify(found)[0].tolist(), strict=True):
                 if h in done:
                     continue
@@ -137,46 +148,49 @@ def keys(documents: DataFrame, edits: int, least: int, probes: bool = True) -> D
                 size = len(line)
                 plan = plans.get(size)
                 if plan is None:
-                    own = {(size, i, s, e) for i, (s, e) in enumerate(segments(size, edits + 1))}
-                    places = probe_places(size, edits) if probes else []
-                    plan = [(s, e, other * 64 + i, (other, i, s, e) in own) for other, i, s, e in dict.fromkeys([*sorted(own), *places])]
+                    own = {(size, i, s, e) for i, (s, e) in enumerate(segments(size, allowed(size, edits, least, shortest) + 1))}
+                    places = probe_places(size, edits, least, shortest) if probes else []
+                    plan = []
+                    for other, i, s, e in dict.fromkeys([*sorted(own), *places]):
+                        bound = allowed(other, edits, least, shortest)
+                        plan.append((s, e, other * 64 + i, (other, i, s, e) in own, -bound if other < size else bound))
                     if len(plans) > 20_000:
                         plans.clear()
                     plans[size] = plan
-                made += [digest(line[s:e], seed) for s, e, seed, _ in plan]
-                flags += [flag for *_, flag in plan]
-                longer += [seed // 64 < size for _, _, seed, _ in plan]
+                made += [digest(line[s:e], seed) for s, e, seed, _, _ in plan]
+                flags += [flag for *_, flag, _ in plan]
+                reach += [bound for *_, bound in plan]
                 owners += [h] * len(plan)
             if made:
-                arrays = [np.array(made, np.uint64).view(np.int64), np.array(owners, np.int64), np.array(flags, bool), np.array(longer, bool)]
+                arrays = [np.array(made, np.uint64).view(np.int64), np.array(owners, np.int64), np.array(flags, bool), np.array(reach, np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], schema=schema)
 
-    return key_and_text(documents).mapInArrow(run, "key long, h1 long, indexed boolean, longer boolean")
+    return key_and_text(documents).mapInArrow(run, "key long, h1 long, indexed boolean, reach int")
 
 
-def candidates(documents: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(a, b): names (first halves) of lines that share a key and whose signatures allow ``edits`` edits.
+def candidates(documents: DataFrame, edits: int = EDITS, least: int = LEAST, shortest: int = LEAST) -> DataFrame:
+    """(a, b): names (first halves) of lines that share a key and whose signatures allow the edits of the pair.
 
     The signatures are compared inside the join, which Spark splits when a key is skewed. A key with more than ``HOT``
     indexed rows is replaced by finer ones: two signatures within 2 * edits bits agree in one of 2 * edits + 1 blocks, so
     each row of such a key meets others under its blocks and no link is lost.
     """
-    made = keys(documents, edits, least)
+    made = keys(documents, edits, least, shortest)
     blocks = 2 * edits + 1
     heavy = materialise(
-        keys(documents, edits, least, probes=False).groupBy("key").count().filter(F.col("count") > HOT).select(F.col("key").alias("heavy")), "line-hot-keys"
+        keys(documents, edits, least, shortest, probes=False).groupBy("key").count().filter(F.col("count") > HOT).select(F.col("key").alias("heavy")), "line-hot-keys"
     )
     if not heavy.isEmpty():
         marked = made.join(heavy, made["key"] == heavy["heavy"], "left")
         finer = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.xxhash64("key", i, _block("h1", i, blocks)))
         split = F.when(F.col("heavy").isNull(), F.array("key")).otherwise(finer)
-        made = marked.select(F.explode(split).alias("key"), "h1", "indexed", "longer")
+        made = marked.select(F.explode(split).alias("key"), "h1", "indexed", "reach")
     index = made.filter("indexed").select("key", F.col("h1").alias("a"))
-    probes = made.select(F.col("key").alias("probed"), F.col("h1").alias("b"), "longer")
+    probes = made.select(F.col("key").alias("probed"), F.col("h1").alias("b"), "reach")
     differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(F.lit(0xFFFFFFFF)))
     # Of two lines of one length either finds the other, so only the one with the greater name looks.
-    once = (F.col("a") < F.col("b")) | (F.col("longer") & (F.col("a") != F.col("b")))
-    met = index.join(probes, (F.col("key") == F.col("probed")) & once & (differ <= 2 * edits))
+    once = (F.col("a") < F.col("b")) | ((F.col("reach") < 0) & (F.col("a") != F.col("b")))
+    met = index.join(probes, (F.col("key") == F.col("probed")) & once & (differ <= 2 * F.abs("reach")))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -233,6 +247,16 @@ def within(left: list[bytes], right: list[bytes], edits: int) -> np.ndarray:
     return result
 
 
+def _linked(left: list[bytes], right: list[bytes], edits: int, least: int, shortest: int) -> np.ndarray:
+    """Whether each pair is within the edits that its shorter line allows."""
+    good = within(left, right, edits)
+    bounds = np.array([allowed(min(len(x), len(y)), edits, least, shortest) for x, y in zip(left, right, strict=True)])
+    for bound in np.unique(bounds[good & (bounds < edits)]):
+        some = np.flatnonzero(good & (bounds == bound))
+        good[some] = within([left[i] for i in some], [right[i] for i in some], int(bound))
+    return good
+
+
 def _padded(lines: list[bytes], before: int, width: int, fill: int) -> np.ndarray:
     """Bytes of the lines as columns, with ``fill`` around them."""
     table = np.full((len(lines), max(width, before + max(map(len, lines)))), fill, np.uint8)
@@ -259,9 +283,9 @@ def may_hold(bits: np.ndarray, h1: np.ndarray) -> np.ndarray:
     return (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def links(documents: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(a1, a2, b1, b2): every unordered pair of different lines within ``edits``, by their 128-bit names."""
-    pairs = materialise(candidates(documents, edits, least), "line-candidates")
+def links(documents: DataFrame, edits: int = EDITS, least: int = LEAST, shortest: int = LEAST) -> DataFrame:
+    """(a1, a2, b1, b2): every unordered pair of different lines within the edits allowed to it, by their 128-bit names."""
+    pairs = materialise(candidates(documents, edits, least, shortest), "line-candidates")
     needed = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
     needed = materialise(needed, "line-needed")
     bits = name_filter(needed)
@@ -269,7 +293,7 @@ def links(documents: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataF
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in in_batches(batches):
-            found = list(dict.fromkeys(_long_lines(texts, least)))
+            found = list(dict.fromkeys(_long_lines(texts, shortest)))
             if not found:
                 continue
             h1, h2 = identify(found)
@@ -293,7 +317,7 @@ def links(documents: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataF
                 size += int(widths[end - 1])
                 if size >= PAIR_BYTES or end == batch.num_rows:
                     part = batch.slice(begin, end - begin)
-                    good = within(part.column(4).to_pylist(), part.column(5).to_pylist(), edits)
+                    good = _linked(part.column(4).to_pylist(), part.column(5).to_pylist(), edits, least, shortest)
                     yield pa.RecordBatch.from_arrays([part.column(i).filter(pa.array(good)) for i in range(4)], schema=out)
                     begin, size = end, 0
 
@@ -312,19 +336,20 @@ def _linked_classes(linked: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
-def line_classes(documents: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def line_classes(documents: DataFrame, edits: int = EDITS, least: int = LEAST, short: bool = True) -> DataFrame:
     """Per line: doc_id, line_no, n_bytes, first_doc_id, first_line_no (where its class, the equal lines, is first met),
-    n_links (other classes within ``edits``) and kept.
+    n_links (other classes within the edits allowed) and kept.
 
     A line goes if an earlier line, by document id and line number, is equal to it or linked with its class by one whose
-    class begins earlier; short lines stay. A document without text has one empty line. A null id comes before others.
-    Rows that repeat an id are lines of the same places, of which each row's copy is first.
+    class begins earlier. Lines under ``least`` bytes without a word stay, without ``short`` all lines under it. A document without
+    text has one empty line. A null id comes before others. Rows that repeat an id are lines of the same places, of which each
+    row's copy is first.
     """
-    found = materialise(occurrences(documents, least), "line-occurrences")
+    found = materialise(occurrences(documents, least, short), "line-occurrences")
     place = F.struct(F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"))
     classes = found.filter("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     classes = materialise(classes, "line-classes")
-    linked = materialise(links(documents, edits, least), "line-links")
+    linked = materialise(links(documents, edits, least, min(least, SHORTEST) if short else least), "line-links")
     per_class = _linked_classes(linked, classes)
     # Lines that occur once and are linked with nothing need no look-up.
     known = classes.join(per_class, ["h1", "h2"], "left").filter("n > 1 OR n_links IS NOT NULL")

@@ -21,8 +21,8 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM first
 """
 
-# Every line of at least 20 bytes against every other of like length.
-ORACLE["op5_line_join"] = """
+# Every line with a word, or of at least 20 bytes, against every other of like length; the shorter of two sets the edits.
+ORACLE["op5_line_join"] = r"""
 WITH split AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS own FROM documents
 ), lines AS (
@@ -30,11 +30,12 @@ WITH split AS (
 ), sized AS (
   SELECT *, strlen(line) AS n_bytes FROM lines
 ), classes AS (
-  SELECT line, n_bytes, min({'d': doc_id, 'l': line_no}) AS first FROM sized WHERE n_bytes >= 20 GROUP BY line, n_bytes
+  SELECT line, n_bytes, min({'d': doc_id, 'l': line_no}) AS first FROM sized
+  WHERE n_bytes >= 20 OR regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line, n_bytes
 ), pairs AS (
   SELECT a.line AS line, b.first AS other FROM classes a
-  JOIN (SELECT *, unnest(range(n_bytes - 2, n_bytes + 3)) AS near FROM classes) b ON a.n_bytes = b.near
-  WHERE a.line <> b.line AND levenshtein(a.line, b.line) <= 2
+  JOIN (SELECT *, unnest(range(n_bytes - 2, n_bytes + 3)) AS near FROM classes WHERE n_bytes >= 10) b ON a.n_bytes = b.near
+  WHERE a.n_bytes >= 10 AND a.line <> b.line AND levenshtein(a.line, b.line) <= CASE WHEN least(a.n_bytes, b.n_bytes) >= 20 THEN 2 ELSE 1 END
 ), links AS (
   SELECT line, count(*) AS n_links, min(other) AS earliest FROM pairs GROUP BY line
 )

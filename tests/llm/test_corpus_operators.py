@@ -332,27 +332,32 @@ def test_banded_distance_equals_the_table():
         assert line_join.within(left, right, edits).tolist() == [edit_distance(a, b) <= edits for a, b in zip(left, right, strict=True)]
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_line_classes_equal_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "short"), [(2000, False), (1, False), (2000, True), (1, True)])
+def test_line_classes_equal_brute_force(spark, monkeypatch, hot, short):
     monkeypatch.setattr(line_join, "HOT", hot)
     rng = random.Random(4)
-    seeds = [bytes(rng.choice(b"abcdefgh ") for _ in range(rng.randrange(18, 40))) for _ in range(12)]
-    pool = [changed(rng.choice(seeds), rng.randrange(0, 4), rng).decode() for _ in range(90)] + ["", "short", "é" * 15]
+    sizes = [*(9, 10, 11, 14, 19, 20, 21), *(rng.randrange(18, 40) for _ in range(9))]
+    seeds = [bytes(rng.choice(b"abcdefgh ") for _ in range(n)) for n in sizes]
+    pool = [changed(rng.choice(seeds), rng.randrange(0, 4), rng).decode() for _ in range(140)] + ["", " \t", " " * 12, " " * 11 + "x", " " * 25, "short", "é" * 15]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 6)))) for i in range(60)] + [(60, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     lines = [(d, n, line.encode()) for d, t in rows for n, line in enumerate((t or "").split("\n"))]
     first = {}
     for d, n, line in lines:
-        if len(line) >= 20:
+        if len(line) >= 20 or (short and line.strip()):
             first[line] = min(first.get(line, (d, n)), (d, n))
-    near = {a: [b for b in first if a != b and edit_distance(a, b) <= 2] for a in first}
+    reach = {a: 2 if len(a) >= 20 else 1 if len(a) >= 10 else 0 for a in first}
+    near = {a: [b for b in first if a != b and edit_distance(a, b) <= min(reach[a], reach[b])] for a in first}
     want = {}
     for d, n, line in lines:
         own = first.get(line, (d, n))
         earlier = any(first[b] < own for b in near.get(line, []))
         want[d, n] = (len(line), *own, len(near.get(line, [])), line not in first or (own == (d, n) and not earlier))
-    got = {(r["doc_id"], r["line_no"]): tuple(r)[2:] for r in line_join.line_classes(frame).collect()}
+    got = {(r["doc_id"], r["line_no"]): tuple(r)[2:] for r in line_join.line_classes(frame, short=short).collect()}
     assert got == want
+    if short:
+        assert sum(n > 0 for size, *_, n, _ in want.values() if size < 20) > 20
+        return
     kept = {r["doc_id"]: r["text"] for r in line_join.drop_repeated_lines(frame).collect()}
     for d, t in rows:
         if t is not None:
