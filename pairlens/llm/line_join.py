@@ -122,23 +122,23 @@ def occurrences(documents: DataFrame, least: int = LEAST, short: bool = False) -
     return held.mapInArrow(run, f"doc_id {kind}, line_no int, n_bytes int, h1 long, h2 long")
 
 
-def keys(documents: DataFrame, edits: int, least: int, shortest: int, probes: bool = True) -> DataFrame:
-    """(key, h1, indexed, reach): a row for every key a line is indexed under or, with ``probes``, looks up; ``reach`` is the number of
+def keys(documents: DataFrame, edits: int, least: int, shortest: int, probes: bool) -> DataFrame:
+    """(key, h1, reach): a row for every key a line is indexed under or, with ``probes``, looks up; ``reach`` is the number of
     edits allowed there, negative where it looks for shorter lines.
     """
-    schema = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("indexed", pa.bool_()), ("reach", pa.int32())])
+    schema = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("reach", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         digest = xxhash.xxh3_64_intdigest
         done: set[int] = set()
-        plans: dict[int, list[tuple[int, int, int, bool, int]]] = {}
+        plans: dict[int, list[tuple[int, int, int, int]]] = {}
         for _, texts in in_batches(batches, 1_000_000):
             found = _long_lines(texts, shortest)
             if not found:
                 continue
-            made, owners, flags, reach = [], [], [], []
+            made, owners, reach = [], [], []
             for line, h in zip(found, identify(found)[0].tolist(), strict=True):
                 if h in done:
                     continue
@@ -148,24 +148,25 @@ def keys(documents: DataFrame, edits: int, least: int, shortest: int, probes: bo
                 size = len(line)
                 plan = plans.get(size)
                 if plan is None:
-                    own = {(size, i, s, e) for i, (s, e) in enumerate(segments(size, allowed(size, edits, least, shortest) + 1))}
-                    places = probe_places(size, edits, least, shortest) if probes else []
+                    bound = allowed(size, edits, least, shortest)
+                    places = [(size, i, s, e) for i, (s, e) in enumerate(segments(size, bound + 1))]
+                    if probes:  # its own segments are among them
+                        places = probe_places(size, edits, least, shortest)
                     plan = []
-                    for other, i, s, e in dict.fromkeys([*sorted(own), *places]):
+                    for other, i, s, e in places:
                         bound = allowed(other, edits, least, shortest)
-                        plan.append((s, e, other * 64 + i, (other, i, s, e) in own, -bound if other < size else bound))
+                        plan.append((s, e, other * 64 + i, -bound if other < size else bound))
                     if len(plans) > 20_000:
                         plans.clear()
                     plans[size] = plan
-                made += [digest(line[s:e], seed) for s, e, seed, _, _ in plan]
-                flags += [flag for *_, flag, _ in plan]
+                made += [digest(line[s:e], seed) for s, e, seed, _ in plan]
                 reach += [bound for *_, bound in plan]
                 owners += [h] * len(plan)
             if made:
-                arrays = [np.array(made, np.uint64).view(np.int64), np.array(owners, np.int64), np.array(flags, bool), np.array(reach, np.int32)]
+                arrays = [np.array(made, np.uint64).view(np.int64), np.array(owners, np.int64), np.array(reach, np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], schema=schema)
 
-    return key_and_text(documents).mapInArrow(run, "key long, h1 long, indexed boolean, reach int")
+    return key_and_text(documents).mapInArrow(run, "key long, h1 long, reach int")
 
 
 def candidates(documents: DataFrame, edits: int = EDITS, least: int = LEAST, shortest: int = LEAST) -> DataFrame:
@@ -175,18 +176,21 @@ def candidates(documents: DataFrame, edits: int = EDITS, least: int = LEAST, sho
     indexed rows is replaced by finer ones: two signatures within 2 * edits bits agree in one of 2 * edits + 1 blocks, so
     each row of such a key meets others under its blocks and no link is lost.
     """
-    made = keys(documents, edits, least, shortest)
+    index = materialise(keys(documents, edits, least, shortest, probes=False).select("key", "h1"), "line-index")
+    probes = keys(documents, edits, least, shortest, probes=True)
     blocks = 2 * edits + 1
-    heavy = materialise(
-        keys(documents, edits, least, shortest, probes=False).groupBy("key").count().filter(F.col("count") > HOT).select(F.col("key").alias("heavy")), "line-hot-keys"
-    )
+    heavy = materialise(index.groupBy("key").count().filter(F.col("count") > HOT).select(F.col("key").alias("heavy")), "line-hot-keys")
     if not heavy.isEmpty():
-        marked = made.join(heavy, made["key"] == heavy["heavy"], "left")
         finer = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.xxhash64("key", i, _block("h1", i, blocks)))
         split = F.when(F.col("heavy").isNull(), F.array("key")).otherwise(finer)
-        made = marked.select(F.explode(split).alias("key"), "h1", "indexed", "reach")
-    index = made.filter("indexed").select("key", F.col("h1").alias("a"))
-    probes = made.select(F.col("key").alias("probed"), F.col("h1").alias("b"), "reach")
+
+        def divided(rows: DataFrame) -> DataFrame:
+            rest = [c for c in rows.columns if c != "key"]
+            return rows.join(heavy, rows["key"] == heavy["heavy"], "left").select(F.explode(split).alias("key"), *rest)
+
+        index, probes = divided(index), divided(probes)
+    index = index.select("key", F.col("h1").alias("a"))
+    probes = probes.select(F.col("key").alias("probed"), F.col("h1").alias("b"), "reach")
     differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(F.lit(0xFFFFFFFF)))
     # Of two lines of one length either finds the other, so only the one with the greater name looks.
     once = (F.col("a") < F.col("b")) | ((F.col("reach") < 0) & (F.col("a") != F.col("b")))
