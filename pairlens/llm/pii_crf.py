@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 from pairlens.llm.common import document_columns, keeps_columns, key_and_text, map_texts
 from pairlens.llm.pii_base import KINDS, base_spans
 
-#: Labels: other, the word that announces a secret, the secret itself.
+#: Labels: other, the word that announces a secret and the sign behind it, the secret itself.
 OTHER, CUE, SECRET = range(3)
 LABELS = 3
 
-#: The labelled table: {cue} and [secret] are marked, all else is other.
+#: The labelled table: {cue} and [secret] are marked, a sign between the two is part of the cue, all else is other. Its near misses
+#: are what looks like a secret and is announced by nothing: numbers of orders, models and parts, hashes, names of releases.
 LABELLED = """
 {password}=[hunter2b7f3e9]
 set {password} = [f3b3ed3cc8548923d6] before the first run
@@ -81,26 +82,96 @@ see http://example.org/a/b/c_12-34.html for it
 the file report_2021_final.pdf is attached
 commit messages and version v2.13.7 of the tool
 Donaudampfschifffahrtsgesellschaftskapitän and internationalization
+{password}: [wintermorning]
+{password}: [Tr0ub4dor3]
+{password}: [sunflower] was on the note
+{passwd}=[opensesame]
+{pwd}=[letmein] in the script
+{pwd} = "[Gr33nApples]"
+{secret}=[xyz]
+{secret}=[abcdef] and more
+{token} = "[qwertZUIOpas]"
+{token}="[LmNoPqRsTuVw]" is set
+{token}=[deadbeef]
+{api_key}: [98765432]
+{api_key}=[11223344] for tests
+{apikey}: [QWERTYUIOP]
+{auth_token}: [kJh7Gf5Ds3Aq1]
+{access_key}=[ABCDEFGHIJ]
+{db_password}=[swordfish]
+{client_secret}: "[Zx9Cv8Bn7Mq6]"
+{PASSWORD}: [SUMMERTIME]
+{passwort}: [geheimnis]
+{contraseña}: [mariposa9]
+log in with [ghp_16C7e42F292c6912E7710c838347Ae178B4a] until noon
+the bot uses [xoxb_2048_9f8e7d6c5b4a3f2e] today
+order Q7W8E9R0T1Y2U3I4O5P6 was sent
+the order Z9Y8X7W6V5U4T3S2R1Q0 arrived late
+your parcel 1Z12345E0205271688 is on its way
+part number BX7R2M9K4P6T1W3Q fits
+model TR5K8J2N7C4V9B1X of the series
+serial C02XL0GTJGH5 on the case
+invoice INV20230417A55 is due
+the vehicle WVWZZZ1JZXW000001 was sold
+flight LH1234 to gate B17
+the hash is d41d8cd98f00b204e9800998ecf8427e as stated
+commit 3f786850e387550fdab836ed7e6dc881de23001b fixes it
+see da39a3ee5e6b4b0d3255bfef95601890afd80709 in the log
+checksum 2cf24dba5fb0a30e26e83b2ac5b9e29e1b161e5c1fa7425e73043362938b9824
+digest 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08 of the file
+uuid 123e4567-e89b-12d3-a456-426614174000 of the record
+build 20240517T103000Z on host web042
+DNA such as ACGT12 and gene BRCA1 or protein P53
+token: the smallest unit of a text
+a password: it should be long
+secret: nobody came to the party
+auth = a word that means two things
+password = something you know
+The auth service and the secret garden are closed.
+Enterprise Enterprise Enterprise Enterprise
+Éternelle Éternelle und Gesellschaft
+Monday Wednesday Thursday and Wonderful Saturday
+JavaScript and PostgreSQL run on MacBookPro and LaTeX
+THE PASSWORD WAS CHANGED YESTERDAY EVENING
 """
 
-#: Words that announce a secret, in lower case, matched at the start of what stands before = or : or within a word.
-CUES = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "access_key", "auth")
+#: Words that announce a secret, in lower case: a part of a word, or what _ and - cut it into.
+CUES = frozenset(
+    ("password", "passwd", "passphrase", "pwd", "token", "secret", "api_key", "api-key", "apikey", "access_key", "auth")
+    + ("passwort", "kennwort", "contraseña", "motdepasse")
+)
+#: How keys of widespread services begin.
+KEY_HEADS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "github_pat_", "glpat-", "sk_live_", "sk-", "xoxb", "xoxp")
 
 _PARTS = re.compile(r"[^\s=:\"'<>(),;|!*&%#$.?]+(?:[.:][^\s=:\"'<>(),;|!*&%#$.?]+)*|[=:]")
+_JOINTS = re.compile("[_-]")
 _WORDLIKE = re.compile(r"[^\W\d_]+[.,;:!?]*")
 
 
+def is_cue(lower: str) -> bool:
+    return lower in CUES or not CUES.isdisjoint(_JOINTS.split(lower))
+
+
+def letters(part: str) -> str:
+    """Case of a part without digits, with a mark for long ones."""
+    if part[1:] == part[1:].lower():
+        kind = "Aa" if part[:1].isupper() else "a"
+    else:
+        kind = "A" if part == part.upper() else "mixed"
+    return f"{kind} long" if len(part) >= 8 else kind
+
+
 def shape(part: str) -> str:
-    """Shape of a part of a word: its cue, sign or kinds of characters, with a coarse length for those that mix them."""
-    if part in "=:":
-        return "="
+    """Shape of a part of a word: its cue or kinds of characters, with a coarse length where they are mixed or the word is long."""
     lower = part.lower()
-    if lower in CUES:
+    if is_cue(lower):
         return "cue"
     kinds = ("A" if any(c.isupper() for c in part) else "") + ("a" if any(c.islower() for c in part) else "")
     digits = sum(c.isdigit() for c in part)
     if not digits:
-        return kinds or "other"
+        return letters(part) if kinds else "other"
+    if len(part) >= 16 and part.startswith(KEY_HEADS):
+        return "key"
     if not kinds:
         return "digits"
     signs = "-" if any(not c.isalnum() for c in part) else ""
@@ -109,10 +180,19 @@ def shape(part: str) -> str:
 
 
 def parts(word: str) -> list[tuple[int, int, str]]:
-    """(start, end, shape) of a word's parts; plain words and pure signs are one part."""
-    if _WORDLIKE.fullmatch(word) and word.rstrip(".,;:!?").lower() not in CUES:
-        return [(0, len(word), "Aa" if word[:1].isupper() and not word.isupper() else "A" if word.isupper() else "a")]
-    found = [(m.start(), m.end(), shape(m.group())) for m in _PARTS.finditer(word)]
+    """(start, end, shape) of a word's parts; plain words and pure signs are one part.
+
+    The shape of = and : tells whether something stands before and behind it in the word.
+    """
+    if _WORDLIKE.fullmatch(word):
+        plain = word.rstrip(".,;:!?")
+        if not is_cue(plain.lower()):
+            return [(0, len(word), letters(plain))]
+    found = []
+    for m in _PARTS.finditer(word):
+        sign = m.group() in "=:"
+        kind = ("<" if m.start() else "") + "=" + (">" if m.end() < len(word) else "") if sign else shape(m.group())
+        found.append((m.start(), m.end(), kind))
     return found or [(0, len(word), "other")]
 
 
@@ -121,7 +201,7 @@ def labelled_rows(table: str = LABELLED) -> list[tuple[list[str], list[int]]]:
     rows = []
     for line in filter(None, table.split("\n")):
         text, marks, last = "", [], 0
-        for m in re.finditer(r"\{(\w+)\}|\[(\w+)\]", line):
+        for m in re.finditer(r"\{([\w-]+)\}|\[([\w-]+)\]", line):
             text += line[last : m.start()]
             marks.append((len(text), len(text) + len(m[1] or m[2]), CUE if m[1] else SECRET))
             text += m[1] or m[2]
@@ -133,6 +213,9 @@ def labelled_rows(table: str = LABELLED) -> list[tuple[list[str], list[int]]]:
                 a, b = word.start() + start, word.start() + end
                 shapes.append(kind)
                 labels.append(next((k for s, e, k in marks if s < b and a < e), OTHER))
+        for i in range(1, len(labels) - 1):
+            if "=" in shapes[i] and labels[i - 1] == CUE and labels[i + 1] == SECRET:
+                labels[i] = CUE
         rows.append((shapes, labels))
     return rows
 
