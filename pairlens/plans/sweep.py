@@ -191,7 +191,9 @@ def parameter_sweep(
     """
     settings, _ = split_grid(sigs, bands)
     most = max(s for s, _ in settings)
-    labelled = materialise(nb.one_per_id(nb.signatures(training_features, most)), "sweep-labelled")
+    rows = nb.with_bag(training_features, "shingles")
+    signed = materialise(nb.signatures(rows.select("bag", "shingles").distinct(), most, ["bag"]), "sweep-index-bags")
+    labelled = materialise(nb.last_of_bags(materialise(rows.drop("shingles"), "sweep-rows"), signed), "sweep-labelled")
     bags = materialise(nb.signatures(features, most, ["bag"]), "sweep-bags")
     labels = sweep_labels(labelled, bags, settings, neighbours)
     return sweep_metrics(labels, facts_by_bags(mentions), kb, stats, catalogue)
