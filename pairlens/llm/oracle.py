@@ -139,10 +139,10 @@ WITH cut AS (
 ), named AS (
   SELECT *, CASE {" ".join(f"WHEN rule = '{r.name}' THEN '{r.verdict}'" for r in url_lm.RULES)} END AS rule_verdict FROM ruled
 ), known AS (
-  SELECT DISTINCT url, rule_verdict = 'allow' AS accepted FROM named WHERE rule IS NOT NULL AND length(url) <= {url_lm.LONGEST}
+  SELECT DISTINCT url, rule_verdict = 'allow' AS accepted FROM named WHERE rule IS NOT NULL AND length(url) <= 500
 ), sample AS (
   SELECT url, accepted, right(md5(url), 1) < '{url_lm.CALIBRATE}' AS calibrates FROM known
-  QUALIFY row_number() OVER (PARTITION BY accepted ORDER BY md5(url), url) <= {url_lm.SAMPLE}
+  QUALIFY row_number() OVER (PARTITION BY accepted ORDER BY md5(url), url) <= 4000
 ), marked AS (
   SELECT url, chr(2) || url || chr(3) AS marked FROM (SELECT url FROM sample UNION SELECT url FROM named)
 ), places AS (
