@@ -41,9 +41,10 @@ VOCABULARY = 2_000_000
 #: Characters of a block.
 BLOCK_CHARS = 4_000_000
 #: Words whose states are advanced together.
-WORDS = 500_000
-#: Candidates that a task sums before it gives them out.
-SUMMED = 1_500_000
+WORDS = 250_000
+#: Candidates that a task sums before it gives them out, and rows of a batch in which it does.
+SUMMED = 400_000
+GIVEN = 100_000
 
 #: Bits of a digit, children that a state can have, and children up to which states share rows of the array.
 BITS = 6
@@ -290,18 +291,20 @@ def extended(texts: DataFrame, level: DataFrame, least: int, k: int, n_words: in
         trie, names, whole = DoubleArray(phrases), table["id"].to_numpy(), shards == 1
 
         def run(batches: Iterator[pa.RecordBatch], trie=trie, names=names, whole=whole) -> Iterator[pa.RecordBatch]:
-            def given(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-                columns = (names[keys // n_words], keys % n_words, counts) if len(keys) else (keys, keys, counts)
-                return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+            def given(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+                for i in range(0, len(keys), GIVEN):
+                    own = keys[i : i + GIVEN]
+                    columns = (names[own // n_words], own % n_words, counts[i : i + GIVEN])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
             keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
             for ids in _some(batches, kind):
                 found, n = candidates_in(trie, n_words, whole, ids)
                 keys, counts = _summed(np.append(keys, found), np.append(counts, n))
                 if len(keys) >= SUMMED:
-                    yield given(keys, counts)
+                    yield from given(keys, counts)
                     keys, counts = keys[:0], counts[:0]
-            yield given(keys, counts)
+            yield from given(keys, counts)
 
         part = texts.mapInArrow(run, "prefix long, word long, n long")
         counted = part if counted is None else counted.unionByName(part)
