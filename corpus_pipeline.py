@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlens.llm import line_join, line_rules, pack_nnls, pii_crf, shingle_copies
+from pairlens.llm import line_join, line_rules, pack_nnls, pii_crf, shingle_copies, simhash_ball
 from pairlens.session import materialise
 
 
@@ -22,8 +22,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
-    return shingle_copies.keep_one(docs)
+    """One document of each group of near duplicates: first by the ball of SimHash fingerprints, as ``op8_simhash_ball`` links them, then, of
+    what the ball cannot reach, by five-word shingles at a similarity of 0.8."""
+    return shingle_copies.keep_one(simhash_ball.keep_one(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

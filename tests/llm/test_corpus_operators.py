@@ -749,3 +749,22 @@ def test_copies_of_a_page_with_slots_equal_brute_force(spark):
                 group[max(top(i), top(j))] = min(top(i), top(j))
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     assert {r["doc_id"] for r in shingle_copies.keep_one(frame).collect()} == {top(i) for i in range(len(texts))}
+
+
+def test_url_models_see_every_ruled_url(spark):
+    urls = [f"https://a.org/{i}" for i in range(4300)] + ["https://b.com/de/" + "x" * 900, None, "no url"]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    seen = url_lm.training_urls(url_lm.ruled(frame))
+    assert {(r["url"], r["accepted"]) for r in seen.collect()} == {(u, ".org" in u) for u in urls[:4301]}
+    weights = url_lm.model(seen)
+    few, many = (url_lm.scores(frame.filter("page_id > 4290 AND url IS NOT NULL").select("url"), weights, held=h) for h in (0, 10**9))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_near_duplicates_of_the_pipeline_go_through_the_ball(spark):
+    import corpus_pipeline
+
+    base = "one two three four " * 300
+    rows = [(1, base), (2, base + "with a tail of other words"), (3, "some other text of its own"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 3, None}
