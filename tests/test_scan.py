@@ -33,7 +33,7 @@ def test_evidence_adds_up_however_often_a_task_gives_it_out():
         batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 2], pa.string())], ["text"]) for i in range(0, len(texts), 2)]
         out = Counter()
         for batch in scan.evidence_rows(2, 1, 6, None, summed)(iter(batches)):
-            for r in batch.to_pylist():
+            for r in (r for own in batch.to_pylist() for r in own["x"]):
                 n, near = r.pop("n"), r.pop("n_near")
                 out[str(r), "n"] += n
                 out[str(r), "near"] += near
