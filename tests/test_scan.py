@@ -10,6 +10,7 @@ from pairlens.functions import phrases as ph
 from pairlens.functions import scan
 from pairlens.functions import tagging as tg
 from pairlens.functions import text as tx
+from pairlens.operators import mentions as mn
 from pairlens.operators import neighbours as nb
 from pairlens.plans import classify as cl
 
@@ -67,3 +68,51 @@ def test_index_holds_one_row_of_each_bag(spark):
     want = {tuple(r) for r in nb.last_writers(nb.band_rows(every, 20, 5, ["rel_id"])).collect()}
     assert {tuple(r) for r in index.buckets.collect()} == want
     assert sorted(str(r.rel_id) for r in index.labelled.collect()) == ["100", "49", "None"]
+
+
+def test_batches_equal_the_expressions_on_odd_texts(spark):
+    """Names that repeat untagged, overlap, differ in blanks or stand at an end, against the array expressions."""
+    texts = [
+        "<ORG>Acme</ORG> and Acme Inc. bought <ORG>Acme Inc.</ORG> from <PER>Jo</ORG> <PER>Jo</PER>", "<ORG>Acme  Inc</ORG> sold <PER>Acme Inc</PER> to <ORG>Acme Inc</ORG>",
+        "<ORG> </ORG> met <PER>Jo</PER> , \"so\" <LOC>U.S.</LOC> can't <ORG>Acme</ORG>", "<ORG>A</ORG> a <ORG>B</ORG> b <ORG>A</ORG> c d <ORG>C</ORG> won <ORG>B</ORG> .",
+        "<ORG>A</ORG>", None, "", "<ORG>A</ORG> of <ORG>B</ORG>", "x</b> <ORG>B</ORG> hired <PER>B</PER> <ORG>B</ORG>",
+    ]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    text = F.col("text")
+    tokens = tx.tokenize(tx.strip_tags(text))
+    pairs = F.filter(mn.neighbour_pairs(tx.locate_entities(tx.distinct_entities(text), F.col("tokens"))), lambda p: mn.pair_is_valid(p))
+    rows = frame.filter(tx.has_two_entities(text)).select("id", "text", tokens.alias("tokens")).select("id", "tokens", F.explode(pairs).alias("p"))
+    rows = rows.select("id", mn.with_contexts(F.col("p"), F.col("tokens"), 2).alias("m")).filter(tx.is_relational(F.col("m.bet")))
+    want = sorted((r.id, r.m.e1, r.m.e1_type, r.m.e2, r.m.e2_type, r.m.bef, r.m.bet, r.m.aft, r.m.gap) for r in rows.collect())
+    names = ("e1", "e1_type", "e2", "e2_type", "bef", "bet", "aft", "gap")
+    own = scan.mention_kernel(2, 1, 6, None)(pa.array(texts, pa.string())).to_pylist()
+    assert sorted((i, *[m[c] for c in names]) for i, found in enumerate(own) for m in found) == want and len(want) == 4
+    hits = scan.near_kernel(1, 20)(pa.array(texts[3:4], pa.string())).to_pylist()[0]
+    phrases = {(h["e1"], h["e2"]): h["phrase"] for h in hits}
+    assert phrases["A", "C"] == "c d" and phrases["A", "B"] == "c d < ORG > C < /ORG > won" and phrases["B", "A"] is None
+
+
+def test_a_scan_takes_no_loop_per_sentence():
+    """A batch costs array operations for all its texts, so Python calls do not grow with them."""
+    import sys
+
+    def calls(n: int) -> int:
+        texts = pa.array([f"In <ORG>Firm {i}</ORG> bought <PER>Jo {i}</PER> in May ." for i in range(n)], pa.string())
+        batch, count = scan.Batch(texts), 0
+
+        def seen(frame, event, arg):
+            nonlocal count
+            count += event == "call"
+
+        sys.setprofile(seen)
+        try:
+            batch.near(1, 6)
+            found = batch.mentions(1, 6, None)
+            found.contexts(2)
+        finally:
+            sys.setprofile(None)
+        assert len(found.sent) == n
+        return count
+
+    few, many = calls(100), calls(1100)
+    assert many - few < 6 * 1000
