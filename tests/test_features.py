@@ -97,6 +97,18 @@ def test_signature_matches_definition(spark):
     assert signatures(spark, [words], 50)[0] == want
 
 
+def test_positions_are_worked_out_once_for_each_different_hash(monkeypatch):
+    import pyarrow as pa
+
+    rows = [[5, 9, 2**32 - 1], [], [9, 5], [7] * 3] * 50
+    sizes = pa.array([len(r) for r in rows])
+    worked, fold = [], mh._fold
+    monkeypatch.setattr(mh, "_fold", lambda x: worked.append(len(x)) or fold(x))
+    got = mh._kernel(4)(pa.array(rows, pa.list_(pa.int64())), sizes).to_pylist()
+    assert got == [[min([(a * h + b) % mh.PRIME for h in r], default=mh.PRIME) for a, b in mh.family(4)] for r in rows]
+    assert worked == [4] * 4
+
+
 def test_similarity_estimates_jaccard(spark):
     left, right = [f"s{i}" for i in range(0, 80)], [f"s{i}" for i in range(20, 100)]
     a, b = signatures(spark, [left, right], 600)
