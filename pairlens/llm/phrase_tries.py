@@ -282,20 +282,20 @@ def extended(texts: DataFrame, level: DataFrame, least: int, k: int, n_words: in
     """(id, prefix, word, f): the frequent phrases of one word more than those of ``level`` (id, words), by prefix and last word."""
     kind = number_type(n_words)
     shards = max(1, -(-level.count() // max(1, most // 2)))  # shards by hash are uneven; half of the bound leaves room
-    schema = pa.schema([("prefix", pa.int64()), ("word", pa.int64()), ("n", pa.int64())])
-    counted = None
+    sums = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("prefix", pa.int64()), ("word", pa.int64()), ("f", pa.int64())])
+    found = None
     for shard in range(shards):
         own = level.filter(F.pmod(F.xxhash64("id"), F.lit(shards)) == shard) if shards > 1 else level
         table = own.select("id", "words").toArrow()  # about STATES / 2 phrases
         phrases = table["words"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, k - 1)
         trie, names, whole = DoubleArray(phrases), table["id"].to_numpy(), shards == 1
 
-        def run(batches: Iterator[pa.RecordBatch], trie=trie, names=names, whole=whole) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], trie=trie, whole=whole) -> Iterator[pa.RecordBatch]:
             def given(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
                 for i in range(0, len(keys), GIVEN):
-                    own = keys[i : i + GIVEN]
-                    columns = (names[own // n_words], own % n_words, counts[i : i + GIVEN])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+                    columns = (keys[i : i + GIVEN], counts[i : i + GIVEN])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=sums)
 
             keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
             for ids in _some(batches, kind):
@@ -306,10 +306,17 @@ def extended(texts: DataFrame, level: DataFrame, least: int, k: int, n_words: in
                     keys, counts = keys[:0], counts[:0]
             yield from given(keys, counts)
 
-        part = texts.mapInArrow(run, "prefix long, word long, n long")
-        counted = part if counted is None else counted.unionByName(part)
-    summed = counted.groupBy("prefix", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    return materialise(summed.select(F.monotonically_increasing_id().alias("id"), "prefix", "word", "f"), f"phrase-counts-{k}")
+        def named(batches: Iterator[pa.RecordBatch], names=names) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = batch.column(0).to_numpy()
+                columns = (names[keys // n_words], keys % n_words, batch.column(1))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+
+        # A candidate is shuffled as one number; phrases of a shard are in no other, so each is summed alone.
+        counted = texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+        part = counted.mapInArrow(named, "prefix long, word long, f long")
+        found = part if found is None else found.unionByName(part)
+    return materialise(found.select(F.monotonically_increasing_id().alias("id"), "prefix", "word", "f"), f"phrase-counts-{k}")
 
 
 def levels(documents: DataFrame, least: int = LEAST, longest: int = LONGEST, states: int = STATES, vocabulary: int = VOCABULARY) -> tuple[list[DataFrame], DataFrame]:

@@ -235,3 +235,19 @@ def test_double_array_finds_its_phrases_and_no_others():
         want = [places.get(tuple(ids[i : i + depth].tolist()), -1) for i in range(len(ids))]
         assert trie.advance(ids).tolist() == want
     assert pt.DoubleArray(np.zeros((0, 2), np.int64)).advance(np.arange(5)).tolist() == [-1] * 5
+
+
+def test_candidates_are_shuffled_as_one_number(spark, monkeypatch):
+    """The sum over candidates is the largest shuffle: its rows are a number and a count."""
+    frame = spark.createDataFrame([("en", "a b c a b c a b d")] * 6, "lang string, text string")
+    plans, kept = {}, pt.materialise
+
+    def seen(rows, name):
+        plans[name] = rows._jdf.queryExecution().executedPlan().toString()
+        return kept(rows, name)
+
+    monkeypatch.setattr(pt, "materialise", seen)
+    found, _ = pt.levels(frame, 6, 3)
+    assert sorted((r.phrase, r.f) for r in found[2].collect()) == [("a b c", 12), ("a b d", 6), ("b c a", 12), ("c a b", 12)]
+    for k in (2, 3):
+        assert "hashpartitioning(key#" in plans[f"phrase-counts-{k}"] and "hashpartitioning(prefix#" not in plans[f"phrase-counts-{k}"]
