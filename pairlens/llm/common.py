@@ -37,6 +37,16 @@ def numbered(frame: DataFrame, name: str) -> DataFrame:
     return found.join(F.broadcast(places), F.col("__path") == F.col("__file")).select(*frame.columns, row)
 
 
+def only_rows(rows: DataFrame, kept: DataFrame, name: str) -> DataFrame:
+    """The numbered rows whose numbers ``kept`` has.
+
+    Whole rows are held against the numbers that go, as a rule far fewer than those that stay: they are broadcast while small, and
+    beyond that the rows are shuffled once.
+    """
+    gone = materialise(rows.select(ROW).join(kept, ROW, "left_anti"), name)
+    return rows.join(gone, ROW, "left_anti")
+
+
 def keeps_columns(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """For functions from documents to the same columns: columns that begin with ``__``, as the functions' own do, get other names
     on the way, so none clashes.

@@ -5,7 +5,7 @@ are one shingle. Documents of one set are one class, so exact copies are gone be
 keys of 4 minima each: a pair of similarity 0.8 shares none of them with a probability of 3 in 100,000, a closer pair with less.
 
 Under a key with up to ``FULL`` classes all pairs are candidates. Under a fuller one each class first meets a few centres, the same
-ones under all keys as far as they are there; classes that a centre turned out to be a copy of are in one group, and only
+ones under all keys as far as they are there; classes that the links found so far connect are in one group, and only
 classes of different groups meet under the key once more. So a large group of copies costs pairs in proportion to its size,
 and no pair under a key goes untested. Candidates are held against sketches (which of 512 ranges of hashes a set has, and a bit
 of the smallest in each) before any text moves: sizes and sketches rule out what is far below the similarity, and a pair at 0.8
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import ROW, in_batches, keeps_columns, numbered
+from pairlens.llm.common import ROW, in_batches, keeps_columns, numbered, only_rows
 from pairlens.llm.components import connected_components
 from pairlens.session import materialise
 
@@ -169,15 +169,12 @@ def candidates(met: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def left_candidates(met: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs under full keys that no common centre has linked yet, as far as sketches allow.
+    """(a, b), a < b: pairs under full keys that the links found so far do not connect yet, as far as sketches allow.
 
     Sketches and groups are compared within the join, which Spark splits when a key is skewed, so only what passes is a row.
     """
     full = met.filter(F.col("n") > FULL)
-    ends = linked.select(F.col("a").alias("node"), F.col("b").alias("group")).unionByName(linked.select(F.col("b").alias("node"), F.col("a").alias("group")))
-    centres = full.select(F.explode("centres").alias("c")).select(F.col("c.node").alias("group")).distinct()
-    # A centre leads the group of all it is linked with, itself too, unless a smaller centre does.
-    groups = ends.join(centres, "group", "left_semi").unionByName(centres.select(F.col("group").alias("node"), "group")).groupBy("node").agg(F.min("group").alias("group"))
+    groups = connected_components(linked, "copies-groups").withColumnRenamed("component", "group")
     rows = full.select("key", "node").join(classes.select("node", "own"), "node").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
     rows = materialise(rows, "copies-full")
     # A full key is dealt out over blocks, in as many partitions as the session has: its pairs are work that few bytes stand for.
@@ -233,19 +230,31 @@ def verified(pairs: DataFrame, rows: DataFrame, similar: float = SIMILAR) -> Dat
     return both.mapInArrow(run, "a long, b long")
 
 
-@keeps_columns
-def keep_one(documents: DataFrame) -> DataFrame:
-    """The documents without near duplicates: of each group the row of the smallest id stays, with all its columns.
+def survivors(rows: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """The row number of the document that stays of each group, of numbered documents; with ``among`` only the rows it numbers are looked at.
 
-    Every row is a document of its own, whether its id is repeated or null; rows without an id come after the others. Documents
-    without words, null text among them, are copies of each other.
+    Rows are left out by their sketches, which are a small part of the texts, so the texts themselves are not moved for it.
     """
-    rows = numbered(documents, "copies-rows")
-    found = materialise(sketches(rows), "copies-sketches")
+    found = sketches(rows)
+    if among is not None:
+        found = found.join(among.select(F.col(ROW).alias("own_row")), F.col(f"name.{ROW}") == F.col("own_row"), "left_semi")
+    found = materialise(found, "copies-sketches")
     classes = found.groupBy("n1", "n2").agg(F.min("name").alias("name"), F.first("bands").alias("bands"), F.first("own").alias("own"))
     classes = materialise(classes.select(F.col(f"name.{ROW}").alias("node"), "name", "bands", "own"), "copies-classes")
     linked = materialise(links(classes, rows), "copies-all-links")
     groups = connected_components(linked, "copies-components").withColumnRenamed("node", "member")
     named = classes.join(groups, F.col("node") == F.col("member"), "left").groupBy(F.coalesce("component", "node")).agg(F.min("name").alias("name"))
-    kept = materialise(named.select(F.col(f"name.{ROW}").alias(ROW)), "copies-kept")
-    return rows.join(kept, ROW, "left_semi").select(*documents.columns)
+    return materialise(named.select(F.col(f"name.{ROW}").alias(ROW)), "copies-kept")
+
+
+@keeps_columns
+def keep_one(documents: DataFrame, before: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The documents without near duplicates: of each group the row of the smallest id stays, with all its columns.
+
+    Every row is a document of its own, whether its id is repeated or null; rows without an id come after the others. Documents
+    without words, null text among them, are copies of each other. ``before`` gives, of numbered documents, the numbers of those that
+    an earlier pass lets stay; the result is that of this pass over the other's, but documents are read through once for both.
+    """
+    rows = numbered(documents, "copies-rows")
+    kept = survivors(rows, None if before is None else before(rows))
+    return only_rows(rows, kept, "copies-gone").select(*documents.columns)

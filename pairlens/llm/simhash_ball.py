@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import ROW, keeps_columns, key_and_text, map_texts, numbered
+from pairlens.llm.common import ROW, keeps_columns, key_and_text, map_texts, numbered, only_rows
 from pairlens.llm.components import connected_components
 from pairlens.session import materialise
 
@@ -105,6 +105,14 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def survivors(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The row number of the document that stays of each component, of numbered documents."""
+    found = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), radius).select(F.col("doc_id").alias(ROW), "component_id")
+    named = rows.select(ROW, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW).alias("name"))
+    kept = found.join(named, ROW).groupBy("component_id").agg(F.min("name").alias("name")).select(F.col(f"name.{ROW}").alias(ROW))
+    return materialise(kept, "simhash-kept")
+
+
 @keeps_columns
 def keep_one(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The documents without near duplicates: of each component, the document of the smallest id stays, with all its columns.
@@ -112,7 +120,4 @@ def keep_one(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     Every row is a document of its own, whether its id is repeated or null; rows without an id come after the others.
     """
     rows = numbered(documents, "simhash-rows")
-    found = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), radius).select(F.col("doc_id").alias(ROW), "component_id")
-    named = rows.select(ROW, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW).alias("name"))
-    kept = found.join(named, ROW).groupBy("component_id").agg(F.min("name").alias("name")).select(F.col(f"name.{ROW}").alias(ROW))
-    return rows.join(materialise(kept, "simhash-kept"), ROW, "left_semi").select(*documents.columns)
+    return only_rows(rows, survivors(rows, radius), "simhash-gone").select(*documents.columns)

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -768,3 +769,23 @@ def test_near_duplicates_of_the_pipeline_go_through_the_ball(spark):
     rows = [(1, base), (2, base + "with a tail of other words"), (3, "some other text of its own"), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 3, None}
+
+
+def test_near_duplicates_move_texts_once(spark, tmp_path):
+    """Both passes leave rows out by numbers, so no table of whole texts is stored between them, and the rows are those of one pass after the other."""
+    import corpus_pipeline
+    from pairlens.session import shared_folder
+
+    rng = np.random.default_rng(11)
+    words = [" ".join(rng.choice(list("abcdefgh"), 3)) + str(i) for i in range(400)]
+    texts = [" ".join(words[i * 20 : i * 20 + 20] * 3) for i in range(12)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (20, texts[1] + " x"), (21, texts[2]), (2, texts[2]), (22, None), (23, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    folder = shared_folder(spark).removeprefix("file://") + "/pairlens"
+    want = sorted((r["doc_id"], r["text"] or "") for r in shingle_copies.keep_one(simhash_ball.keep_one(docs)).collect())
+    before = set(os.listdir(folder))
+    got = sorted((r["doc_id"], r["text"] or "") for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == want and len(got) == 13
+    stored = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert "copies-kept" in stored and not stored & {"copies-rows", "simhash-rows"}
