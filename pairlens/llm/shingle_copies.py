@@ -7,7 +7,7 @@ keys of 4 minima each: a pair of similarity 0.8 shares none of them with a proba
 Under a key with up to ``FULL`` classes all pairs are candidates. Under a fuller one each class first meets a few centres, the same
 ones under all keys as far as they are there; classes that the links found so far connect are in one group, and only
 classes of different groups meet under the key once more. So a large group of copies costs pairs in proportion to its size,
-and no pair under a key goes untested. Candidates are held against sketches (which of 512 ranges of hashes a set has, and a bit
+and no pair under a key goes untested. Candidates are held against sketches (which of 512 ranges of hashes a set has, and two bits
 of the smallest in each) before any text moves: sizes and sketches rule out what is far below the similarity, and a pair at 0.8
 with a chance below 1 in 100,000. The rest is decided by the sets of shingles themselves; documents connected by verified links
 are one group.
@@ -78,18 +78,19 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def marks(hashes: np.ndarray) -> bytes:
-    """A sketch of sorted hashes: the ranges that hold any, and a low bit of the smallest one in each, as bits."""
-    there, low = np.zeros(64 * RANGES, bool), np.zeros(64 * RANGES, bool)
+    """A sketch of sorted hashes: the ranges that hold any, and the two low bits of the smallest one in each, as bits."""
+    there, low, next_low = (np.zeros(64 * RANGES, bool) for _ in range(3))
     ranges = (hashes >> np.uint64(64 - (64 * RANGES - 1).bit_length())).astype(np.int64)
     first = np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1])[: len(ranges)])
     there[ranges[first]] = True
     low[ranges[first]] = (hashes[first] & np.uint64(1)).astype(bool)
-    return np.packbits(np.concatenate([there, low])).tobytes()
+    next_low[ranges[first]] = (hashes[first] & np.uint64(2)).astype(bool)
+    return np.packbits(np.concatenate([there, low, next_low])).tobytes()
 
 
 def flat(side: str) -> list[Column]:
     """The columns of a sketch, named by its side."""
-    names = ["size", "filled", *[f"{kind}{i}" for kind in "mx" for i in range(RANGES)]]
+    names = ["size", "filled", *[f"{kind}{i}" for kind in "mxy" for i in range(RANGES)]]
     return [F.col(f"own.{c}").alias(f"{side}_{c}") for c in names]
 
 
@@ -97,8 +98,9 @@ def may_be_similar(left: str, right: str, similar: float = SIMILAR) -> Column:
     """Whether two sketches, as ``flat`` has them, leave the similarity possible.
 
     Of u ranges that either set has, those with the same smallest hash are about similar * u; of the c ranges that both have, the
-    others agree in their bit by chance. So c - 2 d estimates them, d being the ranges whose bits differ, and u is the sum of
-    what each has, less c.
+    others agree in both their bits by chance, one in four. So c - 4/3 d estimates them, d being the ranges whose bits differ, and u is the
+    sum of what each has, less c. A range of different hashes adds a third to the variance of it.
+    The smallest hashes are drawn from all of both sets without putting back, so where sets are small against the ranges, few are left to chance.
     """
     def column(side: str, name: str) -> Column:
         return F.col(f"{side}_{name}")
@@ -108,12 +110,14 @@ def may_be_similar(left: str, right: str, similar: float = SIMILAR) -> Column:
 
     shared = [column(left, f"m{i}").bitwiseAND(column(right, f"m{i}")) for i in range(RANGES)]
     both = total(lambda i: shared[i])
-    differ = total(lambda i: column(left, f"x{i}").bitwiseXOR(column(right, f"x{i}")).bitwiseAND(shared[i]))
+    apart = [[column(left, f"{kind}{i}").bitwiseXOR(column(right, f"{kind}{i}")) for i in range(RANGES)] for kind in "xy"]
+    differ = total(lambda i: apart[0][i].bitwiseOR(apart[1][i]).bitwiseAND(shared[i]))
     filled = column(left, "filled") + column(right, "filled")
     # Bounded by what each has, so that ``both`` stands in the condition once: longer code would not be compiled to machine code.
-    variance = similar * (1 - similar) / (1 + similar) * filled + F.greatest(F.least(column(left, "filled"), column(right, "filled")) - similar / 2 * filled, F.lit(0.0))
+    undrawn = 1 - filled / (column(left, "size") + column(right, "size"))
+    variance = similar * (1 - similar) / (1 + similar) * filled * undrawn + F.greatest(F.least(column(left, "filled"), column(right, "filled")) - similar / 2 * filled, F.lit(0.0)) / 3
     size = F.least(column(left, "size"), column(right, "size")) + 1e-9 >= similar * F.greatest(column(left, "size"), column(right, "size"))
-    return size & ((1 + similar) * both - 2 * differ >= similar * filled - DEVIATIONS * F.sqrt(variance) - 1)
+    return size & ((1 + similar) * both - 4 / 3 * differ >= similar * filled - DEVIATIONS * F.sqrt(variance) - 1)
 
 
 def sketches(rows: DataFrame) -> DataFrame:
@@ -122,7 +126,7 @@ def sketches(rows: DataFrame) -> DataFrame:
     filled, and the words of ``marks``.
     """
     named = pa.struct([("no_id", pa.bool_()), ("doc_id", pa.int64()), (ROW, pa.int64())])
-    words = [f"{kind}{i}" for kind in "mx" for i in range(RANGES)]
+    words = [f"{kind}{i}" for kind in "mxy" for i in range(RANGES)]
     own = pa.struct([(c, pa.int64()) for c in ("size", "filled", *words)])
     schema = pa.schema([("name", named), ("n1", pa.int64()), ("n2", pa.int64()), ("bands", pa.list_(pa.int64())), ("own", own)])
 
@@ -133,7 +137,7 @@ def sketches(rows: DataFrame) -> DataFrame:
             sets = [shingles(t) for t in texts]
             names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
             bands = [band_keys(s) if len(s) else [] for s in sets]
-            made = np.frombuffer(b"".join(map(marks, sets)), np.int64).reshape(-1, 2 * RANGES)
+            made = np.frombuffer(b"".join(map(marks, sets)), np.int64).reshape(-1, 3 * RANGES)
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             filled = np.bitwise_count(made[:, :RANGES].view(np.uint64)).sum(axis=1).astype(np.int64)
             held = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (sizes, filled, *made.T)], fields=list(own))

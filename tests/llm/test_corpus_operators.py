@@ -789,3 +789,20 @@ def test_near_duplicates_move_texts_once(spark, tmp_path):
     assert got == want and len(got) == 13
     stored = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
     assert "copies-kept" in stored and not stored & {"copies-rows", "simhash-rows"}
+
+
+def test_sketches_tell_short_texts_apart(spark):
+    """No pair at the similarity is ruled out, and of pairs well below it few are left, also where a set is small against the ranges."""
+    rng = random.Random(5)
+
+    def pair(shared, n=100):
+        words = [f"w{rng.random()}" for _ in range(n + 4)]
+        return " ".join(words), " ".join(words[: shared + 4] + [f"v{rng.random()}" for _ in range(n - shared)])
+
+    pairs = [pair(shared) for shared in [89] * 150 + [77] * 150]
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(t for p in pairs for t in p)], f"doc_id long, {common.ROW} long, text string")
+    found = shingle_copies.sketches(rows).select(F.col("name.doc_id").alias("id"), "own")
+    left, right = (found.filter(F.col("id") % 2 == k).select((F.col("id") / 2).cast("int").alias("p"), *shingle_copies.flat(side)) for k, side in enumerate(("left", "right")))
+    kept = [r["p"] for r in left.join(right, "p").filter(shingle_copies.may_be_similar("left", "right")).select("p").collect()]
+    assert sorted(p for p in kept if p < 150) == list(range(150))
+    assert len(kept) - 150 <= 30
