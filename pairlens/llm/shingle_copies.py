@@ -180,15 +180,18 @@ def left_candidates(met: DataFrame, classes: DataFrame, linked: DataFrame) -> Da
     full = met.filter(F.col("n") > FULL)
     groups = connected_components(linked, "copies-groups").withColumnRenamed("component", "group")
     rows = full.select("key", "node").join(classes.select("node", "own"), "node").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    rows = rows.join(full.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys")), "node")
     rows = materialise(rows, "copies-full")
     # A full key is dealt out over blocks, in as many partitions as the session has: its pairs are work that few bytes stand for.
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = F.pmod(F.xxhash64("node"), F.lit(BLOCKS)).cast("int")
-    left = rows.select("key", block.alias("block"), F.col("node").alias("a"), *flat("left"), F.col("group").alias("one"))
+    left = rows.select("key", block.alias("block"), F.col("node").alias("a"), *flat("left"), F.col("group").alias("one"), F.col("keys").alias("left_keys"))
     every = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
-    right = rows.select(F.col("key").alias("met"), every.alias("part"), F.col("node").alias("b"), *flat("right"), F.col("group").alias("two"))
+    right = rows.select(F.col("key").alias("met"), every.alias("part"), F.col("node").alias("b"), *flat("right"), F.col("group").alias("two"), F.col("keys").alias("right_keys"))
     apart = (F.col("key") == F.col("met")) & (F.col("block") == F.col("part")) & (F.col("a") < F.col("b")) & (F.col("one") != F.col("two"))
-    met_again = left.repartition(n, "key", "block").join(right.repartition(n, "met", "part"), apart & may_be_similar("left", "right"))
+    # Of the keys that two classes share, they are a pair under the first.
+    once = F.get(F.array_intersect("left_keys", "right_keys"), F.lit(0)) == F.col("key")
+    met_again = left.repartition(n, "key", "block").join(right.repartition(n, "met", "part"), apart & may_be_similar("left", "right") & once)
     return met_again.select("a", "b").distinct()
 
 
