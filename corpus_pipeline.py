@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pairlens.llm import line_join, line_rules, pack_nnls, pii_crf, shingle_copies, simhash_ball
-from pairlens.session import materialise
+from pairlens.session import bounded_batches, materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,23 +18,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that an earlier line of the corpus equals or nearly equals."""
+    bounded_batches(spark)
     return line_join.drop_repeated_lines(docs, short=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: first by the ball of SimHash fingerprints, as ``op8_simhash_ball`` links them, then, of
     what the ball cannot reach, by five-word shingles at a similarity of 0.8. Texts are moved once for both, when the rest is left out."""
+    bounded_batches(spark)
     return shingle_copies.keep_one(docs, simhash_ball.survivors)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data and credentials replaced by their kind."""
+    bounded_batches(spark)
     return pii_crf.mask(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
-    return pack_nnls.pack(docs)
+    bounded_batches(spark)
+    return pack_nnls.pack(docs, keep=False)
 
 
 STAGES = [

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm.common import ROW, in_batches, keeps_columns, key_and_text, numbered
-from pairlens.session import materialise
+from pairlens.session import bounded_batches, materialise
 
 EDITS = 2
 LEAST = 20
@@ -349,6 +349,7 @@ def line_classes(documents: DataFrame, edits: int = EDITS, least: int = LEAST, s
     text has one empty line. A null id comes before others. Rows that repeat an id are lines of the same places, of which each
     row's copy is first.
     """
+    bounded_batches(documents.sparkSession)
     found = materialise(occurrences(documents, least, short), "line-occurrences")
     place = F.struct(F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"))
     classes = found.filter("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))

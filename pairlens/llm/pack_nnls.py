@@ -93,8 +93,12 @@ def cuts(total: int, window: int) -> list[tuple[int, int]]:
     return [(s, window) for s in range(0, whole, window)] + [(whole + s, n) for s, n in ((0, half), (half, rest - half)) if n]
 
 
-def pieces(documents: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): a document's ids with the end id, cut by ``cuts``."""
+def pieces(documents: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER, end: int = END, keep: bool = True) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens): a document's ids with the end id, cut by ``cuts``.
+
+    With ``keep`` a Python worker remembers units from task to task, which takes fewer calls; without, it holds none of them once a
+    task is over, as workers outlive the stage and their memory is then others'.
+    """
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
     last = np.array([end], "<u4").tobytes()
 
@@ -109,6 +113,8 @@ def pieces(documents: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZE
                     for column, value in zip(made, (key, start, length, zlib.crc32(part), total), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in made], schema=schema)
+        if not keep:
+            library_ids(tokenizer).known.clear()
 
     return key_and_text(documents).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
@@ -218,13 +224,14 @@ def place(own: Plan, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray,
     return own.sequence[at] + over // own.times[at], own.offset[at] + over % own.times[at] * length
 
 
-def pack(documents: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER, salts: int = SALTS) -> DataFrame:
+def pack(documents: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER, salts: int = SALTS, keep: bool = True) -> DataFrame:
     """The pieces with sequence_id and offset: gapless from 0 in each sequence, no sequence longer than the window.
 
     Null text is empty and gives the end id alone; repeated rows give pieces of their own; an empty table gives no rows.
     Pieces that agree in all columns are interchangeable, so nothing depends on their order.
+    ``keep`` is as for ``pieces``.
     """
-    found = materialise(pieces(documents, window, tokenizer), "pack-pieces")
+    found = materialise(pieces(documents, window, tokenizer, keep=keep), "pack-pieces")
     salts = max(salts, -(-found.count() // PIECES))
     salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).alias("salt")
     groups = materialise(found.groupBy("length", salt).agg(F.count(F.lit(1)).alias("n")), "pack-histogram")

@@ -806,3 +806,46 @@ def test_sketches_tell_short_texts_apart(spark):
     kept = [r["p"] for r in left.join(right, "p").filter(shingle_copies.may_be_similar("left", "right")).select("p").collect()]
     assert sorted(p for p in kept if p < 150) == list(range(150))
     assert len(kept) - 150 <= 30
+
+
+@pytest.mark.parametrize("name", ["lines", "near_duplicates", "personal_data", "packing"])
+def test_pipeline_stages_hand_python_texts_in_batches_of_bounded_size(spark, name):
+    import corpus_pipeline
+
+    keys = {"spark.sql.execution.arrow.maxBytesPerBatch": "256m", "spark.sql.execution.arrow.maxRecordsPerBatch": "10000"}
+    before = {key: spark.conf.get(key) for key in keys}
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("line "), F.col("id"), F.repeat(F.lit("x"), 50_000)).alias("text")).coalesce(1)
+    small = spark.createDataFrame([(1, "One line.\nAnother line.")], "doc_id long, text string")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64()), pa.array([batch.num_rows], pa.int64())], ["n", "rows"])
+
+    try:
+        for key, value in keys.items():
+            spark.conf.set(key, value)
+        getattr(corpus_pipeline, name)(spark, small, "")
+        found = docs.mapInArrow(sizes, "n long, rows long").collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sum(r["rows"] for r in found) == 200
+    assert max(r["n"] for r in found) < 4_000_000
+
+
+def test_packing_of_the_pipeline_holds_no_units_after_a_task(monkeypatch):
+    import pyarrow as pa
+
+    class Frame:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    monkeypatch.setattr(pack_nnls, "key_and_text", lambda documents: documents)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array(["one two three", "four five"])], ["doc_id", "text"])
+    known = pack_nnls.library_ids(pack_nnls.TOKENIZER).known
+    kept = [b.to_pydict() for b in pack_nnls.pieces(Frame())(iter([batch]))]
+    assert known
+    assert [b.to_pydict() for b in pack_nnls.pieces(Frame(), keep=False)(iter([batch]))] == kept
+    assert not known
