@@ -1,11 +1,14 @@
 """Keys, null bags, repeated ids and unknown relations: nothing is lost or mixed up."""
 from __future__ import annotations
 
+import random
+
 from pairlens.operators import neighbours as nb
 from pairlens.plans import classify as cl
 from pairlens.plans import evaluate as ev
 from pairlens.operators import support as sp
 from pairlens.sources import catalogue as cat
+from pairlens.sources import training as tr
 
 
 def test_borders_between_arrays_are_part_of_the_key(spark):
@@ -49,3 +52,41 @@ def test_facts_of_unknown_relations_are_not_lost(spark):
     counts = spark.createDataFrame([], "e1 string, e1_type string, e2 string, e2_type string, phrase string, hits long")
     got = sp.exact_phrase_verdicts(triples, counts.select(*sp.PAIR, "phrase", "hits"), relations).collect()
     assert {r["rel_type"]: r["supported"] for r in got} == {"founder": False, "unheard": False}
+
+
+def test_a_training_line_is_made_and_cut_once(spark):
+    """Tests on fields and types stay above what makes them: neither the line nor its parts are worked out again for each."""
+    made = "concat('id:', id, '\\t', if(id % 2 = 0, 'owns', 'founder'), '\\tA\\tB\\t<ORG>A</ORG> x <LOC>B</LOC>') AS value"
+    lines = spark.range(6).selectExpr(made).unionByName(spark.createDataFrame([("# a",), ("",), (None,), ("id:1\tx",)], "value string"))
+    training = tr.parse_training(lines)
+    keyed, _, bad = cl.training_contexts(training)
+    assert keyed.count() == 6 and bad.count() == 0
+    typed = training.selectExpr("*").filter("sentence != '' AND e1 != ''")
+    plan = typed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and plan.count("concat(") == 1
+
+
+def test_type_of_the_first_span_with_the_name(spark):
+    rows = [(1, "A", "B", "<ORG>A</ORG> bought <LOC>B</LOC> and <PER>A</PER>"), (2, "A", "C", "<ORG>A</ORG> is C"), (3, None, "B", "<LOC>B</LOC>"), (4, "A", "B", None)]
+    frame = spark.createDataFrame([(i, "r", a, b, t) for i, a, b, t in rows], "rel_id long, rel_type string, e1 string, e2 string, sentence string")
+    keyed, made, bad = cl.training_contexts(frame)
+    assert [r["rel_id"] for r in keyed.collect()] == [1] and sorted(r["rel_id"] for r in bad.collect()) == [2, 3, 4]
+    assert {"ORG_ENTITY1", "LOC_ENTITY2"} <= set(made.first()["shingles"])
+    # A few contexts with much work each are not left to one task.
+    assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_last_row_of_each_bag_against_plain_python(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.choice([None, *range(40)]), rnd.choice(["x", "y", None]), rnd.randrange(12)) for _ in range(120)]
+    bags = {b: [b * 7 % 5, b] for b in range(12)}
+    frame = spark.createDataFrame(rows, "rel_id long, rel_type string, bag int")
+    got = nb.last_of_bags(frame, spark.createDataFrame(list(bags.items()), "bag int, sig array<int>")).collect()
+    low = lambda v: (v is not None, v or 0) if not isinstance(v, str) else (True, v)
+    of_id = {}
+    for i, t, b in rows:
+        of_id[i] = max(of_id.get(i, (t, b)), (t, b), key=lambda r: ((r[0] is not None, r[0] or ""), bags[r[1]], r[1]))
+    last = {}
+    for i, (t, b) in of_id.items():
+        last[b] = max(last.get(b, (i, t)), (i, t), key=lambda r: (low(r[0]), (r[1] is not None, r[1] or "")))
+    assert sorted(map(str, [(r["rel_id"], r["rel_type"], r["sig"]) for r in got])) == sorted(map(str, [(*last[b], bags[b]) for b in last]))

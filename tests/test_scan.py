@@ -116,3 +116,26 @@ def test_a_scan_takes_no_loop_per_sentence():
 
     few, many = calls(100), calls(1100)
     assert many - few < 6 * 1000
+
+
+def test_places_of_given_pairs_against_a_plain_search():
+    import random
+
+    rnd = random.Random(4)
+    words = ["a", "b", "a b", "Inc.", "Firm 3 Inc.", "x y", "can't", "", ".", "b b"]
+    for least, most, window, forward in [(1, 6, 3, True), (1, 6, 3, False), (0, 2, 1, False), (2, 3, 0, True)]:
+        texts = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(20))) if rnd.random() > 0.1 else None for _ in range(60)]
+        ones, twos = ([rnd.choice([*words, None]) for _ in texts] for _ in range(2))
+        got = scan.known_pair_kernel(window, least, most, forward)(*[pa.array(x, pa.string()) for x in (texts, ones, twos)]).to_pylist()
+        want = []
+        for text, one, two in zip(texts, ones, twos):
+            tokens = scan.tokens_of_text(text or "")
+            own1, own2 = (scan.name_parts([n])[n] if n else [] for n in (one, two))
+            at1, at2 = ([i for i in range(len(tokens)) if own and tokens[i : i + len(own)] == own] for own in (own1, own2))
+            pairs = [(i, j) for i in at1 for j in at2 if least <= (j - i if forward else abs(j - i)) <= most]
+            want.append([
+                {"e1": one, "e2": two, "bef": tokens[max(i - window, 0) : i], "bet": tokens[i + len(own1) : max(j, i + len(own1))],
+                 "aft": tokens[j + len(own2) : j + len(own2) + window], "gap": j - i} for i, j in pairs
+            ])
+        assert got == want and sum(map(len, got)) > 3
+    assert scan.known_pair_kernel(3, 1, 6, True)(*[pa.array([], pa.string())] * 3).to_pylist() == []
