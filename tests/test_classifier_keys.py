@@ -3,10 +3,12 @@ from __future__ import annotations
 
 import random
 
+from pairlens.functions import minhash as mh
 from pairlens.operators import neighbours as nb
 from pairlens.plans import classify as cl
 from pairlens.plans import evaluate as ev
 from pairlens.operators import support as sp
+from pairlens.plans import sweep as sw
 from pairlens.sources import catalogue as cat
 from pairlens.sources import training as tr
 
@@ -90,3 +92,25 @@ def test_last_row_of_each_bag_against_plain_python(spark):
     for i, (t, b) in of_id.items():
         last[b] = max(last.get(b, (i, t)), (i, t), key=lambda r: (low(r[0]), (r[1] is not None, r[1] or "")))
     assert sorted(map(str, [(r["rel_id"], r["rel_type"], r["sig"]) for r in got])) == sorted(map(str, [(*last[b], bags[b]) for b in last]))
+
+
+def test_bands_of_equal_width_are_looked_up_once(spark):
+    settings, _ = sw.split_grid()
+    widths = sw.shared_bands(settings)
+    assert widths[4] == 150 and sum(widths.values()) < sum(b for _, b in settings)
+    rnd = random.Random(2)
+    rows = [(i, [rnd.randrange(3) for _ in range(24)]) for i in range(40)]
+    signed = spark.createDataFrame(rows, "rel_id long, sig array<int>")
+    small = [(12, 6), (24, 12), (24, 6), (24, 1)]
+    found = {}
+    for r in sw.chunk_rows(signed, small, ["rel_id"]).collect():
+        found.setdefault((r["width"], r["band"]), {})[r["rel_id"]] = r["key"]
+    assert {w: sum(1 for v, _ in found if v == w) for w in (2, 4, 24)} == {2: 12, 4: 6, 24: 1}
+    for (w, i), keys in found.items():
+        parts = {n: tuple(sorted(sig[i * w : i * w + w])) for n, sig in rows}
+        assert len(set(keys.values())) == len(set(parts.values())) == len({(keys[n], parts[n]) for n in keys})
+
+
+def test_equal_positions_of_prefixes(spark):
+    frame = spark.createDataFrame([([1, 2, 3, 4], [1, 0, 3, 4]), ([5, 5, 5, 5], [5, 6, 7, 8])], "a array<int>, b array<int>")
+    assert [r["n"] for r in frame.select(mh.prefix_matches(frame.a, frame.b, [1, 3, 4]).alias("n")).collect()] == [[1, 2, 3], [1, 1, 1]]
