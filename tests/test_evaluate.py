@@ -92,6 +92,19 @@ def test_corpus_is_read_and_counted_once(spark, tmp_path):
     assert all("corpus" not in name for name in read)
 
 
+def test_bootstrap_counts_the_corpus_once(spark, sf, monkeypatch):
+    """The loop's two evaluations read the same statistics, and the facts of the first are made once."""
+    from workload.queries import QUERIES
+
+    counted, built = [], []
+    monkeypatch.setattr(sp, "corpus_evidence", lambda *a, f=sp.corpus_evidence: counted.append(1) or f(*a))
+    monkeypatch.setattr(ev, "fact_regions", lambda facts, *a, f=ev.fact_regions: built.append(facts) or f(facts, *a))
+    done = QUERIES["bootstrap_loop"](spark, sf)
+    assert counted == [1] and len(built) == 1
+    assert "ArrowEvalPython" not in built[0]._jdf.queryExecution().executedPlan().toString()
+    assert done.count() == len(fx.RELATIONS_IN_USE)
+
+
 def test_store_tells_inputs_and_parameters_apart(spark, tmp_path):
     from pairlens.operators import store as st
 
